@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe_codec, exact_dedup, simhash_dedup
+from tidemill.llm import bpe_codec, exact_dedup, simhash_dedup, token_pack
 from tidemill.sources import table
 
 
@@ -22,6 +22,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_pack.write_and_check(spark, table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH d AS (
     SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_codec": op3_bpe_codec,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_token_pack": op9_token_pack,
 }
 
 ORACLE_SQL: dict[str, str] = {
