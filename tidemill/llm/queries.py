@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm import bpe_codec, exact_dedup, secret_scan, simhash_dedup, token_pack, toxicity
+from tidemill.llm import bpe_codec, exact_dedup, mixing, secret_scan, simhash_dedup, token_pack, toxicity
 from tidemill.sources import table
 
 
@@ -34,6 +35,15 @@ def op9_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.write_and_check(spark, table(spark, sf_dir, "documents"))
 
 
+#: Production weights of the test tables, whose sources end in a number that tells their domain.
+MIX = mixing.Plan(domains={"d0": 4, "d1": 3, "d2": 2, "d3": 1}, languages={"en": 5, "de": 2, "fr": 2, "es": 1}, share=0.5, epochs=3, seed=11)
+DOMAIN = "concat('d', coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS bigint), 0) % 4)"
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.decide(spark, table(spark, sf_dir, "documents"), MIX, F.expr(DOMAIN), F.col("lang"), F.col("source"))
+
+
 OP6_SQL = r"""
 WITH d AS (
     SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -45,6 +55,44 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND n = most AS kept, text_sha256 FROM r
 """
 
+def _share_out(name: str, table: str, parents: str, parent_table: str, level: str, weight: str) -> str:
+    """CTEs that share out the budgets of `parent_table` among the rows of `table`."""
+    part = f"PARTITION BY {parents}" if parents else ""
+    up = f"JOIN {parent_table} USING ({parents})" if parents else f"CROSS JOIN {parent_table}"
+    return f"""
+{name}_w AS (SELECT {table}.*, {parent_table}.b, ({weight})::DOUBLE AS w FROM {table} {up}),
+{name}_s AS (
+    SELECT *, cap::DOUBLE * sum(w) OVER ({part} ORDER BY cap / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+        <= (b - coalesce(sum(cap) OVER ({part} ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE * w AS whole
+    FROM {name}_w WHERE w > 0
+),
+{name} AS (
+    SELECT * EXCLUDE (b), CASE WHEN whole THEN cap ELSE greatest(floor(w * (b - coalesce(sum(CASE WHEN whole THEN cap END) OVER ({part}), 0))::DOUBLE
+        / sum(CASE WHEN NOT whole THEN w END) OVER ({part})), 0)::BIGINT END AS b FROM {name}_s
+)"""
+
+
+OP10_SQL = rf"""
+WITH d AS (
+    SELECT doc_id, 'd' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0) % 4)::VARCHAR AS domain, coalesce(lang, '') AS language,
+        coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM documents
+),
+leaf AS (SELECT domain, language, source, sum(n_tokens)::BIGINT AS tokens, (3 * sum(n_tokens))::BIGINT AS cap FROM d GROUP BY ALL),
+pair AS (SELECT domain, language, sum(cap)::BIGINT AS cap FROM leaf GROUP BY ALL),
+top AS (SELECT domain, sum(cap)::BIGINT AS cap FROM leaf GROUP BY ALL),
+root AS (SELECT floor(sum(tokens) * 0.5)::BIGINT AS b FROM leaf),
+{_share_out("tops", "top", "", "root", "domain", "CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 WHEN 'd3' THEN 1 ELSE 1 END")},
+{_share_out("pairs", "pair", "domain", "tops", "language", "CASE language WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 1 ELSE 1 END")},
+{_share_out("leaves", "leaf", "domain, language", "pairs", "source", "1")},
+l AS (SELECT domain, language, source, b, tokens, CASE WHEN tokens > 0 THEN b // tokens ELSE 0 END AS passes FROM leaves),
+o AS (
+    SELECT d.*, l.passes, l.b - l.passes * l.tokens AS rest,
+        sum(n_tokens) OVER (PARTITION BY d.domain, d.language, d.source ORDER BY md5('11:' || l.passes::VARCHAR || ':' || coalesce(doc_id::VARCHAR, ''))) AS upto
+    FROM d LEFT JOIN l USING (domain, language, source)
+)
+SELECT doc_id, domain, language, source, n_tokens, coalesce(passes + (rest > 0 AND upto <= rest)::BIGINT, 0)::BIGINT AS copies FROM o
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_codec": op3_bpe_codec,
     "op4_simhash_dedup": op4_simhash_dedup,
@@ -52,8 +100,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op9_token_pack": op9_token_pack,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": OP6_SQL,
+    "op10_mixing": OP10_SQL,
 }
