@@ -24,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,10 +159,11 @@ def decode(docs: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", pa
     return docs.withColumn(bytes_col, bytes_of(F.col(f"`{ids_col}`")))
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """Encode and decode each text in its task: id, n_tokens, ids_sha256 and decoded_sha256.
 
-    ids_sha256 is over the decimal ids joined by commas; ids and bytes stay in the task.
+    ids_sha256 is over the decimal ids joined by commas; bytes stay in the task, and so do ids
+    unless they are asked for, as a column ids.
     """
     path, pattern = path or default_path(), pattern or default_pattern()
 
@@ -169,18 +171,19 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         use = codec(path, pattern)
         decimal = {rank: str(rank) for rank in use.bytes_of}.__getitem__
         for batch in slices(batches, "_text"):
-            counts, of_ids, of_bytes = [], [], []
+            counts, of_ids, of_bytes, all_ids = [], [], [], []
             for text in batch.column("_text").to_pylist():
                 ids = use.encode(text or "")
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(use.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
-                ["_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                if with_ids:
+                    all_ids.append(np.array(ids, np.int32))
+            columns = [batch.column("_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names)
 
+    names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    out = rows.mapInArrow(digests, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = rows.mapInArrow(digests, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("_id", id_col)

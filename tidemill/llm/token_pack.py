@@ -20,6 +20,7 @@ an empty result; other columns aren't written.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -120,7 +121,7 @@ def unpack(block: bytes) -> np.ndarray:
 
 
 class WordEncoder:
-    """A tokenizer whose rules never look across ASCII white space, used word by word with a cache.
+    """A tokenizer whose rules never look across white space, used word by word with a cache.
 
     New words are encoded together, parted by a control character of which the tokenizer makes
     one id that no other text gives; words that hold it, or may hold a special token, go alone.
@@ -153,7 +154,7 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        words = text.translate(_BLANKS).split(" ")
+        words = _ASCII_WORDS(text) if _SEPARATORS(text) else text.split()
         fresh = set(words).difference(self.known)
         if fresh:
             if len(self.known) + len(fresh) > CACHE:
@@ -163,8 +164,9 @@ class WordEncoder:
         return b"".join(map(self.known.__getitem__, words))
 
 
-#: Only ASCII white space parts words here; the tokenizer sees all other kinds itself.
-_BLANKS = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
+#: split() also parts words at U+001C to U+001F, which the tokenizer takes for symbols.
+_SEPARATORS = re.compile("[\x1c-\x1f]").search
+_ASCII_WORDS = re.compile("[^ \t\n\x0b\x0c\r]+").findall
 
 
 @functools.lru_cache(maxsize=2)
