@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe_codec, embedding_dedup, exact_dedup, mixing, secret_scan, simhash_dedup, token_pack, toxicity
+from tidemill.llm import bpe_codec, embedding_dedup, exact_dedup, line_dedup, mixing, secret_scan, simhash_dedup, token_pack, toxicity
 from tidemill.sources import table
 
 
@@ -36,6 +36,31 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.classes(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP5_SQL = r"""
+WITH raw AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+),
+l AS (
+    SELECT *, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM raw
+),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM l WHERE t <> ''),
+w AS (
+    SELECT doc_id, k, 3 AS n, string_agg(t, chr(10)) OVER o AS lines, count(*) OVER o AS c FROM k
+    WINDOW o AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)
+    UNION ALL SELECT doc_id, k, 1, t, 3 FROM k WHERE len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= 50
+),
+f AS (SELECT *, first_value(doc_id) OVER p AS fd, first_value(k) OVER p AS fk FROM w WHERE c = 3 WINDOW p AS (PARTITION BY n, lines ORDER BY doc_id NULLS LAST, k)),
+g AS (SELECT DISTINCT doc_id, k + unnest(range(n)) AS k FROM f WHERE doc_id <> fd OR k > fk),
+r AS (SELECT l.doc_id, l.i, l.line, g.k IS NOT NULL AS gone FROM l LEFT JOIN k USING (doc_id, i) LEFT JOIN g ON g.doc_id = k.doc_id AND g.k = k.k)
+SELECT doc_id, count(*) FILTER (WHERE gone) AS lines_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS text_sha256 FROM r GROUP BY doc_id
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(spark, table(spark, sf_dir, "documents"))
 
@@ -114,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
@@ -123,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_dedup": OP1_SQL,
+    "op5_line_dedup": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_mixing": OP10_SQL,
 }
