@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe_codec, embedding_dedup, exact_dedup, line_dedup, mixing, secret_scan, simhash_dedup, token_pack, toxicity
+from tidemill.llm import bpe_codec, embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, secret_scan, simhash_dedup, token_pack, toxicity
 from tidemill.sources import table
 
 
@@ -28,6 +28,10 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 """
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -137,6 +141,7 @@ SELECT doc_id, domain, language, source, n_tokens, coalesce(passes + (rest > 0 A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_line_dedup": op5_line_dedup,
