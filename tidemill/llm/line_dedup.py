@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemill.llm.common import WHITE, slices
 from tidemill.session import Scratch
@@ -103,7 +104,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     others = [c for c in docs.columns if c not in (text_col, "lines_removed")]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("_row"), F.col(f"`{id_col}`").alias("_own"), F.col(f"`{text_col}`").alias("_text"))
     met = packed.join(gone, F.col("_own").eqNullSafe(F.col("_id")), "left").select("_row", "_text", "_gone")
-    out = met.mapInArrow(cleaned, f"_row {packed.schema['_row'].dataType.simpleString()}, _text string, _removed long")
+    out = met.mapInArrow(cleaned, StructType([packed.schema["_row"], packed.schema["_text"], StructField("_removed", LongType())]))
     columns = [F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns if c != "lines_removed"]
     return out.select(*columns, F.col("_removed").alias("lines_removed"))
 
