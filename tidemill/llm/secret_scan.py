@@ -36,7 +36,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.IGNORECASE)
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
-IDENTIFIER = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:[_/+=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}))*[_/+=-]*[0-9]{0,6}")
+#: A part of an identifier: words, in camel case or not, with a short number behind; or a short number.
+PART = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})*[0-9]{0,6}|[0-9]{1,8}")
 #: Characters a token below which a run is taken for random.
 MAX_RATIO = 2.2
 
@@ -64,7 +65,7 @@ def known_run(run: str) -> bool:
         return True
     if UUID.fullmatch(body) or len(body) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body):
         return True
-    return bool(IDENTIFIER.fullmatch(body)) or not any(c.isdigit() for c in body) and not _mixed(body)
+    return all(PART.fullmatch(part) for part in re.split("[+/_=-]+", body)) or not any(c.isdigit() for c in body) and not _mixed(body)
 
 
 def _mixed(run: str) -> bool:
