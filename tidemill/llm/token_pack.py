@@ -6,8 +6,8 @@ words holds zero, and its index and value follow the words. Words restart every
 and the block's header has the word offset of each chunk, so that chunks decode alone and all
 words of one layout decode in one vectorised step.
 
-A file is a Parquet part whose rows are blocks in order: part, block, ids of the documents in
-it, ids (tokens) of each, and the packed bytes. Documents are sorted by id across parts, and a block ends
+A file is a Parquet part whose rows are blocks in order: part, block, ids before it in its part, ids of
+the documents in it, ids (tokens) of each, and the packed bytes. Documents are sorted by id across parts, and a block ends
 with a document, so reading needs no neighbour. Spark's commit protocol makes parts whole or
 absent, also when executors are lost. Texts shuffle once, by ranges of the document id.
 
@@ -20,17 +20,19 @@ an empty result; other columns aren't written.
 from __future__ import annotations
 
 import functools
-import re
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.llm.bpe_codec import byte_letters
 from tidemill.llm.common import slices
 from tidemill.session import Scratch
 
@@ -46,12 +48,9 @@ def _words(values: np.ndarray) -> np.ndarray:
     """The words of one chunk, each taking the most values that fit; the last one is padded by zeros."""
     n, longest = len(values), LAYOUTS[0][0]
     padded = np.concatenate([values, np.zeros(longest, np.uint64)])
-    bits = np.zeros(n + longest, np.uint8)
-    for width in range(60):
-        over = padded >= np.uint64(1 << width)
-        if not over.any():
-            break
-        bits += over
+    bits = np.frexp((padded >> np.uint64(30)).astype(np.float64))[1] + 30  # exact up to 53 bits, so in two halves
+    low = bits == 30
+    bits[low] = np.frexp(padded[low].astype(np.float64))[1]
     choice = np.full(n, len(LAYOUTS) - 1, np.uint8)
     for selector in range(len(LAYOUTS) - 2, -1, -1):
         count, width = LAYOUTS[selector]
@@ -120,53 +119,108 @@ def unpack(block: bytes) -> np.ndarray:
     return out
 
 
+def _gather(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of a pool that start at `first`, one after the other."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordEncoder:
-    """A tokenizer whose rules never look across white space, used word by word with a cache.
+    """A tokenizer whose rules never look across white space, used on the distinct words of some texts.
 
-    New words are encoded together, parted by a control character of which the tokenizer makes
-    one id that no other text gives; words that hold it, or may hold a special token, go alone.
+    Arrow parts texts at ASCII white space and finds the distinct words. Most are Latin letters with
+    signs behind or without: pieces that the tokenizer's rules cut there and put in lower case. Distinct pieces
+    are encoded together, parted by spaces, by the same model without those rules; the ids that end a
+    piece tell them apart. Other words are encoded whole, parted by a control character of which the
+    tokenizer makes one id that no other text gives; words that hold it, or may hold a special token, go alone.
     """
 
     MARK = "\x01"
+    #: Latin letters to U+017F but for U+0130, which have one lower case each and no combining forms; ASCII signs.
+    LETTERS, SIGNS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    PLAIN = f"^[{LETTERS}]+[!-/:-@\\[-`{{-~]*$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        found = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        found = self._ids(self.MARK)
         self.mark = found[0] if len(found) == 1 else None
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _alone(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if self.mark is None or self.MARK in w or "<|" in w]
-        self.known |= {w: self._alone(w) for w in odd}
-        plain = list(set(words).difference(odd))
+        self.words: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
+        rules = json.loads(self.tokenizer.to_str())
+        suffix, cut = rules["model"].get("end_of_word_suffix"), rules["pre_tokenizer"]
+        self.ends = None
+        if suffix and cut["type"] == "Sequence" and [c["type"] for c in cut["pretokenizers"]] == ["Split", "ByteLevel"]:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+            rules |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
+            self.bare = Tokenizer.from_str(json.dumps(rules))
+            self.letters = dict(enumerate(byte_letters()))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_pieces(self, fresh: list[str]) -> None:
+        spelt = (p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in fresh)
+        ids = np.array(self.bare.encode_batch_fast([" ".join(spelt)], add_special_tokens=False)[0].ids, "<u4")
+        stops, raw = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
+        self.pieces |= {piece: raw[a:b] for piece, a, b in zip(fresh, [0, *stops[:-1]], stops, strict=True)}
+
+    def _learn_words(self, fresh: list[str]) -> None:
+        plain = [w for w in fresh if self.mark is not None and self.MARK not in w and "<|" not in w]
+        self.words |= {w: self._ids(w).tobytes() for w in set(fresh).difference(plain)}
         if plain:
-            joined = f" {self.MARK} ".join(plain)
-            (found,) = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark)
-            raw, cuts = ids.tobytes(), [0, *(4 * ends + 4).tolist(), 4 * len(ids) + 4]
-            self.known |= {w: raw[a : b - 4] for w, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True)}
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = _ASCII_WORDS(text) if _SEPARATORS(text) else text.split()
-        fresh = set(words).difference(self.known)
+            ids = self._ids(f" {self.MARK} ".join(plain))
+            raw, cuts = ids.tobytes(), [0, *(4 * np.flatnonzero(ids == self.mark) + 4).tolist(), 4 * len(ids) + 4]
+            self.words |= {w: raw[a : b - 4] for w, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True)}
+
+    @staticmethod
+    def _look_up(texts: pa.Array, known: dict[str, bytes], learn: Callable[[list[str]], None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct texts one after the other, where each starts, and how many it has."""
+        listed = texts.to_numpy(zero_copy_only=False).tolist()
+        fresh = [t for t in listed if t not in known]
         if fresh:
-            if len(self.known) + len(fresh) > CACHE:
-                self.known = {"": b""}
-                fresh = set(words).difference(self.known)
-            self._learn(list(fresh))
-        return b"".join(map(self.known.__getitem__, words))
-
-
-#: split() also parts words at U+001C to U+001F, which the tokenizer takes for symbols.
-_SEPARATORS = re.compile("[\x1c-\x1f]").search
-_ASCII_WORDS = re.compile("[^ \t\n\x0b\x0c\r]+").findall
+            if len(known) + len(fresh) > CACHE:
+                known.clear()
+                known[""] = b""
+                fresh = [t for t in listed if t]
+            learn(fresh)
+        found = [known[t] for t in listed]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, size
+
+    def _encode_distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As _look_up, for distinct words."""
+        if self.ends is None:
+            return self._look_up(words, self.words, self._learn_words)
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        low = pc.utf8_lower(words.filter(plain))
+        letters = pc.ascii_rtrim(low, characters=self.SIGNS)
+        signs = pc.replace_substring_regex(low, pattern=f"^[{self.LETTERS}]+", replacement="").dictionary_encode()
+        letters = letters.dictionary_encode()
+        # letters and signs have no text in common but the empty one, of words without signs
+        pool, first, size = self._look_up(pa.concat_arrays([letters.dictionary, signs.dictionary]), self.pieces, self._learn_pieces)
+        both = np.column_stack([letters.indices.to_numpy(), len(letters.dictionary) + signs.indices.to_numpy()]).ravel()
+        others = self._look_up(words.filter(pc.invert(plain)), self.words, self._learn_words)
+        out_size = np.empty(len(words), np.int64)
+        out_size[is_plain] = size[both].reshape(-1, 2).sum(axis=1)
+        out_size[~is_plain] = others[2]
+        out_first = np.empty(len(words), np.int64)
+        flat = _gather(pool, first[both], size[both])
+        out_first[is_plain] = np.cumsum(out_size[is_plain]) - out_size[is_plain]
+        out_first[~is_plain] = len(flat) + others[1]
+        return np.concatenate([flat, others[0]]), out_first, out_size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has."""
+        parts = pc.ascii_split_whitespace(texts)
+        coded = parts.values.dictionary_encode()
+        pool, first, size = self._encode_distinct(coded.dictionary)
+        word = coded.indices.to_numpy()
+        stops = np.concatenate([[0], np.cumsum(size[word])])[parts.offsets.to_numpy()]
+        return _gather(pool, first[word], size[word]), np.diff(stops)
 
 
 @functools.lru_cache(maxsize=2)
@@ -185,51 +239,50 @@ def default_path() -> str:
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1, block: int = BLOCK) -> None:
     """Encode texts and write their ids, each document's followed by end_id, in ascending id order."""
-    vocabulary, end = vocabulary or default_path(), struct.pack("<I", end_id)
+    vocabulary, end = vocabulary or default_path(), np.array([end_id], "<u4")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, part, number = word_encoder(vocabulary), TaskContext.get().partitionId(), 0
+        use, part, number, first = word_encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         ids, size, counts, docs_in = [], 0, [], []
 
         def full() -> pa.RecordBatch:
-            payload = pack(np.frombuffer(b"".join(ids), "<u4"))
+            payload = pack(np.concatenate(ids))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([docs_in], pa.list_(kind)), pa.array([counts], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
-                ["part", "block", "docs", "counts", "payload"],
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([docs_in], pa.list_(kind)), pa.array([counts], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
+                ["part", "block", "first", "docs", "counts", "payload"],
             )
 
         for batch in slices(batches, "_text"):
             kind = batch.schema.field("_id").type
-            for doc, text in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                ids += (found := use.encode(text or "")), end
-                counts.append(len(found) // 4 + 1)
+            found, sizes = use.encode(pc.fill_null(batch.column("_text"), ""))
+            stops = np.cumsum(sizes)
+            for doc, a, b in zip(batch.column("_id").to_pylist(), (stops - sizes).tolist(), stops.tolist(), strict=True):
+                ids += found[a:b], end
+                counts.append(b - a + 1)
                 size += counts[-1]
                 docs_in.append(doc)
                 if size >= block:
                     yield full()
-                    ids, size, counts, docs_in, number = [], 0, [], [], number + 1
+                    ids, size, counts, docs_in, number, first = [], 0, [], [], number + 1, first + size
         if counts:
             yield full()
 
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     dealt = rows.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first())
     kind_name = rows.schema["_id"].dataType.simpleString()
-    dealt.mapInArrow(blocks, f"part int, block int, docs array<{kind_name}>, counts array<long>, payload binary").write.mode("overwrite").parquet(path)
+    dealt.mapInArrow(blocks, f"part int, block int, first long, docs array<{kind_name}>, counts array<long>, payload binary").write.mode("overwrite").parquet(path)
 
 
 def read(spark: SparkSession, path: str, each: Callable[[np.ndarray], object], kind: str, arrow: pa.DataType) -> DataFrame:
     """Read files back: doc, start, n_tokens and `value`, what `each` makes of a document's ids.
 
-    start counts the ids of all documents before. The sums behind it are one row for each
-    block and each part, never for each document.
+    start counts the ids of all documents before. Blocks have the count within their part; what parts
+    before hold is a row for each part, of a few numbers, and is broadcast.
     """
     blocks = spark.read.parquet(path)
-    size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    sized = blocks.select("part", "block", size.alias("n"))
-    parts = sized.groupBy("part").agg(F.sum("n").alias("n"))
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("_base"))
-    own = sized.select("part", "block", (F.sum("n").over(Window.partitionBy("part").orderBy("block")) - F.col("n")).alias("_own"))
-    starts = own.join(before, "part").select("part", "block", (F.col("_base") + F.col("_own")).alias("first"))
+    parts = blocks.groupBy("part").agg(F.max(F.struct("first", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))).alias("last"))
+    held = F.col("last.first") + F.col("last.n")
+    before = parts.select("part", (F.sum(held).over(Window.orderBy("part")) - held).alias("base"))
     doc_kind = blocks.schema["docs"].dataType.elementType.simpleString()
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +292,10 @@ def read(spark: SparkSession, path: str, each: Callable[[np.ndarray], object], k
                 counts = batch.column("counts")[i].values.to_numpy()
                 ends = np.cumsum(counts)
                 values = [each(ids[end - n : end]) for n, end in zip(counts.tolist(), ends.tolist(), strict=True)]
-                starts_of = ends - counts + batch.column("first")[i].as_py()
+                starts_of = ends - counts + (batch.column("first")[i].as_py() + batch.column("base")[i].as_py())
                 yield pa.RecordBatch.from_arrays([batch.column("docs")[i].values, pa.array(starts_of, pa.int64()), pa.array(counts, pa.int64()), pa.array(values, arrow)], ["doc", "start", "n_tokens", "value"])
 
-    return blocks.join(starts, ["part", "block"]).mapInArrow(documents, f"doc {doc_kind}, start long, n_tokens long, value {kind}")
+    return blocks.join(F.broadcast(before), "part").mapInArrow(documents, f"doc {doc_kind}, start long, n_tokens long, value {kind}")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
