@@ -8,9 +8,9 @@ siblings got it already, since what a node holds is known before budgets go down
 and then a prefix, by tokens, of one more pass, whose order is seeded by the pass and the id.
 
 The tree's tables have a row for each node. Leaves' prefixes are found without sorting leaves:
-tokens are summed by leaf and `BINS` ranges of the order's hash, with map-side combining; running sums
-over a leaf's ranges tell the one range the prefix ends in; only that range's rows are sorted. Rows then
-compare their hash with their leaf's cut, so texts don't shuffle unless the table of
+tokens are summed by leaf and ranges of the order's hash, with map-side combining; running sums
+over a leaf's 256 ranges tell the one the prefix ends in, and once more within that one; only the
+rows of a 65,536th of a leaf are sorted. Rows then compare their hash with their leaf's cut, so texts don't shuffle unless the table of
 leaves is too large for Spark to broadcast.
 
 Defined results: null texts and texts without words have no tokens; a null domain, language or
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tidemill.session import Scratch
 
-#: Hexadecimal digits of the order's hash that make a range, so 4096 ranges.
-DIGITS = 3
+#: Hexadecimal digits of the order's hash that make a range: 256 ranges of a leaf, then 256 of the one its prefix ends in.
+DIGITS = (2, 4)
 LEAF = ("domain", "language", "source")
 
 
@@ -100,12 +100,15 @@ def leaf_cuts(spark: SparkSession, rows: DataFrame, plan: Plan) -> DataFrame:
     passes = F.when(F.col("tokens") > 0, F.expr("b div tokens")).otherwise(0)
     budgets = leaf_budgets(leaves, plan, total).withColumn("passes", passes)
     budgets = scratch.save(budgets.withColumn("rest", F.col("b") - F.col("passes") * F.col("tokens")))
-    keyed = rows.join(budgets, list(LEAF)).withColumn("key", _key(F.col("_id"), F.col("passes"), plan.seed)).withColumn("bin", F.substring("key", 1, DIGITS))
-    bins = keyed.groupBy(*LEAF, "bin").agg(F.sum("_tokens").alias("n"), F.first("rest").alias("rest"))
-    before = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("bin")) - F.col("n")
-    ends = bins.withColumn("before", before).where("rest > 0 AND before <= rest AND rest < before + n")
-    ends = scratch.save(ends.select(*LEAF, F.col("bin").alias("end"), "before"))
-    last = keyed.join(ends, list(LEAF)).where("bin = end")
+    keyed = rows.join(budgets, list(LEAF)).withColumn("key", _key(F.col("_id"), F.col("passes"), plan.seed))
+    ends = budgets.where("rest > 0").select(*LEAF, F.lit("").alias("end"), F.lit(0).cast("long").alias("before"))
+    for digits in DIGITS:
+        inner = keyed.join(ends, list(LEAF)).where(F.col("key").startswith(F.col("end"))).withColumn("bin", F.substring("key", 1, digits))
+        bins = inner.groupBy(*LEAF, "bin").agg(F.sum("_tokens").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("base"))
+        before = F.col("base") + F.sum("n").over(Window.partitionBy(*LEAF).orderBy("bin")) - F.col("n")
+        ends = bins.withColumn("before", before).where("before <= rest AND rest < before + n")
+        ends = scratch.save(ends.select(*LEAF, F.col("bin").alias("end"), "before"))
+    last = keyed.join(ends, list(LEAF)).where(F.col("key").startswith(F.col("end")))
     upto = F.col("before") + F.sum("_tokens").over(Window.partitionBy(*LEAF).orderBy("key"))
     inside = last.withColumn("upto", upto).where("upto <= rest").groupBy(*LEAF).agg(F.max("key").alias("inside"))
     # keys of earlier ranges sort before the bare prefix of the last one
