@@ -62,16 +62,20 @@ def _winners(rows: DataFrame) -> DataFrame:
 
 
 def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_words: int = FILTER_WORDS) -> DataFrame:
-    """One row per input row: its id, keep_id, group_size, kept and text_sha256."""
+    """One row per input row: its id, keep_id, group_size, kept and text_sha256.
+
+    Groups' winners are a table of their own, so that the join with them can split a hot group.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = Scratch(spark, "exact").save(docs.select(F.col(id_col).alias("_id"), F.length(text).alias("_len"), digest(text).alias("_sha")))
+    scratch = Scratch(spark, "exact")
+    rows = scratch.save(docs.select(F.col(id_col).alias("_id"), F.length(text).alias("_len"), digest(text).alias("_sha")))
     flagged = _flag(rows, repeated_filter(rows, filter_words), filter_words)
     through = flagged.where(~F.col("_again")).select(
         F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256")
     )
     again = flagged.where("_again").select("_id", "_len", "_sha")
     stays = F.col("_id").eqNullSafe(F.col("_best.i")) & (F.col("_len") == -F.col("_best.l"))
-    dealt = again.join(_winners(again), "_sha").select(
+    dealt = again.join(scratch.save(_winners(again)), "_sha").select(
         F.col("_id").alias(id_col), F.col("_best.i").alias("keep_id"), F.col("_size").alias("group_size"), stays.alias("kept"), F.col("_sha").alias("text_sha256")
     )
     return through.unionByName(dealt)
