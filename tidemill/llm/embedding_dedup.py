@@ -267,6 +267,6 @@ def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_c
 def near_dedup(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95) -> DataFrame:
     """The rows that stay, with all their columns: of each component that with the smallest id."""
     found = links(spark, vectors, id_col, vec_col, least)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
+    gone = Scratch(spark, "embedding").save(found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct())
     packed = vectors.select(F.struct(*(F.col(f"`{c}`") for c in vectors.columns)).alias("_row"), F.col(f"`{id_col}`").alias("_id"))
     return packed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

@@ -169,6 +169,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     Rows whose id is null stay. Ids should be unique: rows that repeat an id share its decision.
     """
     found = classes(spark, docs, id_col, text_col, radius, width)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    # a table, so that Spark knows its size and broadcasts it if it is small: then no text shuffles
+    gone = Scratch(spark, "simhash").save(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").alias("_id"))
     return packed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
