@@ -50,7 +50,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """
     found = []
     low = text.lower()
-    if any(word in low for word in KEYWORDS) or "ſ" in low:
+    if any(word in low for word in KEYWORDS):
         found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
