@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 from tidemill.llm.common import slices
 
 #: Pre-tokens kept with their ids by each Python worker.
-CACHE = 400_000
+CACHE = 200_000
 
 #: White space as Unicode has it; stated since regex engines differ on U+001C to U+001F.
 SPACE = r"\t-\r \x85\xa0  -     　"

@@ -63,7 +63,7 @@ class Voters:
 
     #: What counting voters ask of lexicon words, and of mined patterns' words.
     COUNTS = (("lexicon", 1), ("lexicon", 2), ("lexicon", 3), ("pattern", 1), ("pattern", 2), ("pattern", 4))
-    CACHE = 300_000
+    CACHE = 100_000
 
     def __post_init__(self):
         self.words: dict[str, list[int]] = {}
@@ -189,7 +189,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     """Mine patterns, fit the label model, and train the classifier on its posterior labels."""
     ids = labels.select(F.col(f"`{id_col}`").alias("_id"), (F.col(f"`{label_col}`") > 0).cast("int").alias("_toxic"))
     usable = ids.where(F.col("_id").isNotNull() & F.col("_toxic").isNotNull() & ~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    chosen = usable.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
+    # rows beyond half as many again as are needed don't reach the sort, so it stays small at any size
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
+    share = min(1.0, (1.5 * max_labelled + 100) / max(1, usable.count()))
+    chosen = usable.where(place < int(share * (1 << 30))).orderBy(place, "_id").limit(max_labelled)
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     sample = Scratch(spark, "toxicity").save(texts.join(F.broadcast(chosen), "_id").select("_text", "_toxic"))
     sizes = {row["_toxic"]: row["count"] for row in sample.groupBy("_toxic").count().collect()}
