@@ -41,6 +41,17 @@ def test_matches_extend_both_ways(spark):
     assert (9, 1, 5, 1, 1) in found and (2, 1, 4, 1, 1) in found and (9, 6, 9, 1, 0) in found
 
 
+def test_extended_equals_matches(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    found = d.repeats(spark, docs)
+    by_doc = {}
+    for r in found.collect():
+        by_doc.setdefault(r["_id"], []).append(r.asDict())
+    got = {(doc, start, stop) for doc, some in by_doc.items() for start, stop in d.extended(some)}
+    assert got == {(r["_id"], r.start, r.stop) for r in d.matches(found).collect()}
+    assert d.extended([]) == []
+
+
 def test_odd_rows(spark, odd, clashing, no_docs):
     out = d.dedup_lines(spark, clashing)
     assert sorted(out.columns) == sorted(clashing.columns)

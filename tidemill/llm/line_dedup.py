@@ -19,7 +19,8 @@ other columns stay in `dedup_lines`, whatever their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -87,16 +88,33 @@ def matches(found: DataFrame) -> DataFrame:
     return numbered.groupBy("_id", "from_id", "lane", "match").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"), F.min("from_start").alias("from_start")).drop("lane", "match")
 
 
+def extended(found: Iterable[dict]) -> list[tuple[int, int]]:
+    """What `matches` finds, for the windows of one text: start and stop of each match."""
+    lanes = defaultdict(list)
+    for w in found:
+        lanes[w["from_id"], w["start"] - w["from_start"]].append((w["start"], w["start"] + w["n"]))
+    runs = []
+    for spans in lanes.values():
+        start, stop = min(spans)
+        for a, b in sorted(spans):
+            if a > stop:
+                runs.append((start, stop))
+                start = a
+            stop = max(stop, b)
+        runs.append((start, stop))
+    return runs
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int = LONG_WORDS) -> DataFrame:
     """The input rows with cleaned texts, and lines_removed (which replaces a column of that name)."""
     found = repeats(spark, docs, id_col, text_col, run, long_words)
-    gone = found.groupBy("_id").agg(F.collect_set(F.struct("start", "n")).alias("_gone"))  # at most two for each line of a text
+    gone = found.groupBy("_id").agg(F.collect_set(F.struct("start", "n", "from_id", "from_start")).alias("_gone"))  # at most two for each line of a text
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = [], []
             for text, some in zip(batch.column("_text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
-                drop = {line for w in some or () for line in range(w["start"], w["start"] + w["n"])}
+                drop = {line for start, stop in extended(some or ()) for line in range(start, stop)}
                 texts.append(_without(text, drop))
                 removed.append(len(drop))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["_row", "_text", "_removed"])
