@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -64,3 +65,12 @@ def test_rows(spark, odd, clashing, no_docs):
     assert out.columns == clashing.columns and out.schema["spans"].dataType.typeName() == "array"
     assert s.report(odd).where("spans = ''").count() == odd.count()
     assert s.report(no_docs).count() == 0
+
+
+def test_long_runs_take_linear_time():
+    started = time.perf_counter()
+    assert not s.PART.fullmatch("a" * 30 + "1b")
+    assert time.perf_counter() - started < 0.1
+    for run in ("a" * 10_000 + "1b", "A" * 10_000 + "1b", "Ab" * 5_000 + "1234567", "ABcd" * 2_500 + "1b"):
+        spans(run)
+    assert time.perf_counter() - started < 5

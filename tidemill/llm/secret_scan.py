@@ -36,8 +36,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.IGNORECASE)
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
-#: A part of an identifier: words, in camel case or not, with a short number behind; or a short number.
-PART = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})*[0-9]{0,6}|[0-9]{1,8}")
+#: A part of an identifier: words, in camel case or not, with a short number behind; or a short number. Possessive, so linear.
+PART = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]++(?:[a-z]{2,}+)?+)(?:[A-Z]++[a-z]{2,}+)*+(?:[A-Z]{2,}+)?+[0-9]{0,6}|[0-9]{1,8}")
 #: Characters a token below which a run is taken for random.
 MAX_RATIO = 2.2
 
