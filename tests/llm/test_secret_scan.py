@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 import time
 
 import pytest
@@ -74,3 +76,25 @@ def test_long_runs_take_linear_time():
     for run in ("a" * 10_000 + "1b", "A" * 10_000 + "1b", "Ab" * 5_000 + "1234567", "ABcd" * 2_500 + "1b"):
         spans(run)
     assert time.perf_counter() - started < 5
+
+
+@pytest.mark.parametrize("alphabet, least", [(string.ascii_lowercase, 0.97), (string.ascii_uppercase, 0.97)])
+@pytest.mark.parametrize("size", [20, 32, 40])
+@pytest.mark.parametrize("behind", ["", "4711"])
+def test_random_letters_of_one_case_are_found(alphabet, least, size, behind):
+    draw = random.Random(size)
+    found = sum(bool(spans("".join(draw.choices(alphabet, k=size)) + behind)) for _ in range(200))
+    assert found >= least * 200
+
+
+@pytest.mark.parametrize("size", [3, 4, 5, 6, 8])
+def test_grouped_keys_are_found(size):
+    draw = random.Random(size)
+    keys = ["-".join("".join(draw.choices(string.ascii_lowercase, k=size)) + f"{draw.randrange(100):02}" for _ in range(4)) for _ in range(200)]
+    assert sum(bool(spans(key)) for key in keys if len(key) >= 20) >= 0.97 * sum(len(key) >= 20 for key in keys)
+    assert [k for _, _, k in spans("key xkqv83-zpwt19-bnrd72-hjfm05 here")] == ["random"]
+
+
+@pytest.mark.parametrize("clean", ["MAXIMUM_NUMBER_OF_CONNECTIONS", "report12_section34_table56_final", "UNCHARACTERISTICALLYRESPONSIBLE", "getHttpResponseHeaderValue2", "2024-01-01_q1-2024-12-31_q4"])
+def test_identifiers_of_words_are_left(clean):
+    assert spans(clean) == []

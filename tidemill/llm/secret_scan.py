@@ -3,8 +3,9 @@
 Base patterns find assignments, access keys and long hex runs. The method adds runs of key-like
 characters of which a byte-pair vocabulary makes few characters a token: natural words and
 identifiers are made of frequent pieces, random strings are not. Left out before the test are
-digests of the usual lengths in hex, UUIDs, plain numbers, runs of letters of one case (words),
-identifiers whose parts are words with a number at most, and what overlaps a base span.
+digests of the usual lengths in hex, UUIDs, plain numbers, words and identifiers of words with a
+number at most, and what overlaps a base span. Shape alone makes no word: the vocabulary must also make
+enough characters a token of a run's letters, split where case changes and lower-cased.
 
 Texts stay in their partitions; nothing shuffles.
 
@@ -38,6 +39,10 @@ UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.IGNORECASE)
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 #: A part of an identifier: words, in camel case or not, with a short number behind; or a short number. Possessive, so linear.
 PART = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]++(?:[a-z]{2,}+)?+)(?:[A-Z]++[a-z]{2,}+)*+(?:[A-Z]{2,}+)?+[0-9]{0,6}|[0-9]{1,8}")
+#: Words of an identifier, which are lower-cased before their tokens are counted.
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Of fewer letters, an identifier is taken for a number or date.
+LEAST_LETTERS = 8
 #: Characters a token below which a run is taken for random.
 MAX_RATIO = 2.2
 
@@ -58,14 +63,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def known_run(run: str) -> bool:
+def known_run(run: str, path: str, pattern: str) -> bool:
     """Whether a run is a digest, an identifier, a number or a word."""
     body = run.strip("+/_=-")
-    if len(body) < 20 or body.isdigit() or body.isalpha() and (body.islower() or body.isupper() or body.istitle()):
+    if len(body) < 20 or body.isdigit():
         return True
     if UUID.fullmatch(body) or len(body) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body):
         return True
-    return all(PART.fullmatch(part) for part in re.split("[+/_=-]+", body)) or not any(c.isdigit() for c in body) and not _mixed(body)
+    shaped = all(PART.fullmatch(part) for part in re.split("[+/_=-]+", body)) or not any(c.isdigit() for c in body) and not _mixed(body)
+    return shaped and _natural(body, path, pattern)
+
+
+def _natural(run: str, path: str, pattern: str) -> bool:
+    """Whether a run's words are token-efficient. Of random letters, the shorter ones vary more: the bound is 2 + 2 / letters."""
+    words = [w.lower() for w in WORD.findall(run)]
+    letters = sum(map(len, words))
+    return letters < LEAST_LETTERS or letters >= (2 + 2 / letters) * sum(len(encoding(path, pattern).encode_ordinary(w)) for w in words)
 
 
 def _mixed(run: str) -> bool:
@@ -87,7 +100,7 @@ def spans(text: str | None, path: str, pattern: str, max_ratio: float = MAX_RATI
     base = list(found)
     for m in RUN.finditer(text):
         run = m[0]
-        if known_run(run) or any(a < m.end() and m.start() < b for a, b, _ in base):
+        if known_run(run, path, pattern) or any(a < m.end() and m.start() < b for a, b, _ in base):
             continue
         if len(run) / len(encoding(path, pattern).encode_ordinary(run)) < max_ratio:
             found.append((m.start(), m.end(), "random"))
