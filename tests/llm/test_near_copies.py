@@ -1,0 +1,77 @@
+"""The pipeline's near dedup against all pairs by their true similarity."""
+
+import random
+
+import corpus_pipeline as pipeline
+from tidemill.llm import near_copies as n
+
+
+def words(text):
+    have = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return {" ".join(have[i : i + 5]) for i in range(max(1, len(have) - 4))} if have else set()
+
+
+def brute(rows):
+    label = {d: d for d, _ in rows}
+    sets = [(d, words(text)) for d, text in rows]
+    for i, (d, a) in enumerate(sets):
+        for e, b in sets[i + 1 :]:
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                old, new = max(label[d], label[e]), min(label[d], label[e])
+                label = {k: new if v == old else v for k, v in label.items()}
+    return label
+
+
+def copies(seed=3, families=12, each=6):
+    """Families of texts: a base, and copies in which a few single words are replaced."""
+    draw, rows = random.Random(seed), []
+    for _ in range(families):
+        base = [f"w{draw.randrange(5000)}" for _ in range(draw.randrange(150, 400))]
+        for k in range(each):
+            text = list(base)
+            for at in draw.sample(range(len(base)), len(base) * k // 200 + bool(k)):
+                text[at] = f"x{draw.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    return [*rows, (900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "One  two"), (905, "three")]
+
+
+def test_equals_all_pairs(spark):
+    rows = copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert {r.doc_id: r.component_id for r in n.classes(spark, docs).collect()} == want
+    assert len(set(want.values())) < 40
+    assert {r.doc_id for r in pipeline.distinct(spark, docs, "").collect()} == set(want.values())
+    assert {r.doc_id: r.component_id for r in n.classes(spark, docs, block=2).collect()} == want
+
+
+def test_forest_and_sets_that_cross_batches():
+    import pyarrow as pa
+
+    sets = [n.shingle_set(text) for _, text in copies(families=2)[:12]]
+    batch = pa.RecordBatch.from_pydict({**{c: [0] * 12 for c in "tkij"}, "node": list(range(12)), "hashes": [s.view("int64") for s in sets]})
+    got = [(a, b) for out in n._runs(0.8)([batch.slice(0, 5), batch.slice(5)]) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert got == n.forest(list(range(12)), sets, 0.8) and got
+
+
+def test_parts_miss_no_pair():
+    """Copies of similarity 0.8 and more share a part."""
+    draw, missed, seen = random.Random(5), 0, 0
+    for _ in range(300):
+        base = [f"w{draw.randrange(5000)}" for _ in range(200)]
+        text = list(base)
+        for at in draw.sample(range(200), draw.randrange(1, 5)):
+            text[at] = "x"
+        a, b = n.shingle_set(" ".join(base)), n.shingle_set(" ".join(text))
+        if n.alike(a, b, 0.8):
+            seen += 1
+            missed += not any(x == y for x, y in zip(n.band_keys(a), n.band_keys(b), strict=True))
+    assert seen > 100 and not missed
+
+
+def test_odd_rows(spark, odd, clashing, no_docs):
+    assert n.near_dedup(spark, clashing).columns == clashing.columns
+    again = odd.union(odd.selectExpr("doc_id + 100", "text", "lang", "source", "n_chars"))
+    got = {r.doc_id for r in n.near_dedup(spark, again).collect()}
+    assert got <= {r.doc_id for r in odd.collect()}
+    assert n.near_dedup(spark, no_docs).count() == 0

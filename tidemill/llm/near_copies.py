@@ -1,0 +1,192 @@
+"""Near-dedup of texts by the Jaccard similarity of their word shingles.
+
+A text is the set of hashes of its shingles of `width` words; equal sets are one node. A fingerprint
+of `bands` parts of `rows` minima each finds candidates: two sets of similarity s agree in a minimum with
+probability s, so in some whole part with 1 - (1 - s^rows)^bands. At 0.8 that leaves 3 pairs of a million
+out, and fewer above. Each candidate is decided by its true similarity.
+
+Every node of a bucket is first compared with the bucket's smallest one, by a join on the candidates. Buckets
+whose nodes are one component by then need no more; in the others all pairs are compared, in sorted runs
+that leave a spanning forest, never pairs. A bucket of over `block` nodes is split into blocks, and
+each pair of blocks is a unit of its own. Components are those of all links.
+
+Defined results: texts without words are one node; fewer words than a shingle are one
+shingle; texts of any length are compared whole; rows with a null id stay; rows that repeat an id share its
+decision; an empty table gives an empty result; all columns stay, whatever their names.
+"""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill.llm.common import components, slices
+from tidemill.llm.simhash_dedup import shingles
+from tidemill.session import Scratch
+
+WIDTH, SIMILARITY = 5, 0.8
+BANDS, ROWS = 24, 4
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    import xxhash
+
+    return np.unique(np.array([xxhash.xxh64_intdigest(part, 42) for part in shingles(text, width)], np.uint64))
+
+
+def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 11) -> list[int]:
+    """A signed key for each part of the fingerprint; an empty set has none."""
+    import xxhash
+
+    if not len(hashes):
+        return []
+    draw = random.Random(seed)
+    flips, odd = (np.array([draw.getrandbits(64) | low for _ in range(bands * rows)], np.uint64)[:, None] for low in (0, 1))
+    least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        mixed = (hashes[at : at + (1 << 12)] ^ flips) * odd
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, (mixed * odd[::-1]).min(axis=1))
+    return [xxhash.xxh64_intdigest(part.tobytes()) - (1 << 63) for part in least.reshape(bands, rows)]
+
+
+def _node(hashes: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def nodes_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """_id, node and band keys of each row."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            sets = [shingle_set(text, width) for text in batch.column("_text").to_pylist()]
+            columns = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *columns], ["_id", "node", "keys"])
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    return rows.mapInArrow(hashed, f"_id {rows.schema['_id'].dataType.simpleString()}, node long, keys array<long>")
+
+
+def sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """node and hashes (its set) of each text in the column _text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            sets = [shingle_set(text, width) for text in batch.column("_text").to_pylist()]
+            columns = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "hashes"])
+
+    return texts.mapInArrow(cut, "node long, hashes array<long>")
+
+
+def forest(nodes: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links among nodes, by a search that compares each one reached with those not reached yet."""
+    edges, left = [], list(range(len(nodes)))
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front and left:
+            at = front.pop()
+            own, far = sets[at], []
+            for i in left:
+                a, b = len(own), len(sets[i])
+                if min(a, b) >= similarity * max(a, b) and alike(own, sets[i], similarity):
+                    edges.append((nodes[at], nodes[i]))
+                    front.append(i)
+                else:
+                    far.append(i)
+            left = far
+    return edges
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def _runs(similarity: float):
+    """Links of buckets, from batches sorted by bucket; a bucket may cross batches."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets = None, [], []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("t", "k", "i", "j")), strict=True)
+            for row, key in enumerate(keys):
+                if key != now:
+                    yield emit(nodes, sets)
+                    now, nodes, sets = key, [], []
+                nodes.append(batch.column("node")[row].as_py())
+                sets.append(batch.column("hashes")[row].values.to_numpy())
+        yield emit(nodes, sets)
+
+    def emit(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        edges = forest(nodes, sets, similarity)
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return links
+
+
+def buckets(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """t, k, node, and the number n of nodes and smallest node of its bucket, for buckets of several nodes."""
+    keyed = nodes.select("node", F.posexplode("keys").alias("t", "k"))
+    sizes = scratch.save(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1"))
+    return scratch.save(keyed.join(sizes, ["t", "k"]))
+
+
+def stars(members: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Links a and b of nodes with the smallest ones of their buckets."""
+    pairs = scratch.save(members.where("node != low").select("low", "node").distinct())
+    one = scratch.save(pairs.join(sets, "node").select("low", "node", F.col("hashes").alias("own")))
+    both = one.join(sets.select(F.col("node").alias("low"), "hashes"), "low")
+    shared = both.select("low", "node", F.size("own").alias("x"), F.size("hashes").alias("y"), F.size(F.array_intersect("own", "hashes")).alias("both"))
+    return scratch.save(shared.where(F.col("both") >= F.lit(similarity) * (F.col("x") + F.col("y") - F.col("both"))).select(F.col("low").alias("a"), F.col("node").alias("b")))
+
+
+def rest(members: DataFrame, found: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, block: int) -> DataFrame:
+    """Links of buckets of over two nodes that aren't one component yet. Of buckets of the same nodes one is read."""
+    named = members.where("n > 2").join(found, "node", "left").select("t", "k", "node", F.coalesce("component", "node").alias("c"))
+    state = named.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c"), F.max("c").alias("d"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    left = scratch.save(state.where("c != d").groupBy("n", "x").agg(F.min(F.struct("t", "k")).alias("b")).select("b.t", "b.k", F.ceil(F.col("n") / block).alias("parts")))
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    # block x of a bucket belongs to the units (x, y) and (y, x) for each other block y
+    units = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda y: F.struct(F.least(own, y).alias("i"), F.greatest(own, y).alias("j")))
+    dealt = members.select("t", "k", "node").join(left, ["t", "k"]).select("t", "k", "node", F.explode(units).alias("u")).select("t", "k", "u.i", "u.j", "node")
+    spread = dealt.join(sets, "node").repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "node")
+    return scratch.save(spread.mapInArrow(_runs(similarity), "a long, b long"))
+
+
+def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WIDTH, block: int = 512) -> DataFrame:
+    """One row per input row: id and component_id, the smallest id of its near copies."""
+    scratch = Scratch(spark, "near")
+    rows = scratch.save(nodes_of(docs, id_col, text_col, width))
+    nodes = scratch.save(rows.groupBy("node").agg(F.min("_id").alias("least"), F.first("keys").alias("keys")))
+    members = buckets(nodes, scratch)
+    wanted = scratch.save(members.select("node").distinct())
+    # texts are hashed once more, so that only the sets of nodes in such buckets are written
+    cut = sets_of(docs.select(F.col(f"`{text_col}`").alias("_text")), width)
+    sets = scratch.save(cut.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    edges = stars(members, sets, scratch, similarity)
+    found = scratch.save(components(spark, edges, scratch).select("node", "component"))
+    more = rest(members, found, sets, scratch, similarity, block)
+    scratch.drop(sets)
+    found = scratch.save(components(spark, edges.union(more), scratch).select("node", "component"))
+    whole = nodes.join(found, "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    moved = found.join(whole, "component").select("node", "component_id")
+    named = scratch.save(nodes.join(moved, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
+    return rows.join(named, "node", "left").select(F.col("_id").alias(id_col), "component_id")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that stay, with all their columns: of each component that with the smallest id."""
+    found = classes(spark, docs, id_col, text_col, **options)
+    # a table, so that Spark knows its size and broadcasts it if it is small: then no text shuffles
+    gone = Scratch(spark, "near").save(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").alias("_id"))
+    return packed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
