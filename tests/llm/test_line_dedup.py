@@ -60,3 +60,16 @@ def test_odd_rows(spark, odd, clashing, no_docs):
     rows = {r.doc_id: r for r in d.dedup_lines(spark, again).collect()}
     assert rows[106].text == "" and rows[106].lines_removed == 1 and rows[3].text is None
     assert d.dedup_lines(spark, no_docs).count() == 0
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    for doc in (None, 7):
+        texts = ["p\nq\nr\nu1\nu2\nu3", "s1\ns2\ns3\np\nq\nr", "p\nq\nr\nend"]
+        docs = spark.createDataFrame([(doc, text, i) for i, text in enumerate(texts)], "doc_id long, text string, n int").repartition(3)
+        out = {r.n: (r.lines_removed, r.text) for r in d.dedup_lines(spark, docs).collect()}
+        cut = ["u1\nu2\nu3", "s1\ns2\ns3", "end"]
+        assert sorted(removed for removed, _ in out.values()) == [0, 3, 3]
+        for i, (removed, text) in out.items():
+            assert text == (cut[i] if removed else texts[i])
+        twice = spark.createDataFrame([(doc, "a\nb\nc")] * 3, "doc_id long, text string").repartition(3)
+        assert sorted((r.lines_removed, r.text) for r in d.dedup_lines(spark, twice).collect()) == [(0, "a\nb\nc"), (3, ""), (3, "")]

@@ -12,7 +12,8 @@ minima with map-side combining, never pairs. Texts shuffle once, to meet their d
 
 Defined results: a null text stays null and has no lines; blank lines stay and part no run; white space at the ends of
 lines doesn't count in comparisons; a run that overlaps its own earlier copy shrinks to its start; null ids come
-last, and rows that repeat an id count as one document; an empty table gives an empty result;
+last, and each row is a document of its own: those that share an id go by a digest of the text, then by the order in
+which they were read; an empty table gives an empty result;
 other columns stay in `dedup_lines`, whatever their names.
 """
 
@@ -51,8 +52,15 @@ def text_windows(text: str | None, run: int = RUN, long_words: int = LONG_WORDS)
     return found
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, run: int, long_words: int) -> DataFrame:
-    """_id, start, n, mark (the fingerprint) and whole (a digest of the lines) of each window."""
+def numbered(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> DataFrame:
+    """_row (the other columns), _id, _text, and a key for each row: a digest of its text and a number. A table, as numbers may change when rows are read again."""
+    row = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("int")
+    text = F.col(f"`{text_col}`")
+    return scratch.save(docs.select(row.alias("_row"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_digest"), F.monotonically_increasing_id().alias("_key")))
+
+
+def windows(docs: DataFrame, run: int, long_words: int) -> DataFrame:
+    """_id, _digest, _key, start, n, mark (the fingerprint) and whole (a digest of the lines) of each window of numbered rows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -60,39 +68,44 @@ def windows(docs: DataFrame, id_col: str, text_col: str, run: int, long_words: i
             at = pa.array([i for i, some in enumerate(found) for _ in some], pa.int64())
             flat = [w for some in found for w in some]
             columns = [pa.array([w[k] for w in flat], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(at), *columns], ["_id", "start", "n", "mark", "whole"])
+            own = [batch.column(c).take(at) for c in ("_id", "_digest", "_key")]
+            yield pa.RecordBatch.from_arrays([*own, *columns], ["_id", "_digest", "_key", "start", "n", "mark", "whole"])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    return rows.mapInArrow(cut, f"_id {rows.schema['_id'].dataType.simpleString()}, start int, n int, mark long, whole binary")
+    rows = docs.select("_id", "_digest", "_key", "_text")
+    return rows.mapInArrow(cut, f"_id {rows.schema['_id'].dataType.simpleString()}, _digest long, _key long, start int, n int, mark long, whole binary")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int = LONG_WORDS) -> DataFrame:
-    """Later windows with their first occurrence: _id, start, n, from_id, from_start."""
+    """Later windows with their first occurrence: _id, _key, start, n, from_id, from_key, from_start."""
     scratch = Scratch(spark, "lines")
-    all_windows = scratch.save(windows(docs, id_col, text_col, run, long_words))
+    return _repeats(scratch, numbered(scratch, docs, id_col, text_col, []), run, long_words)
+
+
+def _repeats(scratch: Scratch, rows: DataFrame, run: int, long_words: int) -> DataFrame:
+    all_windows = scratch.save(windows(rows, run, long_words))
     marks = scratch.save(all_windows.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark"))
     candidates = all_windows.join(marks, "mark")
-    place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("start").alias("s"))
+    place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_digest").alias("d"), F.col("_key").alias("k"), F.col("start").alias("s"))
     first = scratch.save(candidates.groupBy("whole").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("whole", "first"))
     later = candidates.join(first, "whole").where(place > F.col("first"))
-    return scratch.save(later.select("_id", "start", "n", F.col("first.i").alias("from_id"), F.col("first.s").alias("from_start")))
+    return scratch.save(later.select("_id", "_key", "start", "n", F.col("first.i").alias("from_id"), F.col("first.k").alias("from_key"), F.col("first.s").alias("from_start")))
 
 
 def matches(found: DataFrame) -> DataFrame:
     """Maximal matches: windows that go on at both places are one run of lines, `start` to before `stop`."""
-    lane = ["_id", "from_id", F.col("start") - F.col("from_start")]
+    lane = ["_key", "from_key", F.col("start") - F.col("from_start")]
     before = F.max(F.col("start") + F.col("n")).over(Window.partitionBy(*lane).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("lane", F.col("start") - F.col("from_start")).withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
-    order = Window.partitionBy("_id", "from_id", "lane").orderBy("start")
-    numbered = marked.withColumn("match", F.sum("new").over(order))
-    return numbered.groupBy("_id", "from_id", "lane", "match").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"), F.min("from_start").alias("from_start")).drop("lane", "match")
+    order = Window.partitionBy("_key", "from_key", "lane").orderBy("start")
+    counted = marked.withColumn("match", F.sum("new").over(order))
+    return counted.groupBy("_id", "_key", "from_id", "from_key", "lane", "match").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"), F.min("from_start").alias("from_start")).drop("lane", "match")
 
 
 def extended(found: Iterable[dict]) -> list[tuple[int, int]]:
     """What `matches` finds, for the windows of one text: start and stop of each match."""
     lanes = defaultdict(list)
     for w in found:
-        lanes[w["from_id"], w["start"] - w["from_start"]].append((w["start"], w["start"] + w["n"]))
+        lanes[w["from_key"], w["start"] - w["from_start"]].append((w["start"], w["start"] + w["n"]))
     runs = []
     for spans in lanes.values():
         start, stop = min(spans)
@@ -107,8 +120,11 @@ def extended(found: Iterable[dict]) -> list[tuple[int, int]]:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int = LONG_WORDS) -> DataFrame:
     """The input rows with cleaned texts, and lines_removed (which replaces a column of that name)."""
-    found = repeats(spark, docs, id_col, text_col, run, long_words)
-    gone = found.groupBy("_id").agg(F.collect_set(F.struct("start", "n", "from_id", "from_start")).alias("_gone"))  # at most two for each line of a text
+    others = [c for c in docs.columns if c not in (text_col, "lines_removed")]
+    scratch = Scratch(spark, "lines")
+    rows = numbered(scratch, docs, id_col, text_col, others)
+    found = _repeats(scratch, rows, run, long_words)
+    gone = found.groupBy("_key").agg(F.collect_set(F.struct("start", "n", "from_key", "from_start")).alias("_gone"))  # at most two for each line of a text
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,10 +135,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
                 removed.append(len(drop))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["_row", "_text", "_removed"])
 
-    others = [c for c in docs.columns if c not in (text_col, "lines_removed")]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("_row"), F.col(f"`{id_col}`").alias("_own"), F.col(f"`{text_col}`").alias("_text"))
-    met = packed.join(gone, F.col("_own").eqNullSafe(F.col("_id")), "left").select("_row", "_text", "_gone")
-    out = met.mapInArrow(cleaned, StructType([packed.schema["_row"], packed.schema["_text"], StructField("_removed", LongType())]))
+    met = rows.join(gone, "_key", "left").select("_row", "_text", "_gone")
+    out = met.mapInArrow(cleaned, StructType([rows.schema["_row"], rows.schema["_text"], StructField("_removed", LongType())]))
     columns = [F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns if c != "lines_removed"]
     return out.select(*columns, F.col("_removed").alias("lines_removed"))
 
