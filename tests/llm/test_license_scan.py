@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -77,3 +78,24 @@ def test_odd_rows(odd, clashing, no_docs):
     out = s.scan(clashing)
     assert out.columns == clashing.columns
     assert s.report(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(s.TEMPLATES))
+def test_each_template_has_its_own_name(name):
+    assert [h[0] for h in s.Scanner(tuple(s.TEMPLATES.items()), 0.8).hits(f"Before it. {s.TEMPLATES[name]} After it.")] == [name]
+
+
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0-short"),
+        ("This work is licensed under the GNU General Public License, version 1.", "GPL-family"),
+        ("This work is licensed under the GNU Library General Public License, version 3.", "GPL-family"),
+        ("This work is licensed under the GNU Lesser General Public License, version 4.", "GPL-family"),
+        ("This work is licensed under a Creative Commons Attribution 3.0 International License.", "CC-family"),
+        (s.TEMPLATES["GPL-3.0"].replace("General", "Affero General"), "AGPL-3.0"),
+        (s.TEMPLATES["BSD-2-Clause"] + " 3. Neither the name of X may be used.", "BSD-family"),
+    ],
+)
+def test_relatives_are_told_apart(text, name):
+    assert [h[0] for h in s.Scanner(tuple(s.TEMPLATES.items()), 0.8).hits(text)] == [name]

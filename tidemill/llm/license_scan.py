@@ -5,7 +5,8 @@ found by its rarer words; in a region, words that occur once in both are anchors
 subsequence of anchors that rises in both is kept, and the gaps between its neighbours are
 aligned in the same way; at a gap without anchors, equal words at its two ends are aligned.
 Coverage is the share of the template's words that are aligned; regions of at least
-`min_coverage` are hits. Of hits that overlap, that with the most aligned words stays, then that of most coverage.
+`min_coverage` are hits. A hit has its template's name only if the words that tell it from its relatives are aligned and
+none of theirs is in it; otherwise it has the name of the family. Of hits that overlap, that with the most aligned words stays, then that of most coverage.
 
 A text is no candidate for a template only if it lacks so many of its words that the coverage
 can't be reached, so nothing is missed by leaving it out. Texts stay in their partitions; nothing shuffles.
@@ -49,6 +50,37 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+#: Relatives that differ in a few words.
+for _short, _name, _version, _digits in (("GPL-2.0", "General", "2", "2"), ("LGPL-3.0", "Lesser General", "3", "3"), ("LGPL-2.1", "Lesser General", "2.1", "2.1"), ("AGPL-3.0", "Affero General", "3", "3")):
+    TEMPLATES[f"{_short}-short"] = TEMPLATES["GPL-3.0-short"].replace("General", _name).replace("version 3", f"version {_version}")
+    TEMPLATES[_short] = TEMPLATES["GPL-3.0"].replace("General", _name).replace("version 3", f"version {_digits}")
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"] + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+for _kind, _name in {"NC": "NonCommercial", "ND": "NoDerivatives", "NC-SA": "NonCommercial-ShareAlike", "NC-ND": "NonCommercial-NoDerivatives"}.items():
+    TEMPLATES[f"CC-BY-{_kind}-4.0"] = TEMPLATES["CC-BY-4.0"].replace("Attribution", f"Attribution-{_name}")
+for _kind in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+    TEMPLATES[f"CC-{_kind}-4.0-short"] = f"Licensed under CC {_kind} 4.0."
+
+#: Words that tell relatives apart, by family, and how many words after a hit they may follow.
+RELATIVES = {"GPL": ({"lesser", "affero", "library"}, 0), "CC": ({"noncommercial", "noderivatives", "noderivs", "sharealike", "nc", "nd", "sa"}, 0), "BSD": ({"neither"}, 8), "Apache": (set(), 0), "MPL": (set(), 0)}
+#: Words of versions, each of which must be aligned.
+VERSION = re.compile(r"(?:version|v|International|CC BY[A-Z-]*)[. ]+(\d+(?:\.\d+)?)|(\d+\.\d+) International", re.IGNORECASE)
+
+
+def family(name: str) -> str | None:
+    return next((f for f in RELATIVES if f in name.split("-")[0]), None)
+
+
+def told(own: list[str], text: str, name: str) -> set[int]:
+    """Places of a template's words that tell it from its relatives."""
+    if family(name) is None or name not in TEMPLATES or TEMPLATES[name] != text:
+        return set()
+    places = {i for i, w in enumerate(own) if w in RELATIVES[family(name)][0]}
+    if m := VERSION.search(text):
+        k = 1 if m[1] else 2
+        first = len(words(text[: m.start(k)]))
+        places |= set(range(first, first + len(words(m[k]))))
+    return places
+
 
 def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
@@ -114,7 +146,7 @@ class Scanner:
             own = words(text)
             counts = Counter(own)
             rare = {w for w in own if w not in self.COMMON}
-            self.parts.append((name, own, counts, rare))
+            self.parts.append((name, own, counts, rare, told(own, text, name), family(name) if TEMPLATES.get(name) == text else None))
 
     def _regions(self, places: list[int], size: int) -> Iterator[tuple[int, int]]:
         """Spans of a text around rare words that are at most a template's length apart."""
@@ -135,22 +167,30 @@ class Scanner:
         text = text or ""
         spans = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
         have = {w for w, _, _ in spans}
-        hits: list[tuple[int, float, int, int, str]] = []
-        for name, own, counts, rare in self.parts:
+        hits: list[tuple[int, bool, float, int, int, str]] = []
+        for name, own, counts, rare, must, kin in self.parts:
             if sum(n for w, n in counts.items() if w in have) < self.min_coverage * len(own):
                 continue
             places = [i for i, (w, _, _) in enumerate(spans) if w in rare]
             for first, last in self._regions(places, len(own)):
-                for a, b, n in self._within(spans, own, max(0, first - len(own)), min(len(spans), last + len(own) + 1)):
-                    hits.append((-n, -n / len(own), a, b, name))
+                for a, b, places in self._within(spans, own, max(0, first - len(own)), min(len(spans), last + len(own) + 1)):
+                    doubt = not must <= places or self._strange(spans, own, kin, a, b)
+                    hits.append((-len(places), doubt, -len(places) / len(own), a, b, f"{kin}-family" if doubt else name))
         kept: list[tuple[int, int, str, float]] = []
-        for _, coverage, a, b, name in sorted(hits):
+        for _, _, coverage, a, b, name in sorted(hits):
             if not any(x <= b and a <= y for x, y, _, _ in kept):
                 kept.append((a, b, name, -coverage))
         return [(name, spans[a][1], spans[b][2], coverage) for a, b, name, coverage in sorted(kept)]
 
-    def _within(self, spans: list[tuple[str, int, int]], own: list[str], start: int, stop: int) -> list[tuple[int, int, int]]:
-        """First and last word of each hit in a region, and how many words are aligned.
+    def _strange(self, spans: list[tuple[str, int, int]], own: list[str], kin: str | None, a: int, b: int) -> bool:
+        """Whether a hit holds, or is closely followed by, a word of a relative that its template lacks."""
+        if kin is None:
+            return False
+        apart, after = RELATIVES[kin]
+        return any(w in apart and w not in own for w, _, _ in spans[a : b + 1 + after])
+
+    def _within(self, spans: list[tuple[str, int, int]], own: list[str], start: int, stop: int) -> list[tuple[int, int, set[int]]]:
+        """First and last word of each hit in a region, and which words of the template are aligned.
 
         Windows are twice the template and move by half of it; one that hits is aligned once
         more from the hit on, in case it cut the hit's end off.
@@ -163,7 +203,7 @@ class Scanner:
                 continue
             again = align(own, [w for w, _, _ in spans[at : min(stop, at + pairs[0][1] + 2 * size)]])
             pairs = max(pairs, again, key=len)
-            found.append((at + pairs[0][1], at + pairs[-1][1], len(pairs)))
+            found.append((at + pairs[0][1], at + pairs[-1][1], {i for i, _ in pairs}))
             at += pairs[-1][1] + 1
         return found
 
