@@ -55,6 +55,12 @@ def test_cache_overflow(ours, theirs, monkeypatch):
     assert ours.encode(text) == theirs.encode_ordinary(text)
 
 
+def test_long_pre_tokens_are_not_kept(ours, theirs):
+    text = "x" * 20_000 + " " + "qv" * 300 + " short"
+    assert ours.encode(text) == theirs.encode_ordinary(text)
+    assert max(map(len, ours.known)) <= bpe_codec.LONGEST_KEPT and " short" in ours.known
+
+
 def test_query_rows(odd, odd_rows, theirs):
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_codec.round_trip(odd).collect()}
     want = set()

@@ -67,6 +67,18 @@ def test_links_equal_brute_force_with_and_without_blocks(spark):
         assert {frozenset(g) for g in got.values()} == want
 
 
+def test_components_of_a_star_and_a_chain(spark):
+    """A star of 100,000 nodes around its largest one, and a chain beside it."""
+    from pyspark.sql import functions as F
+
+    star = spark.range(100_000).select(F.col("id").alias("a"), F.lit(100_000).cast("long").alias("b"))
+    chain = spark.range(200_000, 200_200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    odd = spark.createDataFrame([(7, 7), (None, 3), (3, None)], "a long, b long")
+    found = components(spark, star.union(chain).union(odd), Scratch(spark, "test"))
+    assert {(r.component, r["count"]) for r in found.groupBy("component").count().collect()} == {(0, 100_001), (200_000, 201)}
+    assert found.count() == found.select("node").distinct().count()
+
+
 def test_classes_of_odd_rows(odd, odd_rows, spark):
     rows = s.classes(spark, odd).collect()
     assert len(rows) == len(odd_rows)

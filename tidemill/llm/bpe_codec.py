@@ -9,7 +9,8 @@ is encoded alone, and a pre-token that is itself in the vocabulary is that one i
 ids back to byte strings.
 
 Texts stay in their partitions: nothing shuffles, and memory is bounded by a batch of texts
-and a cache of `CACHE` pre-tokens for each worker.
+and a cache of `CACHE` pre-tokens for each worker, none longer than `LONGEST_KEPT` characters: 170 MB at the very
+most. One very long pre-token is encoded whole and not kept.
 
 Defined results: a null text counts as empty and gives no ids; texts of any length are encoded
 whole; repeated rows are encoded alike; an empty table gives an empty result; extra columns
@@ -22,7 +23,7 @@ import base64
 import functools
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from tidemill.llm.common import slices
+from tidemill.llm.common import LONGEST_KEPT, slices
 
 #: Pre-tokens kept with their ids by each Python worker.
 CACHE = 200_000
@@ -101,30 +102,34 @@ class Codec:
         self.bytes_of = {rank: piece for piece, rank in self.ranks.items()}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def _learn(self, tokens: list[str]) -> None:
-        """Put the ids of these pre-tokens into the cache."""
-        hard = []
+    def _learn(self, tokens: list[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of these pre-tokens."""
+        found, hard = {}, []
         for token in tokens:
             raw = token.encode()
             whole = self.ranks.get(raw)
             if whole is None:
                 hard.append((token, raw.decode("latin-1").translate(self.letters)))
             else:
-                self.known[token] = (whole,)
+                found[token] = (whole,)
         rank_of = self.rank_of
         for (token, _), ids in zip(hard, self.merges.encode([x for _, x in hard], num_threads=1) if hard else (), strict=True):
-            self.known[token] = tuple([rank_of[i] for i in ids])
+            found[token] = tuple([rank_of[i] for i in ids])
+        return found
 
     def encode(self, text: str) -> list[int]:
         tokens = self.split(text)
         known = self.known
         fresh = set(tokens).difference(known)
-        if fresh:
-            if len(known) + len(fresh) > CACHE:
-                known.clear()
-                fresh = set(tokens)
-            self._learn(list(fresh))
-        return list(chain.from_iterable(map(known.__getitem__, tokens)))
+        if not fresh:
+            return list(chain.from_iterable(map(known.__getitem__, tokens)))
+        learned = self._learn(list(fresh))
+        ids = list(chain.from_iterable([learned[t] if t in learned else known[t] for t in tokens]))
+        kept = {t: learned[t] for t in islice((t for t in learned if len(t) <= LONGEST_KEPT), CACHE)}
+        if len(known) + len(kept) > CACHE:
+            known.clear()
+        known.update(kept)
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -12,6 +12,8 @@ from tidemill.session import Scratch
 
 #: White space of the contracts: space, and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
+#: Characters of the longest texts that caches of tokens keep, so that a bound on their number bounds their bytes.
+LONGEST_KEPT = 64
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -36,8 +38,9 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most_rou
     edges: columns a and b, longs; loops, repeats, both directions and nulls are allowed.
     Returns node and component (smallest node reachable), for nodes on some edge that isn't
     a loop. Each round is two joins on node ids, so no adjacency list is gathered anywhere;
-    rounds grow with the logarithm of the longest component. Each round's table replaces the
-    one before in the shared folder.
+    rounds grow with the logarithm of the longest component. Smallest neighbours are tables of their own, so
+    that a join can split the rows of a node with very many links. Each round's tables replace
+    those before in the shared folder.
     """
     a, b = F.col("a"), F.col("b")
     now = scratch.save(
@@ -50,12 +53,13 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most_rou
         if mark[0] == 0:
             break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        after = scratch.save(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        scratch.drop(now)
+        low = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = scratch.save(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        after = scratch.save(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        for old in (now, low, large, least):
+            scratch.drop(old)
         now, was = after, mark
         mark = _mark(now)
         if mark == was:
