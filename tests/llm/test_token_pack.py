@@ -62,6 +62,23 @@ def test_files_equal_brute_force(spark, odd, odd_rows, theirs):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
 
 
+def test_long_words_are_not_kept(theirs, monkeypatch):
+    use = t.WordEncoder(t.default_path())
+    texts = ["x" * 20_000 + " " + "qv" * 300 + "! short", "é" * 500 + "1", "short again"]
+    for most in (t.CACHE, 2):
+        monkeypatch.setattr(t, "CACHE", most)
+        ids, sizes = use.encode(pa.array(texts))
+        for text, own in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert own.tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [*use.words, *use.pieces])) <= t.LONGEST_KEPT
+
+
+def test_clashing_columns(spark, clashing):
+    docs = clashing.where("doc_id < 6")
+    got = {r.doc_id: r.n_tokens for r in t.write_and_check(spark, docs).collect()}
+    assert got == {r.doc_id: r.n_tokens for r in t.write_and_check(spark, docs.select("doc_id", "text")).collect()} and len(got) == 5
+
+
 def test_ids_come_back(spark, odd, theirs, no_docs):
     path = Scratch(spark, "test").path
     t.write(odd, path)

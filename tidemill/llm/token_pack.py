@@ -9,7 +9,8 @@ words of one layout decode in one vectorised step.
 A file is a Parquet part whose rows are blocks in order: part, block, ids before it in its part, ids of
 the documents in it, ids (tokens) of each, and the packed bytes. Documents are sorted by id across parts, and a block ends
 with a document, so reading needs no neighbour. Spark's commit protocol makes parts whole or
-absent, also when executors are lost. Texts shuffle once, by ranges of the document id.
+absent, also when executors are lost. Texts shuffle once, by ranges of the document id. A worker keeps the ids of `CACHE`
+words and pieces each, none longer than `LONGEST_KEPT` characters.
 
 Defined results: a null text counts as empty, and an empty text has the end id only; texts of
 any length are one document of one block; null document ids come first; repeated rows are
@@ -24,6 +25,7 @@ import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.bpe_codec import byte_letters
-from tidemill.llm.common import slices
+from tidemill.llm.common import LONGEST_KEPT, slices
 from tidemill.session import Scratch
 
 #: Ids and bits of each by selector.
@@ -161,32 +163,36 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn_pieces(self, fresh: list[str]) -> None:
+    def _learn_pieces(self, fresh: list[str]) -> dict[str, bytes]:
         spelt = (p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in fresh)
         ids = np.array(self.bare.encode_batch_fast([" ".join(spelt)], add_special_tokens=False)[0].ids, "<u4")
         stops, raw = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
-        self.pieces |= {piece: raw[a:b] for piece, a, b in zip(fresh, [0, *stops[:-1]], stops, strict=True)}
+        return {piece: raw[a:b] for piece, a, b in zip(fresh, [0, *stops[:-1]], stops, strict=True)}
 
-    def _learn_words(self, fresh: list[str]) -> None:
+    def _learn_words(self, fresh: list[str]) -> dict[str, bytes]:
         plain = [w for w in fresh if self.mark is not None and self.MARK not in w and "<|" not in w]
-        self.words |= {w: self._ids(w).tobytes() for w in set(fresh).difference(plain)}
+        found = {w: self._ids(w).tobytes() for w in set(fresh).difference(plain)}
         if plain:
             ids = self._ids(f" {self.MARK} ".join(plain))
             raw, cuts = ids.tobytes(), [0, *(4 * np.flatnonzero(ids == self.mark) + 4).tolist(), 4 * len(ids) + 4]
-            self.words |= {w: raw[a : b - 4] for w, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True)}
+            found |= {w: raw[a : b - 4] for w, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True)}
+        return found
 
     @staticmethod
-    def _look_up(texts: pa.Array, known: dict[str, bytes], learn: Callable[[list[str]], None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _look_up(texts: pa.Array, known: dict[str, bytes], learn: Callable[[list[str]], dict[str, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct texts one after the other, where each starts, and how many it has."""
         listed = texts.to_numpy(zero_copy_only=False).tolist()
         fresh = [t for t in listed if t not in known]
         if fresh:
-            if len(known) + len(fresh) > CACHE:
+            learned = learn(fresh)
+            found = [learned[t] if t in learned else known[t] for t in listed]
+            kept = {t: learned[t] for t in islice((t for t in fresh if len(t) <= LONGEST_KEPT), CACHE)}
+            if len(known) + len(kept) > CACHE:
                 known.clear()
                 known[""] = b""
-                fresh = [t for t in listed if t]
-            learn(fresh)
-        found = [known[t] for t in listed]
+            known |= kept
+        else:
+            found = [known[t] for t in listed]
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, size
 
