@@ -61,3 +61,13 @@ def test_sample_is_bounded(spark, most):
     docs = spark.createDataFrame([(i, f"w{i}") for i in range(30)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
     assert t.report(spark, docs, labels, max_labelled=most).count() == 30
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark, monkeypatch):
+    seen = []
+    model = t.label_model
+    monkeypatch.setattr(t, "label_model", lambda votes, labels, *rest: seen.append(len(votes)) or model(votes, labels, *rest))
+    docs = spark.createDataFrame([(i % 12, f"zorg w{i} {'vile' if i % 2 else 'fine'}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    assert t.report(spark, docs, labels, max_labelled=10).count() == 3000
+    assert seen and max(seen) <= 10

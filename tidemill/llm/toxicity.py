@@ -13,7 +13,7 @@ broadcast to find their texts. All else covers all rows: each text is scored who
 
 Defined results: null texts count as empty; empty texts get the score of no vote; a null id is
 not held out and never learned from; labels that are null are ignored, repeated ones count as
-toxic if any is; repeated rows score alike; with no usable labels, or of one class only, only the
+toxic if any is; of rows that repeat a labelled id the text that sorts first is learned from; repeated rows score alike; with no usable labels, or of one class only, only the
 lexicons vote, with fixed weights; an empty table gives an empty result; other columns stay, and
 one named as the score is replaced.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidemill.llm.common import slices
+from tidemill.llm.common import LONGEST_KEPT, slices
 from tidemill.session import Scratch
 
 #: Labelled rows and mined patterns used at most.
@@ -81,11 +81,12 @@ class Voters:
         return {**self.__dict__, "known": {}}
 
     def _of(self, word: str) -> tuple[int, ...]:
-        if len(self.known) >= self.CACHE:
-            self.known.clear()
         forms = [word + END, *(word[:n] for n in self.lengths if len(word) >= n)]
         found = tuple(self.words.get(word, ())) + tuple(sorted(self.begin[f] for f in forms if f in self.begin))
-        self.known[word] = found
+        if len(word) <= LONGEST_KEPT:
+            if len(self.known) >= self.CACHE:
+                self.known.clear()
+            self.known[word] = found
         return found
 
     def fire(self, text: str | None) -> list[int]:
@@ -194,7 +195,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     share = min(1.0, (1.5 * max_labelled + 100) / max(1, usable.count()))
     chosen = usable.where(place < int(share * (1 << 30))).orderBy(place, "_id").limit(max_labelled)
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    sample = Scratch(spark, "toxicity").save(texts.join(F.broadcast(chosen), "_id").select("_text", "_toxic"))
+    # one text of each id, so that repeated ids don't grow the sample
+    once = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text"))
+    sample = Scratch(spark, "toxicity").save(once.select("_text", "_toxic"))
     sizes = {row["_toxic"]: row["count"] for row in sample.groupBy("_toxic").count().collect()}
     if len(sizes) < 2:
         voters = Voters([])
