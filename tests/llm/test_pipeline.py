@@ -4,7 +4,7 @@ import hashlib
 
 import corpus_pipeline as pipeline
 from tidemill.llm import mixing, toxicity
-from tidemill.llm.simhash_dedup import fingerprint
+from tidemill.llm.simhash_similar import shingle_set
 from tidemill.sources import table
 
 SF = "/root/testdata/sf0.01"
@@ -31,11 +31,11 @@ def test_stages(spark):
                 best[key] = min(best.get(key, (1, 0)), (-len(r.text), d))
             assert set(rows) == {d for _, d in best.values()}
         elif name == "simhash_dedup":
-            fps = sorted((d, fingerprint(r.text)) for d, r in kept.items())
-            label = {d: d for d, _ in fps}
-            for i, (d, f) in enumerate(fps):
-                for e, g in fps[i + 1 :]:
-                    if (f ^ g).bit_count() <= 3 and label[d] != label[e]:
+            sets = sorted((d, set(shingle_set(r.text).tolist())) for d, r in kept.items())
+            label = {d: d for d, _ in sets}
+            for i, (d, x) in enumerate(sets):
+                for e, y in sets[i + 1 :]:
+                    if label[d] != label[e] and len(x & y) >= 0.8 * len(x | y):
                         old, new = max(label[d], label[e]), min(label[d], label[e])
                         label = {k: new if v == old else v for k, v in label.items()}
             assert set(rows) == set(label.values())

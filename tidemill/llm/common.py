@@ -1,11 +1,11 @@
-"""What several operators share: text batches and connected components."""
+"""What several operators share: text batches, connected components, and the rows of components that stay."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.session import Scratch
@@ -70,6 +70,22 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most_rou
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def keep_one(docs: DataFrame, rows: DataFrame, id_col: str, raw: Column, scratch: Scratch) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component that with the smallest id, nulls last.
+
+    rows: _id, _raw (the value of `raw`, which tells apart rows that share an id) and component. Rows that are alike in
+    both share a decision.
+    """
+    rank = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_raw").alias("r"))
+    best = scratch.save(rows.groupBy("component").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    lost = rows.join(best, "component").where(~(F.col("_id").eqNullSafe(F.col("best.i")) & F.col("_raw").eqNullSafe(F.col("best.r"))))
+    # a table, so that Spark knows its size and broadcasts it if it is small: then no text shuffles
+    gone = scratch.save(lost.select(F.col("_id").alias("_gone"), F.col("_raw").alias("_gone_raw")).distinct())
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").alias("_id"), raw.alias("_raw"))
+    same = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_raw") == F.col("_gone_raw"))
+    return packed.join(gone, same, "left_anti").select("_row.*")
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row.n, row.x or 0

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import components, slices
+from tidemill.llm.common import components, keep_one, slices
 from tidemill.session import Scratch
 
 BITS = 64
@@ -59,24 +59,25 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(parts)).tobytes(), "big")
 
 
-def masks(radius: int, seed: int = 7) -> list[int]:
+def masks(radius: int, seed: int = 7, bits: int = BITS) -> list[int]:
     """One mask for each table of the covering family."""
     dim = radius + 1
-    deal = [1 + i % (2**dim - 1) for i in range(BITS)]
+    deal = [1 + i % (2**dim - 1) for i in range(bits)]
     random.Random(seed).shuffle(deal)
-    return [sum(1 << i for i in range(BITS) if (deal[i] & v).bit_count() & 1) for v in range(1, 2**dim)]
+    return [sum(1 << i for i in range(bits) if (deal[i] & v).bit_count() & 1) for v in range(1, 2**dim)]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """_id and fp (the fingerprint as a signed long) of each row."""
+    """_id, _raw (a hash of the text) and fp (the fingerprint as a signed long) of each row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             found = np.array([fingerprint(text, width, seed) for text in batch.column("_text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found.view(np.int64))], ["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_raw"), pa.array(found.view(np.int64))], ["_id", "_raw", "fp"])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    return rows.mapInArrow(hashed, f"_id {rows.schema['_id'].dataType.simpleString()}, fp long")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_raw"), text.alias("_text"))
+    return rows.mapInArrow(hashed, f"_id {rows.schema['_id'].dataType.simpleString()}, _raw long, fp long")
 
 
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -150,12 +151,18 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _found(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, radius: int, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, distinct fingerprints with their smallest id, and the component of those that are linked."""
+    rows = scratch.save(fingerprints(docs, id_col, text_col, width))
+    nodes = scratch.save(rows.groupBy("fp").agg(F.min("_id").alias("least")))
+    found = components(spark, links(nodes, scratch, radius), scratch).select(F.col("node").alias("fp"), "component")
+    return rows, nodes, scratch.save(found)
+
+
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits) and component_id."""
     scratch = Scratch(spark, "simhash")
-    rows = scratch.save(fingerprints(docs, id_col, text_col, width))
-    nodes = scratch.save(rows.groupBy("fp").agg(F.min("_id").alias("least")))
-    found = scratch.save(components(spark, links(nodes, scratch, radius), scratch).select(F.col("node").alias("fp"), "component"))
+    rows, nodes, found = _found(spark, docs, id_col, text_col, radius, width, scratch)
     whole = nodes.join(found, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     moved = found.join(whole, "component").select("fp", "component_id")
     named = scratch.save(nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
@@ -166,10 +173,10 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
 def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
     """The rows that stay, with all their columns: of each component that with the smallest id.
 
-    Rows whose id is null stay. Ids should be unique: rows that repeat an id share its decision.
+    Rows that only share an id are documents of their own; those alike in id and text share a decision. `simhash_similar`
+    has the same for a similarity of texts in place of a radius.
     """
-    found = classes(spark, docs, id_col, text_col, radius, width)
-    # a table, so that Spark knows its size and broadcasts it if it is small: then no text shuffles
-    gone = Scratch(spark, "simhash").save(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").alias("_id"))
-    return packed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+    scratch = Scratch(spark, "simhash")
+    rows, _, found = _found(spark, docs, id_col, text_col, radius, width, scratch)
+    named = rows.join(found, "fp", "left").select("_id", "_raw", F.coalesce("component", "fp").alias("component"))
+    return keep_one(docs, named, id_col, F.xxhash64(F.col(f"`{text_col}`")), scratch)
