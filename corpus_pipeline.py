@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe_codec, exact_dedup, mixing, near_copies, toxicity
+from tidemill.llm import bpe_codec, exact_dedup, mixing, simhash_similar, toxicity
 from tidemill.llm.queries import DOMAIN
 from tidemill.session import Scratch, share_code
 from tidemill.sources import table
@@ -27,7 +27,7 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.near_dedup(share_code(spark), docs)
+    return simhash_similar.near_dedup(share_code(spark), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
