@@ -1,23 +1,30 @@
+import random
+
 from tidemill.llm import line_dedup as d
 
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def brute(rows, run=3, long_words=50):
-    """Delete each run of lines that came earlier, looking at all pairs."""
+def brute(rows, run=3, run_words=50):
+    """Look at all runs of lines: each that is long enough and came earlier goes, with the lines around it that are equal at its first place."""
     texts = sorted(((doc is None, doc), (text or "").split("\n")) for doc, text in rows)
-    seen, out = set(), {}
-    for (_, doc), lines in texts:
-        at = [i for i, line in enumerate(lines) if line.strip(WHITE)]
-        body, gone = [lines[i].strip(WHITE) for i in at], set()
+    bodies = [([i for i, line in enumerate(lines) if line.strip(WHITE)], [line.strip(WHITE) for line in lines if line.strip(WHITE)]) for _, lines in texts]
+    first, out = {}, {}
+    for t, ((_, doc), lines) in enumerate(texts):
+        at, body = bodies[t]
+        gone = set()
         for k in range(len(body)):
-            wide = [tuple(body[k : k + run])] if k + run <= len(body) else []
-            if len(body[k].split()) >= long_words:
-                wide.append((body[k],))
-            for part in wide:
-                if part in seen:
-                    gone |= set(range(k, k + len(part)))
-                seen.add(part)
+            n = next((n for n in range(1, run + 1) if k + n <= len(body) and (n == run or sum(len(x.split()) for x in body[k : k + n]) >= run_words)), None)
+            if n is None:
+                continue
+            u, j = first.setdefault(tuple(body[k : k + n]), (t, k))
+            if (u, j) != (t, k):
+                other, lo, hi = bodies[u][1], 0, n
+                while hi < n + run - 1 and k + hi < len(body) and j + hi < len(other) and body[k + hi] == other[j + hi]:
+                    hi += 1
+                while lo < run - 1 and k - lo - 1 >= 0 and j - lo - 1 >= 0 and body[k - lo - 1] == other[j - lo - 1]:
+                    lo += 1
+                gone |= set(range(k - lo, k + hi))
         out[doc] = (len(gone), "\n".join(line for i, line in enumerate(lines) if i not in at or at.index(i) not in gone))
     return out
 
@@ -35,21 +42,40 @@ def test_equals_brute_force(spark):
     assert got[2] == (3, "x\n\ny") and got[6] == (1, "first")
 
 
-def test_matches_extend_both_ways(spark):
-    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
-    found = {(r["_id"], r.start, r.stop, r.from_id, r.from_start) for r in d.matches(d.repeats(spark, docs)).collect()}
-    assert (9, 1, 5, 1, 1) in found and (2, 1, 4, 1, 1) in found and (9, 6, 9, 1, 0) in found
+def test_random_lines_equal_brute_force(spark):
+    draw = random.Random(8)
+    line = lambda: " ".join([draw.choice("abc")] + ["w"] * draw.choice([0, 0, 20, 26, 49, 50]))
+    rows = [(i, "\n".join(line() for _ in range(draw.randrange(12)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.lines_removed, r.text) for r in d.dedup_lines(spark, docs).collect()}
+    assert got == brute(rows) and sum(n for n, _ in got.values()) > 200
+
+
+def test_matches_extend_beyond_their_windows(spark):
+    """The first two lines have 50 words, so they are a window; the third one is too short for a window of its own."""
+    run = [" ".join(["x"] * 40), " ".join(["y"] * 15), "tail"]
+    rows = [(1, "\n".join(["a", *run, "b"])), (2, "\n".join(["c", *run, "d"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["_id"], r.start, r.stop, r.from_id, r.from_start) for r in d.repeats(spark, docs).collect()}
+    assert found == {(2, 1, 4, 1, 1)}
+    assert {r.doc_id: r.text for r in d.dedup_lines(spark, docs).collect()} == {1: rows[0][1], 2: "c\nd"}
+
+
+def test_passages_of_two_lines_are_found(spark):
+    for sizes in ((4, 47), (43, 49), (34, 33), (25, 26)):
+        run = "\n".join(" ".join(f"{side}{i}" for i in range(n)) for side, n in zip("pq", sizes, strict=True))
+        docs = spark.createDataFrame([(1, f"a\n{run}\nb"), (2, f"c\n{run}\nd")], "doc_id long, text string")
+        assert {r.doc_id: r.text for r in d.dedup_lines(spark, docs).collect()}[2] == "c\nd", sizes
 
 
-def test_extended_equals_matches(spark):
-    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
-    found = d.repeats(spark, docs)
-    by_doc = {}
-    for r in found.collect():
-        by_doc.setdefault(r["_id"], []).append(r.asDict())
-    got = {(doc, start, stop) for doc, some in by_doc.items() for start, stop in d.extended(some)}
-    assert got == {(r["_id"], r.start, r.stop) for r in d.matches(found).collect()}
-    assert d.extended([]) == []
+def test_fingerprints_are_minima_of_all_windows():
+    draw = random.Random(9)
+    text = "\n".join(str(draw.randrange(40)) for _ in range(3000))
+    found = d.fingerprints(text)
+    starts = sorted(start for _, _, some, _, _ in found for start, _, _ in some)
+    assert starts == list(range(2998)) and 0.4 < len(found) / 3000 < 0.65
+    for at, mark, some, since, near in found:
+        assert near[at - since] == mark and all(mark == min(near[s - since : s + n - since]) for s, n, _ in some)
 
 
 def test_odd_rows(spark, odd, clashing, no_docs):

@@ -1,15 +1,18 @@
 """Line dedup by winnowing over line hashes.
 
-A text's lines that aren't blank are hashed, and of each window of `run` lines the smallest hash (the last
-of equal ones) is a fingerprint: any repeated run of so many lines has the same fingerprint at the same
-place of it, so fingerprints that occur once rule their windows out. The other windows are joined
-by position with the first occurrence of the same lines, by id and place; matches are extended
-both ways by chaining windows that go on at both places; lines of later occurrences are deleted. A
-line of at least `long_words` words is a run by itself.
-
-Windows are rows, so a common line, run or source spreads over tasks; first occurrences are
+A text's lines that aren't blank are hashed. A window starts at each line and goes on until it has `run` lines or
+`run_words` words, so that any run of so many lines or words holds a whole window at its start. Of each window the smallest line hash
+(the last of equal ones) is selected as a fingerprint, with its position; neighbouring windows mostly select the same one. Equal runs
+select the same fingerprints at the same places of theirs, so those that occur once are done with. The others are joined by the lines of
+the windows that selected them with the first such position, by id and place; the match is extended both ways as far as lines are equal at both
+positions, and its lines are deleted at the later one.
+
+A match reaches `run` - 1 lines beyond its window on either side: what goes on longer holds a window of its own.
+Fingerprints are rows, so a common line, run or source spreads over tasks; first positions are
 minima with map-side combining, never pairs. Texts shuffle once, to meet their deleted lines.
 
+Only whole lines are compared: a passage that begins or ends within a line leaves those lines.
+
 Defined results: a null text stays null and has no lines; blank lines stay and part no run; white space at the ends of
 lines doesn't count in comparisons; a run that overlaps its own earlier copy shrinks to its start; null ids come
 last, and each row is a document of its own: those that share an id go by a digest of the text, then by the order in
@@ -20,36 +23,45 @@ other columns stay in `dedup_lines`, whatever their names.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemill.llm.common import WHITE, slices
 from tidemill.session import Scratch
 
-RUN, LONG_WORDS = 3, 50
+RUN, RUN_WORDS = 3, 50
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def text_windows(text: str | None, run: int = RUN, long_words: int = LONG_WORDS) -> list[tuple[int, int, int, bytes]]:
-    """Windows of a text: first line (of those not blank), number of lines, fingerprint, digest of the lines."""
+def window_sizes(words: list[int], run: int = RUN, run_words: int = RUN_WORDS) -> list[int]:
+    """Lines of the window that starts at each line; 0 where the text ends before it is whole."""
+    sizes = []
+    for start in range(len(words)):
+        total = size = 0
+        while size < run and total < run_words and start + size < len(words):
+            total += words[start + size]
+            size += 1
+        sizes.append(size if size == run or total >= run_words else 0)
+    return sizes
+
+
+def fingerprints(text: str | None, run: int = RUN, run_words: int = RUN_WORDS) -> list[tuple[int, int, list[tuple[int, int, bytes]], int, list[int]]]:
+    """Selected fingerprints of a text: place, line hash, the windows that selected it (start, lines, digest), and line hashes around it from a place on."""
     import xxhash
 
     lines = [line for line in (raw.strip(WHITE) for raw in (text or "").split("\n")) if line]
-    hashes = [xxhash.xxh64_intdigest(line) for line in lines]
-    found = []
-    for start in range(len(lines) - run + 1):
-        part = hashes[start : start + run]
-        whole = xxhash.xxh3_128_digest("\n".join(lines[start : start + run]))
-        found.append((start, run, min(part) - (1 << 63), whole))
-    for start, line in enumerate(lines):
-        if long_words and len(line) >= 2 * long_words - 1 and len(WORDS.findall(line)) >= long_words and run > 1:
-            found.append((start, 1, hashes[start] - (1 << 63), xxhash.xxh3_128_digest(line)))
-    return found
+    hashes = [xxhash.xxh64_intdigest(line) - (1 << 63) for line in lines]
+    selected: dict[int, list[tuple[int, int, bytes]]] = {}
+    for start, size in enumerate(window_sizes([len(WORDS.findall(line)) for line in lines], run, run_words)):
+        if size:
+            at = min(range(start, start + size), key=lambda i: (hashes[i], -i))
+            selected.setdefault(at, []).append((start, size, xxhash.xxh3_128_digest("\n".join(lines[start : start + size]))))
+    reach = 2 * (run - 1)
+    return [(at, hashes[at], some, max(0, at - reach), hashes[max(0, at - reach) : at + reach + 1]) for at, some in selected.items()]
 
 
 def numbered(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> DataFrame:
@@ -59,78 +71,73 @@ def numbered(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, othe
     return scratch.save(docs.select(row.alias("_row"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_digest"), F.monotonically_increasing_id().alias("_key")))
 
 
-def windows(docs: DataFrame, run: int, long_words: int) -> DataFrame:
-    """_id, _digest, _key, start, n, mark (the fingerprint) and whole (a digest of the lines) of each window of numbered rows."""
+def selected(rows: DataFrame, run: int, run_words: int) -> DataFrame:
+    """_id, _digest, _key, at, mark (the fingerprint), windows, since and near (line hashes from `since` on) of each selected fingerprint."""
+    window = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("whole", pa.binary())]))
+    kinds = (pa.int32(), pa.int64(), window, pa.int32(), pa.list_(pa.int64()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            found = [text_windows(text, run, long_words) for text in batch.column("_text").to_pylist()]
-            at = pa.array([i for i, some in enumerate(found) for _ in some], pa.int64())
-            flat = [w for some in found for w in some]
-            columns = [pa.array([w[k] for w in flat], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))]
-            own = [batch.column(c).take(at) for c in ("_id", "_digest", "_key")]
-            yield pa.RecordBatch.from_arrays([*own, *columns], ["_id", "_digest", "_key", "start", "n", "mark", "whole"])
-
-    rows = docs.select("_id", "_digest", "_key", "_text")
-    return rows.mapInArrow(cut, f"_id {rows.schema['_id'].dataType.simpleString()}, _digest long, _key long, start int, n int, mark long, whole binary")
+            found = [fingerprints(text, run, run_words) for text in batch.column("_text").to_pylist()]
+            doc = pa.array([i for i, some in enumerate(found) for _ in some], pa.int64())
+            flat = [print_ for some in found for print_ in some]
+            columns = [pa.array([[dict(zip(("start", "n", "whole"), w, strict=True)) for w in f[k]] if k == 2 else f[k] for f in flat], kind) for k, kind in enumerate(kinds)]
+            own = [batch.column(c).take(doc) for c in ("_id", "_digest", "_key")]
+            yield pa.RecordBatch.from_arrays([*own, *columns], ["_id", "_digest", "_key", "at", "mark", "windows", "since", "near"])
+
+    some = rows.select("_id", "_digest", "_key", "_text")
+    schema = "_digest long, _key long, at int, mark long, windows array<struct<start:int,n:int,whole:binary>>, since int, near array<long>"
+    return some.mapInArrow(cut, f"_id {some.schema['_id'].dataType.simpleString()}, {schema}")
+
+
+def _further(run: int, at: Column, first_at: Column, step: int) -> Column:
+    """How many lines are equal at both positions, from a place on and the other place on, up or down."""
+    own = [F.get("near", at + step * i - F.col("since")) for i in range(run - 1)]
+    other = [F.get("first.near", first_at + step * i - F.col("first.since")) for i in range(run - 1)]
+    count, same = F.lit(0), F.lit(True)
+    for a, b in zip(own, other, strict=True):
+        same = same & F.coalesce(a == b, F.lit(False))
+        count = count + same.cast("int")
+    return count
+
+
+def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, run_words: int = RUN_WORDS) -> DataFrame:
+    """Later runs, each with its first occurrence: _id, _key, start, stop, from_id, from_key, from_start."""
+    scratch = Scratch(spark, "lines")
+    return _repeats(scratch, numbered(scratch, docs, id_col, text_col, []), run, run_words)
+
+
+def _repeats(scratch: Scratch, rows: DataFrame, run: int, run_words: int) -> DataFrame:
+    prints = scratch.save(selected(rows, run, run_words))
+    marks = scratch.save(prints.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark"))
+    positions = prints.join(marks, "mark").select("_id", "_digest", "_key", "since", "near", F.explode("windows").alias("w"))
+    windows = positions.select("_id", "_digest", "_key", "since", "near", "w.start", "w.n", "w.whole")
+    order = [F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_digest").alias("d"), F.col("_key").alias("k"), F.col("start").alias("s")]
+    first = windows.groupBy("whole").agg(F.min(F.struct(*order, "since", "near")).alias("first"), F.count(F.lit(1)).alias("times"))
+    first = scratch.save(first.where("times > 1").select("whole", "first"))
+    later = windows.join(first, "whole").where((F.col("_key") != F.col("first.k")) | (F.col("start") != F.col("first.s")))
+    end, first_end = F.col("start") + F.col("n"), F.col("first.s") + F.col("n")
+    up, down = _further(run, end, first_end, 1), _further(run, F.col("start") - 1, F.col("first.s") - 1, -1)
+    found = scratch.save(
+        later.select("_id", "_key", (F.col("start") - down).alias("start"), (end + up).alias("stop"), F.col("first.i").alias("from_id"), F.col("first.k").alias("from_key"), (F.col("first.s") - down).alias("from_start")).distinct()
+    )
+    scratch.drop(prints)
+    return found
 
 
-def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int = LONG_WORDS) -> DataFrame:
-    """Later windows with their first occurrence: _id, _key, start, n, from_id, from_key, from_start."""
-    scratch = Scratch(spark, "lines")
-    return _repeats(scratch, numbered(scratch, docs, id_col, text_col, []), run, long_words)
-
-
-def _repeats(scratch: Scratch, rows: DataFrame, run: int, long_words: int) -> DataFrame:
-    all_windows = scratch.save(windows(rows, run, long_words))
-    marks = scratch.save(all_windows.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark"))
-    candidates = all_windows.join(marks, "mark")
-    place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_digest").alias("d"), F.col("_key").alias("k"), F.col("start").alias("s"))
-    first = scratch.save(candidates.groupBy("whole").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("whole", "first"))
-    later = candidates.join(first, "whole").where(place > F.col("first"))
-    return scratch.save(later.select("_id", "_key", "start", "n", F.col("first.i").alias("from_id"), F.col("first.k").alias("from_key"), F.col("first.s").alias("from_start")))
-
-
-def matches(found: DataFrame) -> DataFrame:
-    """Maximal matches: windows that go on at both places are one run of lines, `start` to before `stop`."""
-    lane = ["_key", "from_key", F.col("start") - F.col("from_start")]
-    before = F.max(F.col("start") + F.col("n")).over(Window.partitionBy(*lane).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    marked = found.withColumn("lane", F.col("start") - F.col("from_start")).withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
-    order = Window.partitionBy("_key", "from_key", "lane").orderBy("start")
-    counted = marked.withColumn("match", F.sum("new").over(order))
-    return counted.groupBy("_id", "_key", "from_id", "from_key", "lane", "match").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"), F.min("from_start").alias("from_start")).drop("lane", "match")
-
-
-def extended(found: Iterable[dict]) -> list[tuple[int, int]]:
-    """What `matches` finds, for the windows of one text: start and stop of each match."""
-    lanes = defaultdict(list)
-    for w in found:
-        lanes[w["from_key"], w["start"] - w["from_start"]].append((w["start"], w["start"] + w["n"]))
-    runs = []
-    for spans in lanes.values():
-        start, stop = min(spans)
-        for a, b in sorted(spans):
-            if a > stop:
-                runs.append((start, stop))
-                start = a
-            stop = max(stop, b)
-        runs.append((start, stop))
-    return runs
-
-
-def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int = LONG_WORDS) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, run_words: int = RUN_WORDS) -> DataFrame:
     """The input rows with cleaned texts, and lines_removed (which replaces a column of that name)."""
     others = [c for c in docs.columns if c not in (text_col, "lines_removed")]
     scratch = Scratch(spark, "lines")
     rows = numbered(scratch, docs, id_col, text_col, others)
-    found = _repeats(scratch, rows, run, long_words)
-    gone = found.groupBy("_key").agg(F.collect_set(F.struct("start", "n", "from_key", "from_start")).alias("_gone"))  # at most two for each line of a text
+    found = _repeats(scratch, rows, run, run_words)
+    gone = found.groupBy("_key").agg(F.collect_set(F.struct("start", "stop")).alias("_gone"))  # at most one for each line of a text and reach
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = [], []
             for text, some in zip(batch.column("_text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
-                drop = {line for start, stop in extended(some or ()) for line in range(start, stop)}
+                drop = {line for match in some or () for line in range(match["start"], match["stop"])}
                 texts.append(_without(text, drop))
                 removed.append(len(drop))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["_row", "_text", "_removed"])
