@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -99,3 +100,53 @@ def test_each_template_has_its_own_name(name):
 )
 def test_relatives_are_told_apart(text, name):
     assert [h[0] for h in s.Scanner(tuple(s.TEMPLATES.items()), 0.8).hits(text)] == [name]
+
+
+def brute(text):
+    """Hits of exact copies: all places of all templates, of which those of most words stay."""
+    have = [(m.group().lower(), m.start(), m.end()) for m in s.WORD.finditer(text)]
+    plain, places = [w for w, _, _ in have], []
+    for name, template in s.TEMPLATES.items():
+        own = s.words(template)
+        places += [(-len(own), at, at + len(own), name) for at in range(len(plain) - len(own) + 1) if plain[at : at + len(own)] == own]
+    kept = []
+    for _, a, b, name in sorted(places):
+        if not any(x < b and a < y for x, y, _ in kept):
+            kept.append((a, b, name))
+    return [(name, have[a][1], have[b - 1][2], 1.0) for a, b, name in sorted(kept)]
+
+
+@pytest.mark.parametrize("before", [0, 1, 2, 3, 50])
+@pytest.mark.parametrize("copies", [2, 3, 4])
+def test_copies_side_by_side(before, copies):
+    for name, template in s.TEMPLATES.items():
+        text = " ".join([*(f"word{i}" for i in range(before)), *[template] * copies, "end"])
+        assert SCANNER.hits(text) == brute(text) and names(text) == [name] * copies, name
+
+
+def test_random_layouts_equal_brute_force():
+    draw = random.Random(6)
+    for _ in range(150):
+        parts = [draw.choice(list(s.TEMPLATES.values())) if draw.random() < 0.6 else " ".join(f"w{draw.randrange(99)}" for _ in range(draw.randrange(60))) for _ in range(8)]
+        text = " ".join(parts)
+        assert SCANNER.hits(text) == brute(text)
+
+
+def test_noisy_copies_side_by_side():
+    draw, found, seen = random.Random(7), 0, 0
+    for name, template in s.TEMPLATES.items():
+        own = s.words(template)
+        if len(own) < 15:
+            continue
+        for _ in range(5):
+            noisy = " ".join(w if draw.random() > 0.04 else f"x{draw.randrange(9)}" for _ in range(3) for w in own)
+            found += len(SCANNER.hits(f"one two {noisy}"))
+            seen += 3
+    assert found >= 0.95 * seen, (found, seen)
+
+
+def test_many_hits_take_near_linear_time():
+    text = f"{s.TEMPLATES['MIT-short']} and so on. " * 6000
+    started = time.perf_counter()
+    assert len(SCANNER.hits(text)) == 6000
+    assert time.perf_counter() - started < 10

@@ -6,10 +6,12 @@ subsequence of anchors that rises in both is kept, and the gaps between its neig
 aligned in the same way; at a gap without anchors, equal words at its two ends are aligned.
 Coverage is the share of the template's words that are aligned; regions of at least
 `min_coverage` are hits. A hit has its template's name only if the words that tell it from its relatives are aligned and
-none of theirs is in it; otherwise it has the name of the family. Of hits that overlap, that with the most aligned words stays, then that of most coverage.
+none of theirs is in it; otherwise it has the name of the family. Of hits that overlap, that with the most aligned words, less a quarter of
+the words between them, stays, then that of most coverage.
 
 A text is no candidate for a template only if it lacks so many of its words that the coverage
-can't be reached, so nothing is missed by leaving it out. Texts stay in their partitions; nothing shuffles.
+can't be reached, so nothing is missed by leaving it out. A hit's words lie within two lengths of its template; copies side by side are each found
+if each lies within one length, or nearly. Texts stay in their partitions; nothing shuffles.
 
 Defined results: null and empty texts have no hits; texts of any length are searched whole, each place of
 a repeated license being a hit; repeated rows are searched alike; an empty table gives an empty result;
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import functools
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -133,6 +135,23 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def score(pairs: list[tuple[int, int]]) -> float:
+    """Pairs less a quarter of the words of the text that lie between them."""
+    return len(pairs) - (pairs[-1][1] - pairs[0][1] + 1 - len(pairs)) / 4 if pairs else 0.0
+
+
+def trimmed(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The run of pairs of the highest score."""
+    best, total, first = (0.0, 0, 0), 0.0, 0
+    for k, (_, at) in enumerate(pairs):
+        total -= (at - pairs[k - 1][1] - 1) / 4 if k else 0
+        if total <= 0:
+            total, first = 0.0, k
+        total += 1
+        best = max(best, (total, k + 1, first), key=lambda b: b[0])
+    return pairs[best[2] : best[1]]
+
+
 class Scanner:
     """Finds templates in texts."""
 
@@ -167,7 +186,7 @@ class Scanner:
         text = text or ""
         spans = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
         have = {w for w, _, _ in spans}
-        hits: list[tuple[int, bool, float, int, int, str]] = []
+        hits: list[tuple[float, bool, float, int, int, str]] = []
         for name, own, counts, rare, must, kin in self.parts:
             if sum(n for w, n in counts.items() if w in have) < self.min_coverage * len(own):
                 continue
@@ -175,12 +194,13 @@ class Scanner:
             for first, last in self._regions(places, len(own)):
                 for a, b, places in self._within(spans, own, max(0, first - len(own)), min(len(spans), last + len(own) + 1)):
                     doubt = not must <= places or self._strange(spans, own, kin, a, b)
-                    hits.append((-len(places), doubt, -len(places) / len(own), a, b, f"{kin}-family" if doubt else name))
+                    hits.append(((b - a + 1 - 5 * len(places)) / 4, doubt, -len(places) / len(own), a, b, f"{kin}-family" if doubt else name))
         kept: list[tuple[int, int, str, float]] = []
         for _, _, coverage, a, b, name in sorted(hits):
-            if not any(x <= b and a <= y for x, y, _, _ in kept):
-                kept.append((a, b, name, -coverage))
-        return [(name, spans[a][1], spans[b][2], coverage) for a, b, name, coverage in sorted(kept)]
+            before = bisect_right(kept, (b, len(spans)))  # kept hits are apart, so only the last one that starts by b can overlap
+            if not before or kept[before - 1][1] < a:
+                kept.insert(before, (a, b, name, -coverage))
+        return [(name, spans[a][1], spans[b][2], coverage) for a, b, name, coverage in kept]
 
     def _strange(self, spans: list[tuple[str, int, int]], own: list[str], kin: str | None, a: int, b: int) -> bool:
         """Whether a hit holds, or is closely followed by, a word of a relative that its template lacks."""
@@ -193,19 +213,54 @@ class Scanner:
         """First and last word of each hit in a region, and which words of the template are aligned.
 
         Windows are twice the template and move by half of it; one that hits is aligned once
-        more from the hit on, in case it cut the hit's end off.
+        more from the hit on, in case it cut the hit's end off. In a window that holds two copies no word may be unique, so
+        that windows of one template are aligned where none hits, and where there is room for a copy before the hit.
         """
-        size, found, at = len(own), [], start
+        size, found, at, text = len(own), [], start, [w for w, _, _ in spans[start:stop]]
+        need = self.min_coverage * size
+
         while at < stop:
-            pairs = align(own, [w for w, _, _ in spans[at : min(stop, at + 2 * size)]])
-            if len(pairs) < self.min_coverage * size:
+            here = at - start
+            pairs = align(own, text[here : here + 2 * size])
+            if hit := len(pairs) >= need:
+                again = align(own, text[here : here + pairs[0][1] + 2 * size])
+                pairs = self._tight(own, text, here, max(pairs, again, key=len))
+            room = pairs[0][1] - here - int(need) if hit else max(1, size // 2) - 1
+            if close := self._close(own, text, here, here + room + 1):
+                pairs = self._tight(own, text, *close)
+            elif not hit:
                 at += max(1, size // 2)
                 continue
-            again = align(own, [w for w, _, _ in spans[at : min(stop, at + pairs[0][1] + 2 * size)]])
-            pairs = max(pairs, again, key=len)
-            found.append((at + pairs[0][1], at + pairs[-1][1], {i for i, _ in pairs}))
-            at += pairs[-1][1] + 1
-        return found
+            found.append((start + pairs[0][1], start + pairs[-1][1], {i for i, _ in pairs}))
+            at = max(at, start + pairs[-1][1]) + 1
+        return [f for f in found if len(f[2]) >= need]
+
+    def _tight(self, own: list[str], text: list[str], place: int, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Pairs without ends that lie far off, and aligned once more where the whole template should be by either end; places are of the text."""
+        whole = [(i, place + j) for i, j in pairs]
+        found = [trimmed(whole)]
+        for i, j in (found[0][0], found[0][-1]):
+            at = max(0, j - i)
+            found.append(trimmed([(k, at + m) for k, m in align(own, text[at : j + len(own) - i])]))
+        best = max(found, key=score)
+        return best if len(best) >= self.min_coverage * len(own) else whole
+
+    def _close(self, own: list[str], text: list[str], start: int, stop: int) -> tuple[int, list[tuple[int, int]]] | None:
+        """Where a window of one template that starts in a span hits, and its pairs: the best one of those that overlap the first."""
+        size, need, stop = len(own), self.min_coverage * len(own), min(stop, len(text))
+        if stop <= start or (Counter(text[start : stop + size - 1]) & Counter(own)).total() < need:
+            return None
+        early, best, last = set(own[: size - int(need) + 1]), None, stop
+        at = start
+        while at < last:
+            if text[at] in early:
+                pairs = align(own, text[at : at + size])
+                if len(pairs) >= need and (best is None or score(pairs) > score(best[1])):
+                    if best is None:
+                        last = min(stop + size // 2, len(text), at + size - int(need) + 1)
+                    best = at, pairs
+            at += 1
+        return best
 
 
 @functools.lru_cache(maxsize=4)
