@@ -50,6 +50,31 @@ def test_chain_is_one_component(spark):
     assert {r.component_id for r in e.links(spark, docs).collect()} == {0}
 
 
+def test_intervals_are_skipped_and_lose_no_pair():
+    rng = np.random.default_rng(5)
+    u = np.sort(rng.normal(size=(900, 2)) * [3, 1], axis=0) @ np.eye(2, 8) + rng.normal(size=(900, 8)) * 0.2
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    turn = np.linalg.svd(u - u.mean(axis=0))[2][:3].T
+    u = u[np.argsort(u @ turn[:, 0])]
+    linked, compared = e.linked_pairs(u[:500], u[400:], turn, 0.95, 32)
+    assert (linked == (u[:500] @ u[400:].T >= 0.95)).all()
+    assert 0 < compared < 0.7 * linked.size
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "decimal(20,6)", "double"])
+def test_numbers_of_other_kinds_are_doubles(spark, kind):
+    big = 2**24 + 1
+    docs = spark.createDataFrame([(1, [big, 3]), (2, [big, 3]), (3, [-3, big]), (4, None)], "vec_id long, embedding array<bigint>").selectExpr("vec_id", f"cast(embedding as array<{kind}>) as embedding")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in e.links(spark, docs).collect()} == {(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)}
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    rows = [(4, [1.0, 0.0]), (None, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [1.0, 0.0]), (None, None), (None, [-1.0, 0.0]), (None, [-1.0, 0.001])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.embedding) for r in e.near_dedup(spark, docs).collect()]
+    assert sorted(got[:], key=str) in (sorted([rows[0], rows[2], rows[4], rows[5]], key=str), sorted([rows[0], rows[2], rows[4], rows[6]], key=str))
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, _id int, raw string")
     assert e.links(spark, empty).count() == 0

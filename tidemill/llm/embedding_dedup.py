@@ -5,8 +5,8 @@ farther on any axes or in the length of what the leading axes leave over. Vector
 the grid cells (of that width) of their leading coordinates, and cut into blocks of `BLOCK` in that order. Sequence
 intervals of blocks form a tree of fan-out `FAN`, each with a box around its leading coordinates. The join starts
 with the root against itself and descends level by level, as DataFrame joins, dropping pairs of
-intervals whose boxes are farther apart than the radius. Pairs of blocks that remain are
-compared in full, in double precision, by a matrix product in a task.
+intervals whose boxes are farther apart than the radius. In the task of a pair of blocks that remains, their intervals are halved in the same way
+down to `LEAF` vectors, and those not skipped are compared by a matrix product in double precision.
 
 Equal vectors are one node, with a count, so that copies cost nothing. A pair of blocks gives each of its
 nodes a count of links and a spanning forest of the links, not the pairs. The principal axes come from sums over all
@@ -32,13 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, FloatType
 
-from tidemill.llm.common import components
+from tidemill.llm.common import components, keep_one
 from tidemill.session import Scratch
 
 #: Vectors of a block, intervals below one, leading axes.
 BLOCK, FAN, AXES = 2048, 8, 10
+#: Vectors of the shortest intervals within a block.
+LEAF = 128
 
 
 def _digests(wide: bool):
@@ -53,7 +55,7 @@ def _digests(wide: bool):
                 keys.append(hashlib.blake2b(raw, digest_size=16).digest() if raw else None)
                 raws.append(raw)
                 sizes.append(len(raw) // np.dtype(kind).itemsize if raw else None)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(keys, pa.binary()), pa.array(raws, pa.binary()), pa.array(sizes, pa.int32())], ["_id", "gid", "raw", "dim"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_raw"), pa.array(keys, pa.binary()), pa.array(raws, pa.binary()), pa.array(sizes, pa.int32())], ["_id", "_raw", "gid", "raw", "dim"])
 
     return run
 
@@ -112,7 +114,7 @@ def _grid_sorted(groups: DataFrame, axes: np.ndarray, lead: int, radius: float,
             seq += n
 
     rows = groups.select("gid", "raw", "n").mapInArrow(placed, "gid binary, raw binary, n long, place array<double>, cell array<int>")
-    dealt = rows.repartitionByRange("cell").sortWithinPartitions("cell", "gid")
+    dealt = rows.repartitionByRange("cell", "gid").sortWithinPartitions("cell", "gid")
     return dealt.mapInArrow(numbered, "gid binary, raw binary, n long, place array<double>, part int, seq long")
 
 
@@ -168,7 +170,34 @@ def _close_blocks(blocks: DataFrame, n_blocks: int, lead: int, radius: float, sc
     return pairs
 
 
-def _compared(pairs: DataFrame, blocks: DataFrame, least: float, wide: bool) -> DataFrame:
+def linked_pairs(a: np.ndarray, b: np.ndarray, turn: np.ndarray, least: float, leaf: int = LEAF) -> tuple[np.ndarray, int]:
+    """Which unit vectors of a and b have a cosine of at least `least`, and how many pairs were compared for it.
+
+    Intervals of the two are halved until they are provably distant by their boxes or have `leaf` vectors at most.
+    """
+    radius = max(0.0, 2 - 2 * least) + 1e-9
+    linked, compared = np.zeros((len(a), len(b)), bool), 0
+    places = []
+    for u in (a, b):
+        y = u @ turn
+        places.append(np.column_stack([y, np.sqrt(np.clip(1 - (y * y).sum(axis=1), 0, None))]))
+    left = [(0, len(a), 0, len(b))]
+    while left:
+        a0, a1, b0, b1 = left.pop()
+        x, y = places[0][a0:a1], places[1][b0:b1]
+        gap = np.maximum(np.maximum(x.min(axis=0) - y.max(axis=0), y.min(axis=0) - x.max(axis=0)), 0)
+        if gap @ gap > radius:
+            continue
+        if max(a1 - a0, b1 - b0) <= leaf:
+            linked[a0:a1, b0:b1] = a[a0:a1] @ b[b0:b1].T >= least
+            compared += (a1 - a0) * (b1 - b0)
+            continue
+        halves = [[(p, (p + q) // 2), ((p + q) // 2, q)] if q - p > leaf else [(p, q)] for p, q in ((a0, a1), (b0, b1))]
+        left += [(*x, *y) for x in halves[0] for y in halves[1]]
+    return linked, compared
+
+
+def _compared(pairs: DataFrame, blocks: DataFrame, turn: np.ndarray, least: float, wide: bool) -> DataFrame:
     """Counts of links by node (b is null), and edges a, b that span the links (n is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +206,7 @@ def _compared(pairs: DataFrame, blocks: DataFrame, least: float, wide: bool) ->
                 side = [(batch.column(f"{s}_nodes")[i].values.to_numpy(), batch.column(f"{s}_counts")[i].values.to_numpy(), batch.column(f"{s}_raws")[i].as_py()) for s in "ab"]
                 same = side[0][0][0] == side[1][0][0]
                 u = [_units(pa.array([raw[k : k + len(raw) // len(nodes)] for k in range(0, len(raw), len(raw) // len(nodes))], pa.binary()), wide) for nodes, _, raw in side]
-                linked = u[0] @ u[1].T >= least
+                linked, _ = linked_pairs(*u, turn, least)
                 if same:
                     np.fill_diagonal(linked, False)
                 yield from counted(side, linked, same)
@@ -226,13 +255,14 @@ def _nodes_of(spark: SparkSession, groups: DataFrame, dim: int, least: float, wi
     """gid, links and component (of nodes) of the vectors of one length."""
     own = groups.where(F.col("dim") == dim)
     lead, radius = min(AXES, dim), float(np.sqrt(max(0.0, 2 - 2 * least)))
-    rows = scratch.save(_grid_sorted(own, principal_axes(own, dim, wide), lead, max(radius, 1e-6), wide))
+    axes = principal_axes(own, dim, wide)
+    rows = scratch.save(_grid_sorted(own, axes, lead, max(radius, 1e-6), wide))
     parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
     base = parts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("base"))
     numbered = rows.join(F.broadcast(base), "part").withColumn("pos", F.col("base") + F.col("seq"))  # a row for each part
     blocks = scratch.save(_blocks(numbered.select("pos", F.floor(F.col("pos") / BLOCK).alias("block"), "n", "place", "raw"), lead))
     pairs = _close_blocks(blocks, blocks.count(), lead, radius, scratch)
-    found = scratch.save(_compared(pairs, blocks, least, wide))
+    found = scratch.save(_compared(pairs, blocks, axes[:, :lead], least, wide))
     stars = components(spark, found.where("b is not null").select("a", "b"), scratch)
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     named = numbered.select("gid", "n", F.col("pos").alias("node"))
@@ -241,32 +271,36 @@ def _nodes_of(spark: SparkSession, groups: DataFrame, dim: int, least: float, wi
     return scratch.save(named.select("gid", total.cast("long").alias("links"), F.coalesce("component", "node").alias("component")))
 
 
-def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95) -> DataFrame:
-    """One row per input row: id, n_links, component_id and kept."""
-    scratch = Scratch(spark, "embedding")
+def _linked(spark: SparkSession, vectors: DataFrame, id_col: str, vec_col: str, least: float, scratch: Scratch) -> DataFrame:
+    """Rows: _id, _raw (a hash of the vector), and for usable vectors gid, links, component_id and component (a name)."""
     kind = vectors.schema[vec_col].dataType
-    wide = not isinstance(kind, ArrayType) or isinstance(kind.elementType, DoubleType)
-    rows = vectors.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{vec_col}`").alias("_vec"))
+    wide = not (isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType))
+    vec = F.col(f"`{vec_col}`")
+    rows = vectors.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(vec).alias("_raw"), vec.alias("_vec"))
     id_kind = rows.schema["_id"].dataType.simpleString()
-    rows = scratch.save(rows.mapInArrow(_digests(wide), f"_id {id_kind}, gid binary, raw binary, dim int"))
+    rows = scratch.save(rows.mapInArrow(_digests(wide), f"_id {id_kind}, _raw long, gid binary, raw binary, dim int"))
     groups = scratch.save(rows.where("gid is not null").groupBy("gid", "dim").agg(F.first("raw").alias("raw"), F.count(F.lit(1)).alias("n"), F.min("_id").alias("first_id")))
     dims = [row.dim for row in groups.select("dim").distinct().orderBy("dim").collect()]
-    out = None
+    out = groups.where("false").select("gid", F.col("n").alias("links"), F.col("first_id").alias("component_id"), F.lit("").alias("component"))
     for dim in dims:
         nodes = _nodes_of(spark, groups, dim, least, wide, scratch).join(groups.select("gid", "first_id"), "gid")
         whole = nodes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        part = scratch.save(nodes.join(whole, "component").select("gid", "links", "component_id"))
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = groups.select("gid", F.col("n").alias("links"), F.col("first_id").alias("component_id"))
-    joined = rows.select("_id", "gid").join(out, "gid", "left")
+        out = out.union(scratch.save(nodes.join(whole, "component").select("gid", "links", "component_id", F.concat_ws(":", F.lit(str(dim)), "component").alias("component"))))
+    return rows.select("_id", "_raw", "gid").join(out, "gid", "left")
+
+
+def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95) -> DataFrame:
+    """One row per input row: id, n_links, component_id and kept."""
+    joined = _linked(spark, vectors, id_col, vec_col, least, Scratch(spark, "embedding"))
     component = F.when(F.col("gid").isNull(), F.col("_id")).otherwise(F.col("component_id"))
     return joined.select(F.col("_id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def near_dedup(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95) -> DataFrame:
-    """The rows that stay, with all their columns: of each component that with the smallest id."""
-    found = links(spark, vectors, id_col, vec_col, least)
-    gone = Scratch(spark, "embedding").save(found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct())
-    packed = vectors.select(F.struct(*(F.col(f"`{c}`") for c in vectors.columns)).alias("_row"), F.col(f"`{id_col}`").alias("_id"))
-    return packed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+    """The rows that stay, with all their columns: of each component that with the smallest id that isn't null, then of the smallest hash.
+
+    Rows that only share an id are decided each by itself; those alike in id and vector share a decision. Unusable vectors stay.
+    """
+    scratch = Scratch(spark, "embedding")
+    rows = _linked(spark, vectors, id_col, vec_col, least, scratch).where("gid is not null").select("_id", "_raw", "component")
+    return keep_one(vectors, rows, id_col, F.xxhash64(F.col(f"`{vec_col}`")), scratch)
