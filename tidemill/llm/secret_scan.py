@@ -4,7 +4,8 @@ Base patterns find assignments, access keys and long hex runs. The method adds r
 characters of which a byte-pair vocabulary makes few characters a token: natural words and
 identifiers are made of frequent pieces, random strings are not. Left out before the test are
 digests of the usual lengths in hex, UUIDs, plain numbers, words and identifiers of words with a
-number at most, and what overlaps a base span. Shape alone makes no word: the vocabulary must also make
+number at most, runs of a few characters over and over, and what overlaps a base span. Runs of under `LEAST_RUN`
+characters aren't tested, as too few tokens tell them from words. Shape alone makes no word: the vocabulary must also make
 enough characters a token of a run's letters, split where case changes and lower-cased.
 
 Texts stay in their partitions; nothing shuffles.
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,7 +36,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Characters of the shortest runs that are tested, and different ones that a run must have.
+LEAST_RUN, LEAST_DISTINCT = 20, 6
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.IGNORECASE)
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
@@ -66,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def known_run(run: str, path: str, pattern: str) -> bool:
     """Whether a run is a digest, an identifier, a number or a word."""
     body = run.strip("+/_=-")
-    if len(body) < 20 or body.isdigit():
+    if len(body) < LEAST_RUN or body.isdigit() or len(set(body)) < LEAST_DISTINCT:
         return True
     if UUID.fullmatch(body) or len(body) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body):
         return True
@@ -97,10 +102,11 @@ def spans(text: str | None, path: str, pattern: str, max_ratio: float = MAX_RATI
     """All spans of a text."""
     text = text or ""
     found = base_spans(text)
-    base = list(found)
+    starts = sorted(a for a, _, _ in found)
+    upto = list(accumulate((b for _, b, _ in sorted(found)), max))  # the last end of the spans that start by then
     for m in RUN.finditer(text):
-        run = m[0]
-        if known_run(run, path, pattern) or any(a < m.end() and m.start() < b for a, b, _ in base):
+        run, before = m[0], bisect_left(starts, m.end())
+        if before and upto[before - 1] > m.start() or known_run(run, path, pattern):
             continue
         if len(run) / len(encoding(path, pattern).encode_ordinary(run)) < max_ratio:
             found.append((m.start(), m.end(), "random"))
