@@ -5,9 +5,10 @@ import hashlib
 import corpus_pipeline as pipeline
 from tidemill.llm import mixing, toxicity
 from tidemill.llm.simhash_similar import shingle_set
+from tidemill.session import Scratch
 from tidemill.sources import table
 
-SF = "/root/testdata/sf0.01"
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -57,3 +58,30 @@ def _leaf():
     from tidemill.llm.queries import DOMAIN
 
     return F.expr(DOMAIN), F.col("lang"), F.col("source")
+
+
+def run_stages(spark, docs):
+    """Each stage's rows, all columns but the last one's checked."""
+    scratch, counts = Scratch(spark, "test"), []
+    for name, stage in pipeline.STAGES:
+        out = scratch.save(stage(spark, docs, SMALL))
+        if name != "bpe_codec":
+            assert out.columns == docs.columns
+        counts.append((name, out.collect()))
+        docs = out
+    return dict(counts)
+
+
+def test_odd_rows_through_all_stages(spark, clashing, odd_rows):
+    got = run_stages(spark, clashing)
+    texts = {(r[0], r[1]) for r in odd_rows}
+    assert all((r.doc_id, r.text) in texts for name in ("toxicity", "exact_dedup", "simhash_dedup", "mixing") for r in got[name])
+    assert len(got["toxicity"]) == len(odd_rows)
+    # the fox once, as written with most characters; empty texts once; a null id like any other
+    assert sorted((r.doc_id or 0) for r in got["exact_dedup"]) == [0, 2, 5, 6, 9]
+    assert sorted((r.doc_id or 0) for r in got["simhash_dedup"]) == [0, 2, 5, 6, 9]
+    assert {r.doc_id for r in got["bpe_codec"]} == {r.doc_id for r in got["mixing"]}
+
+
+def test_empty_table_through_all_stages(spark, no_docs):
+    assert all(not rows for rows in run_stages(spark, no_docs).values())
