@@ -1,5 +1,8 @@
 """Joins, windows and streams on small rows with ties and nulls."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators.joins import asof_join, interval_join
@@ -15,6 +18,47 @@ def test_asof_join_takes_the_last_row_at_or_before(spark):
     assert asof_join(left.limit(0), right, ["k"], "at", ["v"], "id").count() == 0
 
 
+@pytest.mark.parametrize("width", [None, 1, 7, 1000])
+def test_asof_join_equals_brute_force_with_and_without_cells(spark, width):
+    draw = random.Random(3)
+    some = lambda n: [(draw.choice(["hot"] * 5 + ["a", None]), draw.choice([None, *range(40)]), i) for i in range(n)]
+    a, b = some(120), some(60)
+    left = spark.createDataFrame([(*r, 1, 2, 3) for r in a], "k string, at int, id int, side int, value int, `a.b` int").repartition(3)
+    right = spark.createDataFrame(b, "k string, at int, id int").withColumn("v", F.col("id") * 10)
+    cell = None if width is None else F.floor(F.col("at") / width)
+    out = asof_join(left, right, ["k"], "at", ["v"], "id", cell)
+    assert out.columns == [*left.columns, "asof_v"]
+    want = {}
+    for k, at, i in a:
+        known = [(t, j) for key, t, j in b if None not in (k, at, t) and key == k and t <= at]
+        want[i] = max(known)[1] * 10 if known else None
+    assert {r.id: r.asof_v for r in out.collect()} == want and len(set(want.values())) > 10
+
+
+def test_interval_join_of_long_spans_and_clashing_names(spark):
+    points = spark.createDataFrame([(1, i * 1000, 5) for i in range(100)] + [(None, 5, 5), (1, None, 5)], "k int, at long, cell int")
+    spans = spark.createDataFrame([(1, 0, 100_000, 1), (1, 5, 6, 2), (1, 999, 1001, 3), (1, 40, 40, 4), (None, 0, 9, 5), (1, None, 9, 6), (1, -10**12, 10**12, 7)], "k int, start long, stop long, size int")
+    out = interval_join(points, spans, ["k"], "at", "start", "stop", 1)
+    assert out.columns == ["k", "at", "cell", "start", "stop", "size"]
+    assert {r["size"]: r["count"] for r in out.groupBy("size").count().collect()} == {1: 100, 3: 1, 7: 100}
+    assert interval_join(points, spans.limit(0), ["k"], "at", "start", "stop", 1).count() == 0
+
+
+@pytest.mark.parametrize("cell", [1, 10, 86400])
+def test_sessions_equal_brute_force(spark, cell):
+    draw = random.Random(4)
+    rows = [(draw.choice(["hot"] * 5 + ["a", None]), draw.choice([None, *range(300)]), i, 0, 0) for i in range(150)]
+    docs = spark.createDataFrame(rows, "k string, at int, id int, fresh int, session int").repartition(3)
+    out = sessions(docs, "k", F.col("at"), "id", 8, cell_seconds=cell)
+    last, number, want = {}, {}, {}
+    for k, at, i, *_ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        if k not in number or at is not None and last[k] is not None and at - last[k] > 8:
+            number[k] = number.get(k, 0) + 1
+        last[k], want[i] = at, number[k]
+    assert {r.id: r.session for r in out.collect()} == want and sorted(out.columns) == sorted(docs.columns)
+    assert sessions(docs.limit(0), "k", F.col("at"), "id", 8).count() == 0
+
+
 def test_interval_join_equals_brute_force(spark):
     points = [(i % 3, i * 7 % 100) for i in range(60)]
     spans = [(i % 3, i * 11 % 90, i * 11 % 90 + i) for i in range(30)]

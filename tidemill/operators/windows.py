@@ -7,13 +7,37 @@ from pyspark.sql import functions as F
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first k rows of each group; Spark drops rows beyond k before it shuffles."""
+    """The first k rows of each group; Spark drops rows beyond k before it shuffles.
+
+    Defined results: rows with null keys are groups like any other; nulls sort as `order` states; ties are kept apart by what `order` has
+    last, else in no certain order; an empty table gives no rows; a column named as `rank` is replaced.
+    """
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def sessions(df: DataFrame, key: str, at: Column, tie: str, gap_seconds: int, name: str = "session") -> DataFrame:
-    """Numbers each key's sessions from 1: a row starts one if it comes over gap_seconds after the row before."""
-    order = Window.partitionBy(key).orderBy("_at", tie)
-    starts = (F.col("_at") - F.lag("_at").over(order) > gap_seconds).cast("long")
-    marked = df.withColumn("_at", at).withColumn("_new", F.coalesce(starts, F.lit(1)))
-    return marked.withColumn(name, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_at", "_new")
+def sessions(df: DataFrame, key: str, at: Column, tie: str, gap_seconds: int, name: str = "session", cell_seconds: int = 86400) -> DataFrame:
+    """Numbers each key's sessions from 1: a row starts one if it comes over gap_seconds after the row before.
+
+    Rows of a key are dealt to cells of time, so that no task gets a whole hot key; a table of a row for each key and cell has
+    the last time before the cell, and then how many sessions started before it.
+
+    Defined results: a null key is a key like any other; rows with a null time come first and are all of one session; ties in time are of one
+    session; an empty table gives no rows; a column named as the result is replaced, others stay, whatever their names.
+    """
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != name)).alias("row"), F.col(f"`{key}`").alias("key"), at.alias("at"), F.col(f"`{tie}`").alias("tie"))
+    rows = rows.withColumn("cell", F.floor(F.col("at") / cell_seconds))
+    inside, cells = Window.partitionBy("key", "cell").orderBy("at", "tie"), Window.partitionBy("key").orderBy("cell")
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Cells' own column beside their rows."""
+        right = right.withColumnsRenamed({"key": "rkey", "cell": "rcell"})
+        return left.join(right, F.col("key").eqNullSafe(F.col("rkey")) & F.col("cell").eqNullSafe(F.col("rcell"))).drop("rkey", "rcell")
+
+    before = rows.groupBy("key", "cell").agg(F.max("at").alias("last")).select("key", "cell", F.lag("last").over(cells).alias("last"))
+    late = F.col("at") - F.coalesce(F.lag("at").over(inside), F.col("last")) > gap_seconds
+    first = F.lag("at").over(inside).isNull() & F.col("last").isNull() & (F.row_number().over(inside) == 1)
+    fresh = beside(rows, before).withColumn("fresh", (F.coalesce(late, F.lit(False)) | first).cast("long"))
+    started = fresh.groupBy("key", "cell").agg(F.sum("fresh").alias("n"))
+    started = started.select("key", "cell", F.coalesce(F.sum("n").over(cells.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    number = F.col("base") + F.sum("fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return beside(fresh, started).select("row", number.alias("number")).select("row.*", F.col("number").alias(name))

@@ -80,12 +80,10 @@ SELECT c_mktsegment, count(*) AS customers, count(*) FILTER (WHERE EXISTS (SELEC
 FROM customer GROUP BY c_mktsegment
 """)
 def large_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer")
     orders = table(spark, sf_dir, "orders").where("o_totalprice > 100000")
-    on = F.col("c_custkey") == F.col("o_custkey")
-    buyers = customers.join(orders, on, "left_semi").select("c_mktsegment", F.lit(1).alias("buys"))
-    others = customers.join(orders, on, "left_anti").select("c_mktsegment", F.lit(0).alias("buys"))
-    return buyers.union(others).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"), F.sum("buys").cast("long").alias("buyers"))
+    buyers = orders.select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("buys", F.lit(1))
+    customers = table(spark, sf_dir, "customer").join(buyers, "c_custkey", "left")
+    return customers.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"), F.count("buys").alias("buyers"))
 
 
 @query("""
@@ -165,7 +163,7 @@ def purchases_after_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     clicks = events.where("event_type = 'click'").select("user_id", "ts", "event_id", "value")
-    joined = asof_join(bought, clicks, ["user_id"], "ts", ["event_id", "value"], "event_id")
+    joined = asof_join(bought, clicks, ["user_id"], "ts", ["event_id", "value"], "event_id", F.to_date("ts"))
     return joined.select("event_id", F.coalesce("asof_event_id", F.lit(-1)).cast("long").alias("asof_event_id"), "asof_value")
 
 
