@@ -28,7 +28,8 @@ def test_label_model_finds_accuracies_and_correlation():
     good, fair, noise = rate(0.9, 0.02), rate(0.5, 0.05), rate(0.2, 0.2)
     copy = np.where(rng.random(4000) < 0.95, fair, 1 - fair)
     labels = np.where(rng.random(4000) < 0.9, truth, ~truth).astype(int)
-    post, rates, correlation = t.label_model(np.column_stack([good, fair, copy, noise]), labels)
+    post, model = t.label_model(np.column_stack([good, fair, copy, noise]), labels)
+    rates, correlation = model.rates, model.correlation
     assert ((post > 0.5) == truth).mean() > 0.95
     assert abs(rates[1, 0] - 0.9) < 0.06 and abs(rates[0, 0] - 0.02) < 0.04
     assert correlation[1, 2] > 0.5 > abs(correlation[0, 3]) + 0.3
@@ -71,3 +72,40 @@ def test_repeated_ids_do_not_grow_the_sample(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
     assert t.report(spark, docs, labels, max_labelled=10).count() == 3000
     assert seen and max(seen) <= 10
+
+
+def plain_votes(voters, text):
+    """Voters that fire, by their meaning."""
+    words = {w for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()}
+    lexicons = [set(words_of.split()) for words_of in t.LEXICONS.values()]
+    found = [i for i, lexicon in enumerate(lexicons) if words & lexicon]
+    hits = [[w for w in words if (w == p[:-1] if p.endswith(t.END) else w.startswith(p))] for p in voters.patterns]
+    found += [len(lexicons) + i for i, hit in enumerate(hits) if hit]
+    n = {"lexicon": len(words & set().union(*lexicons)), "pattern": len({w for hit in hits for w in hit})}
+    return found + [len(lexicons) + len(hits) + i for i, (kind, least) in enumerate(t.Voters.COUNTS) if n[kind] >= least]
+
+
+def test_scores_and_sums_equal_plain_ones(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    seen = []
+    real = t.expected_votes
+    t.expected_votes = lambda texts, voters, model: seen.append((voters, model, real(texts, voters, model))) or seen[0][2]
+    try:
+        model = t.fit(spark, docs, labels)
+    finally:
+        t.expected_votes = real
+    rows = docs.collect()
+    fired = {r.doc_id: plain_votes(model.voters, r.text) for r in rows}
+    for r in t.score(docs.select("doc_id", "text"), model).collect():
+        x = model.bias + sum(model.weights[i] for i in fired[r.doc_id])
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(x, -30, 30)))) < 1e-9
+    voters, label, (expected, totals) = seen[0]
+    rest = [fired[r.doc_id] for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    votes = np.zeros((len(rest), len(voters)))
+    for i, some in enumerate(rest):
+        votes[i, some] = 1
+    r0, r1, w = label.rates[0, :-1], label.rates[1, :-1], label.weight[:-1]
+    odds = (w * (votes * np.log(r1 / r0) + (1 - votes) * np.log((1 - r1) / (1 - r0)))).sum(axis=1) + np.log(label.share / (1 - label.share))
+    post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    assert np.allclose(totals, [(1 - post).sum(), post.sum()]) and np.allclose(expected, [(1 - post) @ votes, post @ votes])

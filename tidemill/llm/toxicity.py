@@ -4,7 +4,8 @@ Voters read a text's set of words: lexicons of insults, and patterns (words and
 from labelled rows by how much likelier they are in toxic texts; some voters count how many
 others fire. A generative label model with one latent class learns each voter's firing rate in either class
 by expectation maximisation, the rows' labels being one more voter that errs. It estimates the correlation of each
-pair of voters within the classes, and voters that say the same as others weigh less. A
+pair of voters within the classes, and voters that say the same as others weigh less. A further step of it takes in all
+rows outside the held-out fold, labelled or not, by their votes alone: tasks send sums of as many numbers as there are voters. A
 logistic regression on the voters' outputs is trained on the posterior labels and scores all texts.
 
 Mining and fitting use `max_labelled` labelled rows at most, those with the smallest hashes of
@@ -12,7 +13,7 @@ their ids, outside the held-out fold (crc32 of the id modulo 3 is 1). Their ids,
 broadcast to find their texts. All else covers all rows: each text is scored whole where it lies.
 
 Defined results: null texts count as empty; empty texts get the score of no vote; a null id is
-not held out and never learned from; labels that are null are ignored, repeated ones count as
+not held out, and no label is its; labels that are null are ignored, repeated ones count as
 toxic if any is; of rows that repeat a labelled id the text that sorts first is learned from; repeated rows score alike; with no usable labels, or of one class only, only the
 lexicons vote, with fixed weights; an empty table gives an empty result; other columns stay, and
 one named as the score is replaced.
@@ -123,8 +124,37 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of class 1 for each row, firing rates of the voters by class, and the voters' correlations.
+@dataclass
+class LabelModel:
+    """Firing rates of voters by class, their weights, and the share of class 1; the last voter is the label."""
+
+    rates: np.ndarray
+    weight: np.ndarray
+    share: float
+    correlation: np.ndarray
+
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        """Of class 1 for each row of votes, labels included."""
+        log = self.weight * (np.log(self.rates[1]) - np.log(self.rates[0]))
+        off = self.weight * (np.log1p(-self.rates[1]) - np.log1p(-self.rates[0]))
+        odds = v @ log + (1 - v) @ off + math.log(self.share / (1 - self.share))
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+    def by_votes(self) -> tuple[np.ndarray, float]:
+        """What each voter that fires adds to the log odds of a row without a label, and the odds without votes."""
+        on, off = (self.weight * (f(self.rates[1]) - f(self.rates[0])) for f in (np.log, lambda r: np.log1p(-r)))
+        return (on - off)[:-1], float(off[:-1].sum() + math.log(self.share / (1 - self.share)))
+
+    def with_rows(self, votes: np.ndarray, post: np.ndarray, fired: np.ndarray, totals: np.ndarray) -> LabelModel:
+        """Rates of labelled rows (votes, labels and posteriors) and of others together, of which `fired` are expected to have fired by class, of `totals` rows."""
+        own = np.stack([(1 - post) @ votes, post @ votes])
+        rates = (own + np.column_stack([fired, np.zeros(2)]) + 0.2) / (np.array([(1 - post).sum(), post.sum()])[:, None] + np.append(np.tile(totals[:, None], len(self.weight) - 1), np.zeros((2, 1)), axis=1) + 1)
+        rates[:, -1] = self.rates[:, -1]  # other rows have no label
+        return LabelModel(np.round(rates, 9), self.weight, self.share, self.correlation)
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, LabelModel]:
+    """Posterior of class 1 for each row, and the model.
 
     votes: rows by voters, 0 or 1. labels: of the rows; they are a voter of its own.
     """
@@ -144,11 +174,30 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 40) -> tupl
             alike = np.clip(correlation - np.eye(m), 0, 1)
             weight = 1 / (1 + alike.sum(axis=0))
             weight[-1] = 1
-        log = weight * (np.log(rates[1]) - np.log(rates[0]))
-        off = weight * (np.log1p(-rates[1]) - np.log1p(-rates[0]))
-        odds = v @ log + (1 - v) @ off + math.log(share / (1 - share))
-        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return post, rates, correlation
+        model = LabelModel(rates, weight, float(share), correlation)
+        post = model.posterior(v)
+    return post, model
+
+
+def expected_votes(texts: DataFrame, voters: Voters, model: LabelModel) -> tuple[np.ndarray, np.ndarray]:
+    """By class: how often each voter is expected to have fired on the texts (_text), and how many texts there are."""
+    adds, base = model.by_votes()
+    size = len(voters)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, size + 1))
+        for batch in slices(batches, "_text"):
+            for text in batch.column("_text").to_pylist():
+                fired = voters.fire(text)
+                post = 1 / (1 + math.exp(-max(-30.0, min(30.0, base + float(adds[fired].sum())))))
+                at = [*fired, size]
+                total[0, at] += 1 - post
+                total[1, at] += post
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "value"])
+
+    found = texts.mapInArrow(sums, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").toArrow()
+    total = found.column("value").to_numpy().reshape(2, size + 1) if found.num_rows else np.zeros((2, size + 1))
+    return total[:, :-1], total[:, -1]
 
 
 def fit_linear(votes: np.ndarray, target: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -215,7 +264,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     votes, toxic = np.zeros((rows.num_rows, len(voters)), np.int8), rows.column("toxic").to_numpy()
     for i, found in enumerate(rows.column("votes").to_pylist()):
         votes[i, found] = 1
-    post, _, _ = label_model(votes, toxic)
+    post, model = label_model(votes, toxic)
+    others = texts.where(~held_out(F.col("_id"))).select("_text")
+    labelled = np.column_stack([votes, toxic]).astype(float)
+    post = model.with_rows(labelled, post, *expected_votes(others, voters, model)).posterior(labelled)
     weights, bias = fit_linear(votes, post)
     return Model(voters, weights, bias)
 
