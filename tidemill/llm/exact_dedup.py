@@ -64,13 +64,13 @@ def _words(bits: DataFrame) -> DataFrame:
     return bits.groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(_bit(F.col("_at").bitwiseAND(63))).alias("_known"))
 
 
-def filter_of(hashes: DataFrame, filter_words: int) -> DataFrame:
+def filter_of(hashes: DataFrame, filter_words: int = FILTER_WORDS) -> DataFrame:
     """A filter that knows all of some hashes (the column _h)."""
     word, bits = _probe(F.col("_h"), filter_words)
     return _words(hashes.select(F.explode(F.array(*(word * 64 + bit for bit in bits))).alias("_at")).distinct())
 
 
-def _flag(rows: DataFrame, known: DataFrame, filter_words: int) -> DataFrame:
+def flag(rows: DataFrame, known: DataFrame, filter_words: int = FILTER_WORDS) -> DataFrame:
     """Pass two: adds _again, true where the filter knows the row's hash _h."""
     word, (first, other) = _probe(F.col("_h"), filter_words)
     both = _bit(first).bitwiseOR(_bit(other))
@@ -98,7 +98,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     scratch = Scratch(spark, "exact")
     rows = scratch.save(_digests(docs, id_col, text_col)).withColumn("_h", F.xxhash64("_sha"))
     known = scratch.save(repeated_filter(rows, filter_words))
-    flagged = _flag(rows, known, filter_words)
+    flagged = flag(rows, known, filter_words)
     through = flagged.where(~F.col("_again")).select(
         F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256")
     )
@@ -120,13 +120,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     scratch = Scratch(spark, "exact")
     rows = scratch.save(_digests(docs, id_col, text_col))
     by_sha = rows.withColumn("_h", F.xxhash64("_sha"))
-    again = _flag(by_sha, repeated_filter(by_sha, filter_words), filter_words).where("_again")
+    again = flag(by_sha, repeated_filter(by_sha, filter_words), filter_words).where("_again")
     known = scratch.save(filter_of(again.select(F.col("_raw").alias("_h")), filter_words))
-    best = scratch.save(_winners(_flag(rows.withColumn("_h", F.col("_raw")), known, filter_words).where("_again")))
+    best = scratch.save(_winners(flag(rows.withColumn("_h", F.col("_raw")), known, filter_words).where("_again")))
     best = best.select("_sha", F.col("_best.i").alias("_keep"), (-F.col("_best.l")).alias("_most"), F.col("_best.r").alias("_kept"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_h"), F.length(text).alias("_len"))
-    flagged = _flag(packed, known, filter_words)
+    flagged = flag(packed, known, filter_words)
     # a group's rows meet their winner by hash, id and length, so that no task gets a whole group
     met = flagged.where("_again").join(best, (F.col("_h") == F.col("_kept")) & F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_len") == F.col("_most")))
     once = met.groupBy("_sha").agg(F.first("_row").alias("_row"))
