@@ -118,6 +118,18 @@ def test_pairs_within_the_radius_collide():
     assert seen > 100 and missed <= 3
 
 
+def test_further_links_join_components(spark):
+    from tidemill.session import Scratch
+
+    linked = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "node long, component long")
+    more = spark.createDataFrame([(2, 4), (4, 9), (9, 8), (11, 12)], "a long, b long")
+    got = {r.node: r.component for r in n._joined_up(spark, linked, more, Scratch(spark, "test")).collect()}
+    assert {k: got[k] for k in (5, 6)} == {5: 5, 6: 5} and len({got[k] for k in (1, 2, 3, 4, 8, 9)}) == 1 and got[11] == got[12]
+    assert len(set(got.values())) == 3 and len(got) == 10
+    none = n._joined_up(spark, linked, more.limit(0), Scratch(spark, "test"))
+    assert {(r.node, r.component) for r in none.collect()} == {tuple(r) for r in linked.collect()}
+
+
 def test_rows_that_share_an_id(spark):
     base = " ".join(f"w{i}" for i in range(200))
     rows = [(4, base), (None, base), (7, "some text of its own that nothing repeats"), (7, base + " end"), (None, "another one of its own here")]

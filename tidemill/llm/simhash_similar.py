@@ -171,7 +171,9 @@ def tree_edges(nodes: DataFrame, scratch: Scratch, part_bits: int, block: int) -
     family = masks(PART_RADIUS, bits=part_bits)
     table = F.col("p").cast("long") * len(family)
     keys = F.array(*(F.shiftleft(table + t, part_bits).bitwiseOR(F.col("v").bitwiseAND(F.lit(mask))) for t, mask in enumerate(family)))
-    keyed = nodes.select("node", F.posexplode("parts").alias("p", "v")).select("node", F.explode(keys).alias("key"))
+    # dealt out first, as each node gives a key for each table
+    dealt_nodes = nodes.select("node", "parts").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    keyed = dealt_nodes.select("node", F.posexplode("parts").alias("p", "v")).select("node", F.explode(keys).alias("key"))
     # a table of its own, so that the join can split a hot bucket
     sizes = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / block)
@@ -259,11 +261,24 @@ def _components(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str
     again = flag(docs.select(text.alias("_text"), F.xxhash64(text).alias("_h")), known).where("_again").select("_text")
     sets = scratch.save(sets_of(again, width).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
     links = verified(edges, sets, scratch, similarity)
-    groups = scratch.save(components(spark, edges, scratch))
     linked = scratch.save(components(spark, links, scratch))
+    groups = scratch.save(_joined_up(spark, linked, edges.join(links, ["a", "b"], "left_anti"), scratch))
     more = open_links(groups, linked, nodes, sets, scratch, similarity, part_bits, open_block)
     scratch.drop(sets)
-    return rows.select("_id", "_raw", "node"), scratch.save(components(spark, links.union(more), scratch))
+    return rows.select("_id", "_raw", "node"), scratch.save(_joined_up(spark, linked, more, scratch))
+
+
+def _joined_up(spark: SparkSession, linked: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components (node and component) with further links: those of the components that the links join, of which there are few."""
+    ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+    single = ends.join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
+    known = scratch.save(linked.select("node", "component").union(single))
+    up = more
+    for side in ("a", "b"):
+        up = up.join(known.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side)
+    top = components(spark, up.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch)
+    moved = scratch.save(top.select(F.col("node").alias("component"), F.col("component").alias("top")))
+    return known.join(moved, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
 
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WIDTH, part_bits: int = PART_BITS, block: int = 2048, open_block: int = 256) -> DataFrame:
