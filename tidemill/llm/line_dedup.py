@@ -9,7 +9,8 @@ positions, and its lines are deleted at the later one.
 
 A match reaches `run` - 1 lines beyond its window on either side: what goes on longer holds a window of its own.
 Fingerprints are rows, so a common line, run or source spreads over tasks; first positions are
-minima with map-side combining, never pairs. Texts shuffle once, to meet their deleted lines.
+minima with map-side combining, never pairs. A filter of bounded size (`exact_dedup.repeated_filter`) rules out fingerprints that occur once, so
+that they don't shuffle; another one lets texts without deleted lines pass, and the others shuffle once.
 
 Only whole lines are compared: a passage that begins or ends within a line leaves those lines.
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemill.llm.common import WHITE, slices
+from tidemill.llm.exact_dedup import filter_of, flag, repeated_filter
 from tidemill.session import Scratch
 
 RUN, RUN_WORDS = 3, 50
@@ -90,13 +92,18 @@ def selected(rows: DataFrame, run: int, run_words: int) -> DataFrame:
     return some.mapInArrow(cut, f"_id {some.schema['_id'].dataType.simpleString()}, {schema}")
 
 
-def _further(run: int, at: Column, first_at: Column, step: int) -> Column:
-    """How many lines are equal at both positions, from a place on and the other place on, up or down."""
-    own = [F.get("near", at + step * i - F.col("since")) for i in range(run - 1)]
-    other = [F.get("first.near", first_at + step * i - F.col("first.since")) for i in range(run - 1)]
+def _around(run: int) -> Column:
+    """Line hashes beside a window: those behind it, then those before it, each from the window outwards; null where the text ends."""
+    end = F.col("w.start") + F.col("w.n")
+    places = [end + i for i in range(run - 1)] + [F.col("w.start") - 1 - i for i in range(run - 1)]
+    return F.struct(*(F.when(at >= F.col("since"), F.get("near", at - F.col("since"))).alias(f"l{i}") for i, at in enumerate(places)))
+
+
+def _further(run: int, first: int) -> Column:
+    """How many lines are equal at both positions, of those beside the windows from the number `first` on."""
     count, same = F.lit(0), F.lit(True)
-    for a, b in zip(own, other, strict=True):
-        same = same & F.coalesce(a == b, F.lit(False))
+    for i in range(first, first + run - 1):
+        same = same & F.coalesce(F.col(f"around.l{i}") == F.col(f"first.around.l{i}"), F.lit(False))
         count = count + same.cast("int")
     return count
 
@@ -109,15 +116,15 @@ def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
 
 def _repeats(scratch: Scratch, rows: DataFrame, run: int, run_words: int) -> DataFrame:
     prints = scratch.save(selected(rows, run, run_words))
-    marks = scratch.save(prints.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark"))
-    positions = prints.join(marks, "mark").select("_id", "_digest", "_key", "since", "near", F.explode("windows").alias("w"))
-    windows = positions.select("_id", "_digest", "_key", "since", "near", "w.start", "w.n", "w.whole")
+    hashed = prints.withColumn("_h", F.xxhash64("mark"))
+    known = scratch.save(repeated_filter(hashed.select("_h")))
+    positions = flag(hashed, known).where("_again").select("_id", "_digest", "_key", "since", "near", F.explode("windows").alias("w"))
+    windows = positions.select("_id", "_digest", "_key", "w.start", "w.n", "w.whole", _around(run).alias("around"))
     order = [F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_digest").alias("d"), F.col("_key").alias("k"), F.col("start").alias("s")]
-    first = windows.groupBy("whole").agg(F.min(F.struct(*order, "since", "near")).alias("first"), F.count(F.lit(1)).alias("times"))
+    first = windows.groupBy("whole").agg(F.min(F.struct(*order, "around")).alias("first"), F.count(F.lit(1)).alias("times"))
     first = scratch.save(first.where("times > 1").select("whole", "first"))
     later = windows.join(first, "whole").where((F.col("_key") != F.col("first.k")) | (F.col("start") != F.col("first.s")))
-    end, first_end = F.col("start") + F.col("n"), F.col("first.s") + F.col("n")
-    up, down = _further(run, end, first_end, 1), _further(run, F.col("start") - 1, F.col("first.s") - 1, -1)
+    up, down, end = _further(run, 0), _further(run, run - 1), F.col("start") + F.col("n")
     found = scratch.save(
         later.select("_id", "_key", (F.col("start") - down).alias("start"), (end + up).alias("stop"), F.col("first.i").alias("from_id"), F.col("first.k").alias("from_key"), (F.col("first.s") - down).alias("from_start")).distinct()
     )
@@ -131,7 +138,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     scratch = Scratch(spark, "lines")
     rows = numbered(scratch, docs, id_col, text_col, others)
     found = _repeats(scratch, rows, run, run_words)
-    gone = found.groupBy("_key").agg(F.collect_set(F.struct("start", "stop")).alias("_gone"))  # at most one for each line of a text and reach
+    gone = scratch.save(found.groupBy("_key").agg(F.collect_set(F.struct("start", "stop")).alias("_gone")))  # at most one for each line of a text and reach
+    known = scratch.save(filter_of(gone.select(F.xxhash64("_key").alias("_h"))))
+    flagged = flag(rows.withColumn("_h", F.xxhash64("_key")), known)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,8 +151,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
                 removed.append(len(drop))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["_row", "_text", "_removed"])
 
-    met = rows.join(gone, "_key", "left").select("_row", "_text", "_gone")
+    met = flagged.where("_again").join(gone, "_key", "left").select("_row", "_text", "_gone")
     out = met.mapInArrow(cleaned, StructType([rows.schema["_row"], rows.schema["_text"], StructField("_removed", LongType())]))
+    out = out.union(flagged.where(~F.col("_again")).select("_row", "_text", F.lit(0).cast("long").alias("_removed")))
     columns = [F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns if c != "lines_removed"]
     return out.select(*columns, F.col("_removed").alias("lines_removed"))
 
