@@ -111,10 +111,12 @@ def _further(run: int, first: int) -> Column:
 def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, run_words: int = RUN_WORDS) -> DataFrame:
     """Later runs, each with its first occurrence: _id, _key, start, stop, from_id, from_key, from_start."""
     scratch = Scratch(spark, "lines")
-    return _repeats(scratch, numbered(scratch, docs, id_col, text_col, []), run, run_words)
+    found, _ = _repeats(scratch, numbered(scratch, docs, id_col, text_col, []), run, run_words)
+    return scratch.save(found.distinct())
 
 
-def _repeats(scratch: Scratch, rows: DataFrame, run: int, run_words: int) -> DataFrame:
+def _repeats(scratch: Scratch, rows: DataFrame, run: int, run_words: int) -> tuple[DataFrame, DataFrame]:
+    """Later runs, not a table yet, and the table of fingerprints that they read."""
     prints = scratch.save(selected(rows, run, run_words))
     hashed = prints.withColumn("_h", F.xxhash64("mark"))
     known = scratch.save(repeated_filter(hashed.select("_h")))
@@ -125,11 +127,8 @@ def _repeats(scratch: Scratch, rows: DataFrame, run: int, run_words: int) -> Dat
     first = scratch.save(first.where("times > 1").select("whole", "first"))
     later = windows.join(first, "whole").where((F.col("_key") != F.col("first.k")) | (F.col("start") != F.col("first.s")))
     up, down, end = _further(run, 0), _further(run, run - 1), F.col("start") + F.col("n")
-    found = scratch.save(
-        later.select("_id", "_key", (F.col("start") - down).alias("start"), (end + up).alias("stop"), F.col("first.i").alias("from_id"), F.col("first.k").alias("from_key"), (F.col("first.s") - down).alias("from_start")).distinct()
-    )
-    scratch.drop(prints)
-    return found
+    columns = ["_id", "_key", (F.col("start") - down).alias("start"), (end + up).alias("stop"), F.col("first.i").alias("from_id"), F.col("first.k").alias("from_key"), (F.col("first.s") - down).alias("from_start")]
+    return later.select(*columns), prints
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, run_words: int = RUN_WORDS) -> DataFrame:
@@ -137,8 +136,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     others = [c for c in docs.columns if c not in (text_col, "lines_removed")]
     scratch = Scratch(spark, "lines")
     rows = numbered(scratch, docs, id_col, text_col, others)
-    found = _repeats(scratch, rows, run, run_words)
+    found, prints = _repeats(scratch, rows, run, run_words)
     gone = scratch.save(found.groupBy("_key").agg(F.collect_set(F.struct("start", "stop")).alias("_gone")))  # at most one for each line of a text and reach
+    scratch.drop(prints)
     known = scratch.save(filter_of(gone.select(F.xxhash64("_key").alias("_h"))))
     flagged = flag(rows.withColumn("_h", F.xxhash64("_key")), known)
 
