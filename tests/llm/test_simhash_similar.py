@@ -93,7 +93,7 @@ def test_units_that_cross_batches():
 
 
 def test_pairs_within_the_radius_collide():
-    """All fingerprints within 79 of 960 bits share a key; of copies of similarity 0.8 and more nearly all do."""
+    """All fingerprints within 79 of 880 bits share a key; of copies of similarity 0.8 and more nearly all do."""
     family, draw = n.masks(n.PART_RADIUS, bits=n.PART_BITS), random.Random(5)
     assert len(family) == 15
 
@@ -101,8 +101,8 @@ def test_pairs_within_the_radius_collide():
         return any(not m & part for part in bits for m in family)
 
     for _ in range(500):
-        flips = set(draw.sample(range(960), 79))
-        assert collide([sum(1 << (i - 48 * p) for i in flips if i // 48 == p) for p in range(20)])
+        flips = set(draw.sample(range(880), 79))
+        assert collide([sum(1 << (i - 44 * p) for i in flips if i // 44 == p) for p in range(20)])
     missed = seen = 0
     for _ in range(300):
         base = [f"w{draw.randrange(5000)}" for _ in range(200)]
@@ -112,9 +112,9 @@ def test_pairs_within_the_radius_collide():
         a, b = n.shingle_set(" ".join(base)), n.shingle_set(" ".join(text))
         if n.alike(a, b, 0.8):
             seen += 1
-            flips = (n.fingerprint(a, 960) != n.fingerprint(b, 960)).reshape(20, 48)
+            flips = (n.fingerprint(a, 880) != n.fingerprint(b, 880)).reshape(20, 44)
             missed += not collide([sum(1 << int(i) for i in np.flatnonzero(part)) for part in flips])
-            assert flips.sum() <= n.REACH * 960
+            assert flips.sum() <= n.REACH * 880
     assert seen > 100 and missed <= 5
 
 

@@ -5,9 +5,9 @@ Sets that are equal are one node. Its fingerprint has `PARTS` x `PART_BITS` bits
 of the hashes of its shingles. Two sets of similarity s differ in about acos(2s / (1 + s)) / pi of the bits: 15 % at
 0.8. Each part has a covering family of masks (`simhash_dedup.masks`) for `PART_RADIUS` bits, so that of two
 fingerprints within PARTS x (PART_RADIUS + 1) - 1 bits some part is within its radius, and they collide in one of
-its tables: no pair within that distance is missed. That is 8 % of the bits, as of sets of similarity 0.94. Farther pairs collide in some
-of 300 tables, if not by guarantee: of 3,917 pairs of near copies of 0.1 GB of documents 98.4 % at similarities of
-0.80 to 0.82, 99.3 % at 0.82 to 0.85, and all above.
+its tables: no pair within that distance is missed. That is 9 % of the bits, as of sets of similarity 0.92. Farther pairs collide in some
+of 300 tables, if not by guarantee: of 3,917 pairs of near copies of 0.1 GB of documents 99.6 % at similarities of
+0.80 to 0.82, 99.8 % at 0.82 to 0.85, and all above.
 
 In each bucket a task finds the minimum spanning trees of the fingerprints that are within `REACH` of the bits, never the pairs. A bucket of
 over `block` nodes is split into blocks, and each pair of blocks is a unit of its own. Trees' edges are then
@@ -15,7 +15,7 @@ decided by the true similarity of their sets. Where a connected group of edges i
 its nodes of different components that are within reach are compared by their sets, again in pairs of blocks, which leave a forest of
 links. Components are those of all links. The keys of all tables shuffle as one long each beside the node.
 
-Comparisons grow with the square of the distinct texts by 2^25, the bits that a mask keeps; `part_bits` trades them for
+Comparisons grow with the square of the distinct texts by 2^23, the bits that a mask keeps; `part_bits` trades them for
 the guarantee.
 
 Defined results: texts without words are one node; fewer words than a shingle are one
@@ -40,7 +40,7 @@ from tidemill.llm.simhash_dedup import masks, shingles
 from tidemill.session import Scratch
 
 WIDTH, SIMILARITY = 5, 0.8
-PARTS, PART_BITS, PART_RADIUS = 20, 48, 3
+PARTS, PART_BITS, PART_RADIUS = 20, 44, 3
 #: Share of the bits in which linked sets may differ: over three standard deviations beyond what similarity 0.8 has.
 REACH = 0.2
 
