@@ -1,0 +1,101 @@
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemill.llm import periodic_runs as p
+from tidemill.llm.queries import QUERIES
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(ids, least=24, times=3):
+    """All stretches with each period, of which those of the smallest period count."""
+    out = {}
+    for q in range(1, len(ids) // times + 1):
+        start = None
+        for i, same in enumerate([ids[i] == ids[i + q] for i in range(len(ids) - q)] + [False]):
+            if same and start is None:
+                start = i
+            if not same and start is not None:
+                if i + q - start >= max(least, times * q):
+                    out.setdefault((start, i + q), q)
+                start = None
+    return sorted((s, e - s, q) for (s, e), q in out.items())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=50), st.integers(0, 40), st.integers(1, 9), st.sampled_from([(24, 3), (4, 2), (6, 3), (3, 2), (9, 4)]))
+def test_runs_equal_brute_force(ids, since, period, limits):
+    ids = [x if i < since else ids[min(len(ids) - 1, since + (i - since) % period)] for i, x in enumerate(ids)]
+    want = brute(ids, *limits)
+    assert p.runs_of(np.array(ids, np.int64), *limits) == want
+    if want:
+        assert p.may_hold_runs(np.array(ids * 2), np.array([len(ids), 2 * len(ids)]), p.shared(*limits)).all()
+
+
+def test_no_text_with_runs_is_ruled_out():
+    assert p.shared() == 16 and p.shared(4, 2) == 2
+    for q in range(1, 60):
+        ids = np.concatenate([np.arange(100, 130), np.tile(np.arange(q), 30)[: max(24, 3 * q)], np.arange(200, 220)])
+        assert p.runs_of(ids) == [(30, max(24, 3 * q), q)]
+        assert p.may_hold_runs(ids, np.array([len(ids)]), 16).tolist() == [True]
+    assert not p.may_hold_runs(np.arange(1000), np.array([300, 300, 1000]), 16).any()
+    assert not p.may_hold_runs(np.tile(np.arange(16), 2), np.array([16, 32]), 16).any()  # texts don't meet
+
+
+def test_long_texts_of_one_word_take_time_in_proportion():
+    assert p.runs_of(np.zeros(50_000, np.int64)) == [(0, 50_000, 1)]
+    assert p.runs_of(np.tile(np.arange(7), 9000)) == [(0, 63_000, 7)]
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    rows = {r.doc_id: r for r in QUERIES["op13_periodic_runs"](spark, sf_dir).collect()}
+    for doc in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        words = WORDS.findall(doc.text or "")
+        n, mark = len(words), zlib.crc32(str(doc.doc_id).encode())
+        if mark % 10 == 0 and n:
+            a, g = mark // 10 % n, mark // 10
+            words = [w if i < a else words[a + (i - a) % (1 + (n - a) // (3 + g % 8))] for i, w in enumerate(words)]
+        if n > 1200:
+            continue
+        runs = brute(words)
+        gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+        top = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+        best = (*top, 1000 * top[1] // top[2]) if top else (None,) * 4
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{s},{n},{q}\n" for s, n, q in runs), " ".join(w for i, w in enumerate(words) if i not in gone))]
+        assert tuple(rows.pop(doc.doc_id)) == (doc.doc_id, len(runs), *best, *digests)
+    assert all(r.n_runs >= 0 for r in rows.values())
+
+
+def test_odd_rows(spark, odd, odd_rows, clashing, no_docs):
+    out = p.collapse(clashing)
+    assert out.columns == [*clashing.columns, "runs"]
+    assert sorted(map(tuple, p.collapse(out).drop("runs").collect()), key=str) == sorted(map(tuple, out.drop("runs").collect()), key=str)
+    got = {(r.doc_id, r.text) for r in out.collect()}
+    want = {(doc, None if text is None else "word end" if doc == 6 else " ".join(WORDS.findall(text))) for doc, text, *_ in odd_rows}
+    assert got == want and {r.doc_id: len(r.runs) for r in out.collect()}[6] == 1
+    report = {r.doc_id: r for r in p.report(odd).collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert tuple(report[3])[1:] == tuple(report[4])[1:] == (0, None, None, None, None, empty, empty)
+    assert tuple(report[6])[1:5] == (1, 0, 30_000, 1) and report[6].exponent_milli == 30_000_000
+    assert p.collapse(no_docs).count() == 0 and p.report(no_docs).count() == 0
+    only = p.collapse(odd.select("doc_id", "text"), text_col="text")
+    assert only.columns == ["doc_id", "text", "runs"] and only.count() == 10
+    with pytest.raises(ValueError):
+        p.collapse(odd, times=1)
+
+
+def test_words_beside_a_run_stay(spark):
+    draw = random.Random(2)
+    block = " ".join(f"w{draw.randrange(9)}{i}" for i in range(9))
+    docs = spark.createDataFrame([(1, f"head {' '.join([block] * 4)} tail"), (2, f"{block} {block} x")], "doc_id long, text string")
+    out = {r.doc_id: r for r in p.collapse(docs).collect()}
+    assert out[1].text == f"head {block} tail" and [tuple(r) for r in out[1].runs] == [(1, 36, 9)]
+    assert out[2].text == f"{block} {block} x" and out[2].runs == []

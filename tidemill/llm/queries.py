@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe_codec, embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, secret_scan, simhash_dedup, token_pack, toxicity
+from tidemill.llm import bpe_codec, embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, periodic_runs, secret_scan, simhash_dedup, token_pack, toxicity
 from tidemill.sources import table
 
 
@@ -101,6 +103,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(spark, table(spark, sf_dir, "documents"), MIX, F.expr(DOMAIN), F.col("lang"), F.col("source"))
 
 
+def _repeating(doc: object, n: int) -> np.ndarray | None:
+    """The contract's change: in a tenth of the texts, words from some place on repeat with a period."""
+    mark = 0 if doc is None else zlib.crc32(str(doc).encode())
+    if doc is None or mark % 10 or not n:
+        return None
+    drawn = mark // 10
+    since = drawn % n
+    places, period = np.arange(n), 1 + (n - since) // (3 + drawn % 8)
+    places[since:] = since + (places[since:] - since) % period
+    return places
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"), taken=_repeating)
+
+
 OP6_SQL = r"""
 WITH d AS (
     SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -161,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_pack": op9_token_pack,
     "op10_mixing": op10_mixing,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
