@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe_codec, embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, periodic_runs, secret_scan, simhash_dedup, token_pack, toxicity
+from tidemill.llm import bpe_codec, embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, periodic_runs, secret_scan, simhash_dedup, slack_pack, token_pack, toxicity
 from tidemill.sources import table
 
 
@@ -103,6 +103,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(spark, table(spark, sf_dir, "documents"), MIX, F.expr(DOMAIN), F.col("lang"), F.col("source"))
 
 
+def op12_slack_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack_pack.pack(spark, table(spark, sf_dir, "documents"))
+
+
 def _repeating(doc: object, n: int) -> np.ndarray | None:
     """The contract's change: in a tenth of the texts, words from some place on repeat with a period."""
     mark = 0 if doc is None else zlib.crc32(str(doc).encode())
@@ -179,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_pack": op9_token_pack,
     "op10_mixing": op10_mixing,
+    "op12_slack_pack": op12_slack_pack,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
