@@ -6,14 +6,16 @@ a count of pieces by length: a row for each length, whatever the corpus. For eac
 dynamic program over subset sums finds the fullest combination of lengths left that goes with it: sums are bits of a whole number,
 copies of a length double, lengths go from long to short, and the walk back takes as few short ones as it can. The
 combination is removed. As long as all its lengths last, the next sequence would come out the same, so it is
-removed as often at once as they last; then some length has run out, which happens some thousands of times at most.
+removed as often at once as they last; then some length has run out, which happens some thousands of times at most. Fullest combinations alone use
+up the short pieces, without which the last sequences can't be filled. So some plans keep pieces below a length back until the others are placed, fill
+what those leave free by the same program, and the plan with the fewest sequences counts.
 
 Pieces of a length are numbered from 0: tasks number their own, and a table of a row for each task and length has how many come before. A
 number says which use of its length in the plan is its, and so which sequence and place. Texts are encoded once, where they are, and neither they nor
 their ids shuffle.
 
-Ids equal those of the tokenizers library. Texts are cut before a space behind a letter, a digit or a sign of ASCII or Latin-1, where the pattern of
-byte-level BPE always cuts; of the parts of some texts the distinct ones are encoded, and a worker keeps the ids of `CACHE` of them, none longer than
+Ids equal those of the tokenizers library. Texts are cut before a space behind a letter, a digit or a sign of ASCII or Latin-1, and before a sign behind
+such a letter, where the pattern of byte-level BPE always cuts; of the parts of some texts the distinct ones are encoded, and a worker keeps the ids of `CACHE` of them, none longer than
 `LONGEST_KEPT` characters. Texts that may hold a special token are encoded whole.
 
 Defined results: a null or empty text is its end id alone; texts of any length are cut and packed whole; null ids take part, and rows that repeat
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.llm.bpe_codec import byte_letters
 from tidemill.llm.common import slices
 from tidemill.llm.token_pack import WordEncoder, _gather
 from tidemill.session import Scratch
@@ -68,25 +72,59 @@ def fullest(lengths: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def plan(counts: dict[int, int], size: int = SIZE) -> list[Use]:
-    """Combinations that hold all pieces, in the order in which they are removed."""
-    left, uses = {n: c for n, c in counts.items() if c}, []
+def _removed(left: dict[int, int], size: int, uses: list[Use]) -> None:
+    """Fill sequences until no piece is left, and add them to the plan."""
     while left:
         first = max(left)
-        if not 0 < first <= size:
-            raise ValueError(f"a piece of {first} ids doesn't fit a sequence of {size}")
         rest = sorted(((n, c - (n == first)) for n, c in left.items() if c > (n == first)), reverse=True)
         found = dict(fullest(rest, size - first))
         found[first] = found.get(first, 0) + 1
-        times = min(left[n] // k for n, k in found.items())
-        uses.append((sorted(found.items(), reverse=True), times))
-        for n, k in found.items():
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
+        uses.append((sorted(found.items(), reverse=True), _take(left, found, None)))
+
+
+def _take(left: dict[int, int], found: dict[int, int], most: int | None) -> int:
+    """Remove a combination as often as its lengths last, and `most` times at most."""
+    times = min([left[n] // k for n, k in found.items()] + ([] if most is None else [most]))
+    for n, k in found.items():
+        left[n] -= k * times
+        if not left[n]:
+            del left[n]
+    return times
+
+
+def _reserving(counts: dict[int, int], size: int, below: int) -> list[Use]:
+    """A plan that keeps pieces shorter than `below` back, to fill with them what the others leave free."""
+    long, short = ({n: c for n, c in counts.items() if c and (n < below) == side} for side in (False, True))
+    made: list[Use] = []
+    _removed(long, size, made)
+    free = lambda combination: size - sum(n * k for n, k in combination)
+    uses = []
+    for combination, times in sorted(made, key=lambda use: (free(use[0]), use)):
+        while times:
+            found = dict(fullest(sorted(short.items(), reverse=True), free(combination)))
+            done = _take(short, found, times) if found else times
+            uses.append((sorted([*combination, *found.items()], reverse=True), done))
+            times -= done
+    _removed(short, size, uses)
     return uses
 
 
+def plan(counts: dict[int, int], size: int = SIZE) -> list[Use]:
+    """Combinations that hold all pieces: of some plans that keep short pieces back, or none, the one with the fewest sequences."""
+    wrong = [n for n, c in counts.items() if c and not 0 < n <= size]
+    if wrong:
+        raise ValueError(f"pieces of {wrong[0]} ids don't fit sequences of {size}")
+    least = -(-sum(n * c for n, c in counts.items()) // size)
+    best: list[Use] | None = None
+    for below in (0, *(size >> k for k in range(2, 8))):
+        uses = _reserving(counts, size, below)
+        if best is None or sum(t for _, t in uses) < sum(t for _, t in best):
+            best = uses
+        if sum(t for _, t in best) == least:
+            break
+    return best
+
+
 class Places:
     """Where the pieces of each length go, by their number."""
 
@@ -129,9 +167,31 @@ class SpanEncoder:
         self.special = [t["content"] for t in rules["added_tokens"]]
         self.known: dict[str, bytes] = {}
 
+        if self.cuts:
+            letters = byte_letters()
+            self.letters, size = dict(enumerate(letters)), {letter: 1 for letter in letters}
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.sizes[list(vocabulary.values())] = [sum(size.get(letter, 0) for letter in piece) for piece in vocabulary]
+            rules |= {"added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None}
+            self.bare = Tokenizer.from_str(json.dumps(rules))
+
+    #: Texts that are one pre-token each; Latin letters from U+00C0 to U+00FF.
+    PLAIN = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-/:-@\[-`{-~]+)").fullmatch
+
     def _learn(self, fresh: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        return {text: np.array(e.ids, "<u4").tobytes() for text, e in zip(fresh, found, strict=True)}
+        """The ids of these spans. Those that are one pre-token go through the model alone, many at once; the bytes of ids tell them apart."""
+        plain = [t for t in fresh if self.cuts and self.PLAIN(t)]
+        others = list(set(fresh).difference(plain))
+        encoded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        found = {text: np.array(e.ids, "<u4").tobytes() for text, e in zip(others, encoded, strict=True)}
+        for some in (plain[i : i + 1000] for i in range(0, len(plain), 1000)):
+            spelt = [t.replace(" ", self.letters[32]) if t.isascii() else t.encode().decode("latin-1").translate(self.letters) for t in some]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(spelt)], add_special_tokens=False)[0].ids, "<u4")
+            upto, ends = np.cumsum(self.sizes[ids]), np.cumsum([len(t) for t in spelt])
+            stops, raw = (4 * (np.searchsorted(upto, ends) + 1)).tolist(), ids.tobytes()
+            found |= {text: raw[a:b] for text, a, b in zip(some, [0, *stops[:-1]], stops, strict=True)}
+        return found
 
     def spans(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The parts of texts without nulls, and where each text's parts stop."""
@@ -141,8 +201,11 @@ class SpanEncoder:
         base = base - base[0]
         cut = np.zeros(len(raw) + 1, bool)
         if self.cuts and len(raw) > 2:
-            before, letter = raw[1:-1], (raw[:-2] == 0xC3) & (raw[1:-1] >= 0x80)  # U+00C0 to U+00FF
-            cut[2:-1] = (raw[2:] == 0x20) & ((before > 0x20) & (before < 0x7F) | letter)
+            before, after, pair = raw[1:-1], raw[2:], (raw[:-2] == 0xC3) & (raw[1:-1] >= 0x80)  # U+00C0 to U+00FF
+            visible, lower, signs = (before > 0x20) & (before < 0x7F) | pair, before | 0x20, after | 0x20
+            letter = (lower >= 0x61) & (lower <= 0x7A) & (before < 0x80) | pair & (before != 0x97) & (before != 0xB7)
+            sign = (after > 0x20) & (after < 0x7F) & ~((signs >= 0x61) & (signs <= 0x7A)) & ~((after >= 0x30) & (after <= 0x39))
+            cut[2:-1] = visible & (after == 0x20) | letter & sign
             if self.special:
                 held = pc.match_substring(whole, self.special[0])
                 for token in self.special[1:]:
