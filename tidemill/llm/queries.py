@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe_codec, embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, periodic_runs, secret_scan, simhash_dedup, slack_pack, token_pack, toxicity
+from tidemill.llm import bpe_codec, embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, periodic_runs, secret_scan, simhash_dedup, slack_pack, token_pack, toxicity, turn_repair
 from tidemill.sources import table
 
 
@@ -103,6 +103,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(spark, table(spark, sf_dir, "documents"), MIX, F.expr(DOMAIN), F.col("lang"), F.col("source"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """The contract's damage: turns that are dropped, emptied, cut, repeated or given to the user, by their number."""
+    number = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    held = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(number) % 20).alias("k"))
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("k") == 4, "user").otherwise(F.col("role"))
+    copies = F.when(F.col("k") == 0, 0).when(F.col("k") == 3, 2).otherwise(1)
+    return held.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), copies)).alias("k")).drop("k")
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.report(spark, damaged(turns), turns.select("conv_id"))
+
+
 def op12_slack_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack_pack.pack(spark, table(spark, sf_dir, "documents"))
 
@@ -183,6 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_pack": op9_token_pack,
     "op10_mixing": op10_mixing,
+    "op11_turn_repair": op11_turn_repair,
     "op12_slack_pack": op12_slack_pack,
     "op13_periodic_runs": op13_periodic_runs,
 }
