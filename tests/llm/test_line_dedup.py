@@ -1,30 +1,24 @@
 import random
 
+import xxhash
+
 from tidemill.llm import line_dedup as d
 
 WHITE = " \t\n\x0b\x0c\r"
 
 
 def brute(rows, run=3, run_words=50):
-    """Look at all runs of lines: each that is long enough and came earlier goes, with the lines around it that are equal at its first place."""
+    """Look at all runs of lines of any length: each that has enough lines or words and came earlier, as a whole, goes."""
     texts = sorted(((doc is None, doc), (text or "").split("\n")) for doc, text in rows)
-    bodies = [([i for i, line in enumerate(lines) if line.strip(WHITE)], [line.strip(WHITE) for line in lines if line.strip(WHITE)]) for _, lines in texts]
-    first, out = {}, {}
-    for t, ((_, doc), lines) in enumerate(texts):
-        at, body = bodies[t]
-        gone = set()
+    seen, out = set(), {}
+    for (_, doc), lines in texts:
+        at = [i for i, line in enumerate(lines) if line.strip(WHITE)]
+        body, gone = [lines[i].strip(WHITE) for i in at], set()
         for k in range(len(body)):
-            n = next((n for n in range(1, run + 1) if k + n <= len(body) and (n == run or sum(len(x.split()) for x in body[k : k + n]) >= run_words)), None)
-            if n is None:
-                continue
-            u, j = first.setdefault(tuple(body[k : k + n]), (t, k))
-            if (u, j) != (t, k):
-                other, lo, hi = bodies[u][1], 0, n
-                while hi < n + run - 1 and k + hi < len(body) and j + hi < len(other) and body[k + hi] == other[j + hi]:
-                    hi += 1
-                while lo < run - 1 and k - lo - 1 >= 0 and j - lo - 1 >= 0 and body[k - lo - 1] == other[j - lo - 1]:
-                    lo += 1
-                gone |= set(range(k - lo, k + hi))
+            for stop in range(k + 1, len(body) + 1):
+                if tuple(body[k:stop]) in seen and (stop - k >= run or sum(len(x.split()) for x in body[k:stop]) >= run_words):
+                    gone |= set(range(k, stop))
+            seen |= {tuple(body[k:stop]) for stop in range(k + 1, len(body) + 1)}
         out[doc] = (len(gone), "\n".join(line for i, line in enumerate(lines) if i not in at or at.index(i) not in gone))
     return out
 
@@ -61,6 +55,16 @@ def test_matches_extend_beyond_their_windows(spark):
     assert {r.doc_id: r.text for r in d.dedup_lines(spark, docs).collect()} == {1: rows[0][1], 2: "c\nd"}
 
 
+def test_runs_go_whole_whichever_text_has_them(spark):
+    """A line of 50 words comes first alone, then with two short lines, then with both once more."""
+    long = " ".join(["w"] * 50)
+    rows = [(1, long), (2, f"{long}\ns one\ns two"), (3, f"head\n{long}\ns one\ns two"), (4, f"{long}\ns one\nother"), (5, f"s one\n{long}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.lines_removed, r.text) for r in d.dedup_lines(spark, docs).collect()}
+    assert got == brute(rows) == {1: (0, long), 2: (1, "s one\ns two"), 3: (3, "head"), 4: (2, "other"), 5: (1, "s one")}
+    assert {(r["_id"], r.start, r.stop, r.from_id) for r in d.repeats(spark, docs).collect()} >= {(3, 1, 4, 2), (4, 0, 2, 2), (2, 0, 1, 1)}
+
+
 def test_passages_of_two_lines_are_found(spark):
     for sizes in ((4, 47), (43, 49), (34, 33), (25, 26)):
         run = "\n".join(" ".join(f"{side}{i}" for i in range(n)) for side, n in zip("pq", sizes, strict=True))
@@ -71,11 +75,12 @@ def test_passages_of_two_lines_are_found(spark):
 def test_fingerprints_are_minima_of_all_windows():
     draw = random.Random(9)
     text = "\n".join(str(draw.randrange(40)) for _ in range(3000))
-    found = d.fingerprints(text)
-    starts = sorted(start for _, _, some, _, _ in found for start, _, _ in some)
+    lines = d.lines_of(text)
+    found, hashes = d.fingerprints(lines), [xxhash.xxh64_intdigest(line) - (1 << 63) for line in lines]
+    starts = sorted(start for _, some in found.values() for start, _ in some)
     assert starts == list(range(2998)) and 0.4 < len(found) / 3000 < 0.65
-    for at, mark, some, since, near in found:
-        assert near[at - since] == mark and all(mark == min(near[s - since : s + n - since]) for s, n, _ in some)
+    for at, (mark, some) in found.items():
+        assert hashes[at] == mark and all(mark == min(hashes[s : s + n]) and s <= at < s + n for s, n in some)
 
 
 def test_odd_rows(spark, odd, clashing, no_docs):

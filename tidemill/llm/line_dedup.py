@@ -1,16 +1,15 @@
 """Line dedup by winnowing over line hashes.
 
-A text's lines that aren't blank are hashed. A window starts at each line and goes on until it has `run` lines or
-`run_words` words, so that any run of so many lines or words holds a whole window at its start. Of each window the smallest line hash
-(the last of equal ones) is selected as a fingerprint, with its position; neighbouring windows mostly select the same one. Equal runs
-select the same fingerprints at the same places of theirs, so those that occur once are done with. The others are joined by the lines of
-the windows that selected them with the first such position, by id and place; the match is extended both ways as far as lines are equal at both
-positions, and its lines are deleted at the later one.
-
-A match reaches `run` - 1 lines beyond its window on either side: what goes on longer holds a window of its own.
-Fingerprints are rows, so a common line, run or source spreads over tasks; first positions are
-minima with map-side combining, never pairs. A filter of bounded size (`exact_dedup.repeated_filter`) rules out fingerprints that occur once, so
-that they don't shuffle; another one lets texts without deleted lines pass, and the others shuffle once.
+A run of lines that came before goes if it has `run` lines or `run_words` words. A text's lines that aren't blank are hashed. Windows of `run`
+lines, and shorter ones of `run_words` words, start at each line, so that each line of a run that goes lies in a window that came before. Of each window the
+smallest line hash (the last of equal ones) is selected as a fingerprint, with its position; neighbouring windows mostly select the
+same one. Equal runs select the same fingerprints at the same places of theirs, so those that occur once are done with. The others are joined by fingerprint and the lines around
+its position, as a digest of the window, with their first position by id and place. Matches extend both ways by those of the neighbouring windows at
+the same distance from what they match, and their lines are deleted at the later position.
+
+A filter of bounded size (`exact_dedup.repeated_filter`) knows the fingerprints that may be repeated: texts are read once for the fingerprints, of which only counts of
+bits shuffle, and once more for the windows of those that the filter knows. Windows are rows, so a common line, run or source spreads over tasks; first positions
+are minima with map-side combining, never pairs. Another filter lets texts without deleted lines pass, and the others shuffle once.
 
 Only whole lines are compared: a passage that begins or ends within a line leaves those lines.
 
@@ -27,7 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -39,31 +38,31 @@ RUN, RUN_WORDS = 3, 50
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def window_sizes(words: list[int], run: int = RUN, run_words: int = RUN_WORDS) -> list[int]:
-    """Lines of the window that starts at each line; 0 where the text ends before it is whole."""
-    sizes = []
-    for start in range(len(words)):
-        total = size = 0
-        while size < run and total < run_words and start + size < len(words):
-            total += words[start + size]
-            size += 1
-        sizes.append(size if size == run or total >= run_words else 0)
+def windows_at(words: list[int], start: int, run: int = RUN, run_words: int = RUN_WORDS) -> list[int]:
+    """Lines of the windows that start at a line: those with enough words, and the one with enough lines."""
+    total, sizes = 0, []
+    for size, n in enumerate(words[start : start + run], 1):
+        total += n
+        if size == run or total >= run_words:
+            sizes.append(size)
     return sizes
 
 
-def fingerprints(text: str | None, run: int = RUN, run_words: int = RUN_WORDS) -> list[tuple[int, int, list[tuple[int, int, bytes]], int, list[int]]]:
-    """Selected fingerprints of a text: place, line hash, the windows that selected it (start, lines, digest), and line hashes around it from a place on."""
+def lines_of(text: str | None) -> list[str]:
+    return [line for line in (raw.strip(WHITE) for raw in (text or "").split("\n")) if line]
+
+
+def fingerprints(lines: list[str], run: int = RUN, run_words: int = RUN_WORDS) -> dict[int, tuple[int, list[tuple[int, int]]]]:
+    """Selected fingerprints of a text: by place the line hash and the windows that selected it (start and lines)."""
     import xxhash
 
-    lines = [line for line in (raw.strip(WHITE) for raw in (text or "").split("\n")) if line]
     hashes = [xxhash.xxh64_intdigest(line) - (1 << 63) for line in lines]
-    selected: dict[int, list[tuple[int, int, bytes]]] = {}
-    for start, size in enumerate(window_sizes([len(WORDS.findall(line)) for line in lines], run, run_words)):
-        if size:
+    words, selected = [len(WORDS.findall(line)) for line in lines], {}
+    for start in range(len(lines)):
+        for size in windows_at(words, start, run, run_words):
             at = min(range(start, start + size), key=lambda i: (hashes[i], -i))
-            selected.setdefault(at, []).append((start, size, xxhash.xxh3_128_digest("\n".join(lines[start : start + size]))))
-    reach = 2 * (run - 1)
-    return [(at, hashes[at], some, max(0, at - reach), hashes[max(0, at - reach) : at + reach + 1]) for at, some in selected.items()]
+            selected.setdefault(at, (hashes[at], []))[1].append((start, size))
+    return selected
 
 
 def numbered(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> DataFrame:
@@ -73,62 +72,63 @@ def numbered(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, othe
     return scratch.save(docs.select(row.alias("_row"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_digest"), F.monotonically_increasing_id().alias("_key")))
 
 
-def selected(rows: DataFrame, run: int, run_words: int) -> DataFrame:
-    """_id, _digest, _key, at, mark (the fingerprint), windows, since and near (line hashes from `since` on) of each selected fingerprint."""
-    window = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("whole", pa.binary())]))
-    kinds = (pa.int32(), pa.int64(), window, pa.int32(), pa.list_(pa.int64()))
+def marks(rows: DataFrame, run: int, run_words: int) -> DataFrame:
+    """mark of each selected fingerprint."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            found = [fingerprints(text, run, run_words) for text in batch.column("_text").to_pylist()]
-            doc = pa.array([i for i, some in enumerate(found) for _ in some], pa.int64())
-            flat = [print_ for some in found for print_ in some]
-            columns = [pa.array([[dict(zip(("start", "n", "whole"), w, strict=True)) for w in f[k]] if k == 2 else f[k] for f in flat], kind) for k, kind in enumerate(kinds)]
-            own = [batch.column(c).take(doc) for c in ("_id", "_digest", "_key")]
-            yield pa.RecordBatch.from_arrays([*own, *columns], ["_id", "_digest", "_key", "at", "mark", "windows", "since", "near"])
+            found = [mark for text in batch.column("_text").to_pylist() for mark, _ in fingerprints(lines_of(text), run, run_words).values()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["mark"])
+
+    return rows.select("_text").mapInArrow(cut, "mark long")
 
-    some = rows.select("_id", "_digest", "_key", "_text")
-    schema = "_digest long, _key long, at int, mark long, windows array<struct<start:int,n:int,whole:binary>>, since int, near array<long>"
-    return some.mapInArrow(cut, f"_id {some.schema['_id'].dataType.simpleString()}, {schema}")
 
+def selected(rows: DataFrame, run: int, run_words: int) -> DataFrame:
+    """_id, _digest, _key, mark and windows (start, n, and whole: a digest) of each selected fingerprint."""
+    window = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("whole", pa.binary())]))
 
-def _around(run: int) -> Column:
-    """Line hashes beside a window: those behind it, then those before it, each from the window outwards; null where the text ends."""
-    end = F.col("w.start") + F.col("w.n")
-    places = [end + i for i in range(run - 1)] + [F.col("w.start") - 1 - i for i in range(run - 1)]
-    return F.struct(*(F.when(at >= F.col("since"), F.get("near", at - F.col("since"))).alias(f"l{i}") for i, at in enumerate(places)))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
+        for batch in slices(batches, "_text"):
+            doc, all_marks, all_windows = [], [], []
+            for i, text in enumerate(batch.column("_text").to_pylist()):
+                lines = lines_of(text)
+                for mark, some in fingerprints(lines, run, run_words).values():
+                    doc.append(i)
+                    all_marks.append(mark)
+                    all_windows.append([{"start": a, "n": n, "whole": xxhash.xxh3_128_digest("\n".join(lines[a : a + n]))} for a, n in some])
+            own = [batch.column(c).take(pa.array(doc, pa.int64())) for c in ("_id", "_digest", "_key")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(all_marks, pa.int64()), pa.array(all_windows, window)], ["_id", "_digest", "_key", "mark", "windows"])
 
-def _further(run: int, first: int) -> Column:
-    """How many lines are equal at both positions, of those beside the windows from the number `first` on."""
-    count, same = F.lit(0), F.lit(True)
-    for i in range(first, first + run - 1):
-        same = same & F.coalesce(F.col(f"around.l{i}") == F.col(f"first.around.l{i}"), F.lit(False))
-        count = count + same.cast("int")
-    return count
+    some = rows.select("_id", "_digest", "_key", "_text")
+    return some.mapInArrow(cut, f"_id {some.schema['_id'].dataType.simpleString()}, _digest long, _key long, mark long, windows array<struct<start:int,n:int,whole:binary>>")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, run_words: int = RUN_WORDS) -> DataFrame:
-    """Later runs, each with its first occurrence: _id, _key, start, stop, from_id, from_key, from_start."""
+    """Later runs as far as they extend, each with an earlier occurrence: _id, _key, start, stop, from_id, from_key, from_start."""
     scratch = Scratch(spark, "lines")
-    found, _ = _repeats(scratch, numbered(scratch, docs, id_col, text_col, []), run, run_words)
-    return scratch.save(found.distinct())
-
-
-def _repeats(scratch: Scratch, rows: DataFrame, run: int, run_words: int) -> tuple[DataFrame, DataFrame]:
-    """Later runs, not a table yet, and the table of fingerprints that they read."""
-    prints = scratch.save(selected(rows, run, run_words))
-    hashed = prints.withColumn("_h", F.xxhash64("mark"))
-    known = scratch.save(repeated_filter(hashed.select("_h")))
-    positions = flag(hashed, known).where("_again").select("_id", "_digest", "_key", "since", "near", F.explode("windows").alias("w"))
-    windows = positions.select("_id", "_digest", "_key", "w.start", "w.n", "w.whole", _around(run).alias("around"))
+    found = _repeats(scratch, numbered(scratch, docs, id_col, text_col, []), run, run_words)
+    # windows of one distance follow one another, so a run is where the next one starts within or beside those before; a text's lines bound the rows
+    by = ["_key", "from_key", F.col("start") - F.col("from_start")]
+    order = Window.partitionBy(*by).orderBy("start", "stop")
+    apart = F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    number = F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order)
+    whole = found.withColumn("number", number).groupBy("_key", "from_key", (F.col("start") - F.col("from_start")).alias("far"), "number")
+    ends = whole.agg(F.first("_id").alias("_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("from_id").alias("from_id"), F.min("from_start").alias("from_start"))
+    return scratch.save(ends.select("_id", "_key", "start", "stop", "from_id", "from_key", "from_start"))
+
+
+def _repeats(scratch: Scratch, rows: DataFrame, run: int, run_words: int) -> DataFrame:
+    """Later windows with their first occurrence, not a table yet."""
+    known = scratch.save(repeated_filter(marks(rows, run, run_words).select(F.xxhash64("mark").alias("_h"))))
+    again = flag(selected(rows, run, run_words).withColumn("_h", F.xxhash64("mark")), known).where("_again")
+    windows = scratch.save(again.select("_id", "_digest", "_key", "mark", F.explode("windows").alias("w")).select("_id", "_digest", "_key", "mark", "w.start", "w.n", "w.whole"))
     order = [F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_digest").alias("d"), F.col("_key").alias("k"), F.col("start").alias("s")]
-    first = windows.groupBy("whole").agg(F.min(F.struct(*order, "around")).alias("first"), F.count(F.lit(1)).alias("times"))
-    first = scratch.save(first.where("times > 1").select("whole", "first"))
-    later = windows.join(first, "whole").where((F.col("_key") != F.col("first.k")) | (F.col("start") != F.col("first.s")))
-    up, down, end = _further(run, 0), _further(run, run - 1), F.col("start") + F.col("n")
-    columns = ["_id", "_key", (F.col("start") - down).alias("start"), (end + up).alias("stop"), F.col("first.i").alias("from_id"), F.col("first.k").alias("from_key"), (F.col("first.s") - down).alias("from_start")]
-    return later.select(*columns), prints
+    first = windows.groupBy("mark", "whole").agg(F.min(F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("times"))
+    first = scratch.save(first.where("times > 1").select("mark", "whole", F.col("first.i").alias("from_id"), F.col("first.k").alias("from_key"), F.col("first.s").alias("from_start")))
+    later = windows.join(first, ["mark", "whole"]).where((F.col("_key") != F.col("from_key")) | (F.col("start") != F.col("from_start")))
+    return later.select("_id", "_key", "start", (F.col("start") + F.col("n")).alias("stop"), "from_id", "from_key", "from_start")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, run_words: int = RUN_WORDS) -> DataFrame:
@@ -136,9 +136,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     others = [c for c in docs.columns if c not in (text_col, "lines_removed")]
     scratch = Scratch(spark, "lines")
     rows = numbered(scratch, docs, id_col, text_col, others)
-    found, prints = _repeats(scratch, rows, run, run_words)
-    gone = scratch.save(found.groupBy("_key").agg(F.collect_set(F.struct("start", "stop")).alias("_gone")))  # at most one for each line of a text and reach
-    scratch.drop(prints)
+    found = _repeats(scratch, rows, run, run_words).select("_key", "start", "stop")
+    gone = scratch.save(found.groupBy("_key").agg(F.collect_set(F.struct("start", "stop")).alias("_gone")))  # at most `run` for each line of a text
     known = scratch.save(filter_of(gone.select(F.xxhash64("_key").alias("_h"))))
     flagged = flag(rows.withColumn("_h", F.xxhash64("_key")), known)
 

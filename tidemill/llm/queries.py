@@ -56,23 +56,15 @@ l AS (
 ),
 b AS (SELECT doc_id, i, t, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words FROM l WHERE t <> ''),
 k AS (
-    SELECT doc_id, i, t, row_number() OVER o - 1 AS k, lead(t, 1) OVER o AS t1, lead(t, 2) OVER o AS t2, lead(t, 3) OVER o AS t3, lead(t, 4) OVER o AS t4, lag(t, 1) OVER o AS b1, lag(t, 2) OVER o AS b2,
-        CASE WHEN words >= 50 THEN 1 WHEN words + lead(words, 1) OVER o >= 50 THEN 2 ELSE 3 END AS n
-    FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+    SELECT doc_id, i, t, words, row_number() OVER o - 1 AS k, lead(t, 1) OVER o AS t1, lead(t, 2) OVER o AS t2, words + lead(words, 1) OVER o AS two FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ),
 w AS (
-    SELECT doc_id, k, n, b1, b2, CASE n WHEN 1 THEN t WHEN 2 THEN t || chr(10) || t1 ELSE t || chr(10) || t1 || chr(10) || t2 END AS lines,
-        CASE n WHEN 1 THEN t1 WHEN 2 THEN t2 ELSE t3 END AS a1, CASE n WHEN 1 THEN t2 WHEN 2 THEN t3 ELSE t4 END AS a2 FROM k
+    SELECT doc_id, k, 1 AS n, t AS lines FROM k WHERE words >= 50
+    UNION ALL SELECT doc_id, k, 2, t || chr(10) || t1 FROM k WHERE two >= 50
+    UNION ALL SELECT doc_id, k, 3, t || chr(10) || t1 || chr(10) || t2 FROM k WHERE t2 IS NOT NULL
 ),
-f AS (
-    SELECT *, first_value(doc_id) OVER p AS fd, first_value(k) OVER p AS fk, first_value(a1) OVER p AS fa1, first_value(a2) OVER p AS fa2, first_value(b1) OVER p AS fb1, first_value(b2) OVER p AS fb2
-    FROM w WHERE lines IS NOT NULL WINDOW p AS (PARTITION BY lines ORDER BY doc_id NULLS LAST, k)
-),
-e AS (
-    SELECT doc_id, k - CASE WHEN b1 = fb1 AND b2 = fb2 THEN 2 WHEN b1 = fb1 THEN 1 ELSE 0 END AS start, k + n + CASE WHEN a1 = fa1 AND a2 = fa2 THEN 2 WHEN a1 = fa1 THEN 1 ELSE 0 END AS stop
-    FROM f WHERE doc_id <> fd OR k > fk
-),
-g AS (SELECT DISTINCT doc_id, unnest(range(start, stop)) AS k FROM e),
+f AS (SELECT *, first_value(doc_id) OVER p AS fd, first_value(k) OVER p AS fk FROM w WINDOW p AS (PARTITION BY lines ORDER BY doc_id NULLS LAST, k)),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS k FROM f WHERE doc_id <> fd OR k > fk),
 r AS (SELECT l.doc_id, l.i, l.line, g.k IS NOT NULL AS gone FROM l LEFT JOIN k USING (doc_id, i) LEFT JOIN g ON g.doc_id = k.doc_id AND g.k = k.k)
 SELECT doc_id, count(*) FILTER (WHERE gone) AS lines_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS text_sha256 FROM r GROUP BY doc_id
 """
