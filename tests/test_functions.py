@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemill.functions import check_digits, ratio, words_of
+from tidemill.functions import check_digits, ratio
 
 
 def test_check_digits(spark):
@@ -12,13 +12,6 @@ def test_check_digits(spark):
     assert rows.limit(0).count() == 0
 
 
-def test_words_of(spark):
-    spark.udtf.register("words_of", words_of)
-    docs = spark.createDataFrame([(1, "a  b"), (2, ""), (3, None)], "id int, t string")
-    got = spark.sql("SELECT id, w.word, w.at FROM {docs}, LATERAL words_of(t) w", docs=docs)
-    assert sorted(map(tuple, got.collect())) == [(1, "a", 0), (1, "b", 2)]
-
-
 def test_ratio(spark):
     rows = spark.createDataFrame([(1, 2), (1, 0), (None, 2)], "a int, b int").select(ratio(F.col("a"), F.col("b")).alias("r"))
     assert [r.r for r in rows.collect()] == [0.5, None, None]

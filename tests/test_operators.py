@@ -1,6 +1,7 @@
 """Joins, windows and streams on small rows with ties and nulls."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,18 +48,37 @@ def test_interval_join_of_long_spans_and_clashing_names(spark):
 @pytest.mark.parametrize("cell", [1, 10, 86400])
 def test_sessions_equal_brute_force(spark, cell):
     draw = random.Random(4)
-    rows = [(draw.choice(["hot"] * 5 + ["a", None]), draw.choice([None, *range(300)]), i, 0, 0) for i in range(150)]
+    rows = [(draw.choice(["hot"] * 5 + ["a", None]), draw.choice([None] * 20 + [*range(300)]), i, 0, 0) for i in range(150)]
     docs = spark.createDataFrame(rows, "k string, at int, id int, fresh int, session int").repartition(3)
     out = sessions(docs, "k", F.col("at"), "id", 8, cell_seconds=cell)
     last, number, want = {}, {}, {}
     for k, at, i, *_ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
-        if k not in number or at is not None and last[k] is not None and at - last[k] > 8:
+        if k not in number or at is not None and (last[k] is None or at - last[k] > 8):
             number[k] = number.get(k, 0) + 1
         last[k], want[i] = at, number[k]
     assert {r.id: r.session for r in out.collect()} == want and sorted(out.columns) == sorted(docs.columns)
     assert sessions(docs.limit(0), "k", F.col("at"), "id", 8).count() == 0
 
 
+def test_interval_join_of_open_spans(spark):
+    least, most = -(2**63), 2**63 - 1
+    spans = [(1, -5, most, 1), (1, least, 0, 2), (1, least, most, 3), (1, most - 1, most, 4), (1, least, least + 1, 5)]
+    points = [(1, x) for x in (least, -6, -5, 0, 5, 2**62, most - 1, most)]
+    out = interval_join(spark.createDataFrame(points, "k int, at long"), spark.createDataFrame(spans, "k int, start long, stop long, n int"), ["k"], "at", "start", "stop", 1)
+    assert sorted((r.at, r.n) for r in out.collect()) == sorted((x, n) for _, x in points for _, a, b, n in spans if a <= x < b)
+
+
+def test_rows_of_sessions_and_asof_joins_shuffle_once(spark, sf_dir):
+    """Exchanges of rows, which are packed, as against those of cells."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    for out in (sessions(events, "user_id", F.col("at"), "event_id", 3600), asof_join(events, events, ["user_id"], "at", ["value"], "event_id", F.to_date("ts"))):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        exchanges = [line for line in plan.splitlines() if re.search(r"(?<!Reused)(?<!Broadcast)Exchange hashpartitioning", line)]
+        reads = [line for line in plan.splitlines() if "FileScan parquet" in line]
+        assert len(exchanges) <= 4 and len(reads) <= 4, plan
+
+
 def test_interval_join_equals_brute_force(spark):
     points = [(i % 3, i * 7 % 100) for i in range(60)]
     spans = [(i % 3, i * 11 % 90, i * 11 % 90 + i) for i in range(30)]

@@ -1,12 +1,9 @@
-"""Column expressions that several queries share, and functions of one's own."""
+"""Column expressions that several queries share."""
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 def revenue() -> Column:
@@ -19,19 +16,6 @@ def ratio(top: Column, bottom: Column, digits: int = 4) -> Column:
     return F.round(F.try_divide(top.cast("double"), bottom.cast("double")), digits)
 
 
-@F.arrow_udf(IntegerType())
-def check_digits(numbers: pa.Array) -> pa.Array:
+def check_digits(number: str) -> Column:
     """Two check digits of whole numbers, such that number and digits leave 1 when divided by 97; null for null."""
-    rest = pc.subtract(numbers, pc.multiply(pc.divide(numbers, 97), 97))  # before the product, which could overflow
-    rest = pc.multiply(rest, 100)
-    return pc.subtract(98, pc.subtract(rest, pc.multiply(pc.divide(rest, 97), 97))).cast(pa.int32())
-
-
-@F.udtf(returnType=StructType([StructField("word", StringType()), StructField("at", IntegerType())]))
-class words_of:  # noqa: N801
-    """Words of a text and their places; no rows for null."""
-
-    def eval(self, text: str):
-        for at, word in enumerate((text or "").split(" ")):
-            if word:
-                yield word, at
+    return (98 - F.col(number) % 97 * 100 % 97).cast("int")  # the rest first, as the product could overflow

@@ -25,28 +25,26 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, value
     by = [f"k{i}" for i in range(len(keys))]
 
     def side(df: DataFrame, number: int, row: Column, value: Column) -> DataFrame:
-        where = F.lit(0) if cell is None else cell
-        return df.select(row.alias("row"), *(F.col(f"`{k}`").alias(b) for k, b in zip(keys, by, strict=True)), F.col(f"`{at}`").alias("at"), F.col(f"`{tie}`").alias("tie"), where.alias("cell"), F.lit(number).alias("side"), value.alias("value"))
+        own = [F.col(f"`{k}`").alias(b) for k, b in zip(keys, by, strict=True)]
+        dealt = F.struct(*own, (F.lit(0) if cell is None else cell).alias("cell"))
+        return df.select(row.alias("row"), dealt.alias("dealt"), F.col(f"`{at}`").alias("at"), F.col(f"`{tie}`").alias("tie"), F.lit(number).alias("side"), value.alias("value"))
 
     known = right.where(F.col(f"`{at}`").isNotNull())
     value = F.struct(*(F.col(f"`{v}`").alias(f"v{i}") for i, v in enumerate(values)))
     value_kind = known.select(value.alias("v")).schema["v"].dataType
     a = side(left, 1, _packed(left), F.lit(None).cast(value_kind))
     b = side(known, 0, F.lit(None).cast(left.select(_packed(left).alias("r")).schema["r"].dataType), value)
-    order = Window.partitionBy(*by, "cell").orderBy("at", "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = a.unionByName(b).withColumn("found", F.last("value", ignorenulls=True).over(order)).where("side = 1")
+    order = Window.partitionBy("dealt").orderBy("at", "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    stacked = a.unionByName(b).withColumn("found", F.last("value", ignorenulls=True).over(order))
+    found = stacked.where("side = 1")
     if cell is not None:
-        last = F.max(F.when(F.col("side") == 0, F.struct("at", "tie", "value"))).alias("last")
-        ends = a.drop("row").unionByName(b.drop("row")).groupBy(*by, "cell").agg(last)
-        earlier = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-        ends = ends.select(*(F.col(k).alias(f"e{k}") for k in by), F.col("cell").alias("ecell"), F.last("last", ignorenulls=True).over(earlier)["value"].alias("before"))
-        same = F.col("cell").eqNullSafe(F.col("ecell"))
-        for k in by:
-            same &= F.col(k) == F.col(f"e{k}")
-        found = found.join(ends, same, "left").withColumn("found", F.coalesce("found", "before"))
+        # a group is as the window dealt it, so rows shuffle once
+        ends = stacked.groupBy("dealt").agg(F.max(F.when(F.col("side") == 0, F.struct("at", "tie", "value"))).alias("last"))
+        earlier = Window.partitionBy(*(F.col(f"dealt.{k}") for k in by)).orderBy("dealt.cell").rowsBetween(Window.unboundedPreceding, -1)
+        found = found.join(ends.select("dealt", F.last("last", ignorenulls=True).over(earlier)["value"].alias("before")), "dealt", "left").withColumn("found", F.coalesce("found", "before"))
     present = F.col("at").isNotNull()
     for k in by:
-        present &= F.col(k).isNotNull()
+        present &= F.col(f"dealt.{k}").isNotNull()
     return found.select("row", F.when(present, F.col("found")).alias("found")).select("row.*", *(F.col("found")[f"v{i}"].alias(f"asof_{v}") for i, v in enumerate(values)))
 
 
@@ -54,19 +52,21 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     """Pairs of points and spans with equal keys and start <= at < stop, all as long numbers.
 
     Spans are dealt to the cells they touch, of `width` times a power of 16 that is the first to hold the span's length, and points to
-    their cell of each size that spans have. So a span touches two cells at most, however long it is, and the join is an equality on keys, size
-    and cell that shuffles evenly.
+    their cell of each size that spans have. So a span touches two cells at most, however long it is (open ends may be stated by the least and the largest
+    long number), and the join is an equality on keys, size and cell that shuffles evenly.
 
     Defined results: rows with a null key or bound pair with nothing, as do spans that end by their start; equal rows each give
     their pairs; an empty side gives no pairs. Columns are the points' and then the spans' without keys; names that both have stay ambiguous,
     as in any join.
     """
-    most = 15
-    size = F.least(F.lit(most), F.greatest(F.lit(0), F.ceil(F.log(F.greatest((F.col(f"`{stop}`") - F.col(f"`{start}`")) / width, F.lit(1.0))) / F.log(F.lit(16.0)) - 1e-9).cast("int")))
+    most = 16  # a cell of 2^64 holds any span
+    length = F.try_subtract(F.col(f"`{stop}`").cast("long"), F.col(f"`{start}`").cast("long"))
+    steps = F.ceil(F.log(F.greatest(length / width, F.lit(1.0))) / F.log(F.lit(16.0)) - 1e-9).cast("int")
+    size = F.when(length.isNull(), most).otherwise(F.least(F.lit(most), F.greatest(F.lit(0), steps)))
     scale = F.lit(float(width)) * F.pow(F.lit(16.0), F.col("size"))
     held = spans.where(F.col(f"`{start}`") < F.col(f"`{stop}`")).select(_packed(spans).alias("span"), *(F.col(f"`{k}`").alias(f"b{i}") for i, k in enumerate(keys)), F.col(f"`{start}`").alias("start"), F.col(f"`{stop}`").alias("stop"), size.alias("size"))
     dealt = held.withColumn("cell", F.explode(F.array_distinct(F.array(F.floor(F.col("start") / scale), F.floor((F.col("stop") - 1) / scale)))))
-    sizes = F.broadcast(held.select("size").distinct())  # 16 rows at most
+    sizes = F.broadcast(held.select("size").distinct())  # 17 rows at most
     placed = points.select(_packed(points).alias("point"), *(F.col(f"`{k}`").alias(f"a{i}") for i, k in enumerate(keys)), F.col(f"`{at}`").alias("at"))
     placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("size")).join(sizes, "size").withColumn("cell", F.floor(F.col("at") / scale)).withColumnsRenamed({"size": "asize", "cell": "acell"})
     same = (F.col("asize") == F.col("size")) & (F.col("acell") == F.col("cell"))

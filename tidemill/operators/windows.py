@@ -18,26 +18,23 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
 def sessions(df: DataFrame, key: str, at: Column, tie: str, gap_seconds: int, name: str = "session", cell_seconds: int = 86400) -> DataFrame:
     """Numbers each key's sessions from 1: a row starts one if it comes over gap_seconds after the row before.
 
-    Rows of a key are dealt to cells of time, so that no task gets a whole hot key; a table of a row for each key and cell has
-    the last time before the cell, and then how many sessions started before it.
+    Rows of a key are dealt to cells of time, so that no task gets a whole hot key, and shuffle once; a table of a row for each key and cell has
+    how many sessions started before the cell, and whether its first row starts one.
 
-    Defined results: a null key is a key like any other; rows with a null time come first and are all of one session; ties in time are of one
+    Defined results: a null key is a key like any other; rows with a null time come first and are a session of their own; ties in time are of one
     session; an empty table gives no rows; a column named as the result is replaced, others stay, whatever their names.
     """
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != name)).alias("row"), F.col(f"`{key}`").alias("key"), at.alias("at"), F.col(f"`{tie}`").alias("tie"))
-    rows = rows.withColumn("cell", F.floor(F.col("at") / cell_seconds))
-    inside, cells = Window.partitionBy("key", "cell").orderBy("at", "tie"), Window.partitionBy("key").orderBy("cell")
-
-    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Cells' own column beside their rows."""
-        right = right.withColumnsRenamed({"key": "rkey", "cell": "rcell"})
-        return left.join(right, F.col("key").eqNullSafe(F.col("rkey")) & F.col("cell").eqNullSafe(F.col("rcell"))).drop("rkey", "rcell")
-
-    before = rows.groupBy("key", "cell").agg(F.max("at").alias("last")).select("key", "cell", F.lag("last").over(cells).alias("last"))
-    late = F.col("at") - F.coalesce(F.lag("at").over(inside), F.col("last")) > gap_seconds
-    first = F.lag("at").over(inside).isNull() & F.col("last").isNull() & (F.row_number().over(inside) == 1)
-    fresh = beside(rows, before).withColumn("fresh", (F.coalesce(late, F.lit(False)) | first).cast("long"))
-    started = fresh.groupBy("key", "cell").agg(F.sum("fresh").alias("n"))
-    started = started.select("key", "cell", F.coalesce(F.sum("n").over(cells.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    number = F.col("base") + F.sum("fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return beside(fresh, started).select("row", number.alias("number")).select("row.*", F.col("number").alias(name))
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != name))
+    dealt = F.struct(F.col(f"`{key}`").alias("key"), F.floor(at / cell_seconds).alias("cell"))
+    rows = df.select(row.alias("row"), dealt.alias("dealt"), at.alias("at"), F.col(f"`{tie}`").alias("tie"))
+    inside, cells = Window.partitionBy("dealt").orderBy("at", "tie"), Window.partitionBy("dealt.key").orderBy("dealt.cell")
+    late = F.coalesce(F.col("at") - F.lag("at").over(inside) > gap_seconds, F.lit(False)).cast("long")
+    fresh = rows.withColumn("late", late)
+    local = fresh.withColumn("upto", F.sum("late").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # a group is as the window dealt it
+    ends = local.groupBy("dealt").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.sum("late").alias("n"))
+    begins = F.coalesce(F.col("first") - F.lag("last").over(cells) > gap_seconds, F.lit(True)).cast("long")
+    begun = ends.select("dealt", "n", begins.alias("begins"))
+    base = F.sum(F.col("begins") + F.col("n")).over(cells.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    met = local.join(begun.select("dealt", base.alias("base")), "dealt")
+    return met.select("row", (F.col("base") + F.col("upto")).alias("number")).select("row.*", F.col("number").alias(name))

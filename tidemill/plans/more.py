@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions import check_digits, words_of
+from tidemill.functions import check_digits
 from tidemill.plans.relational import query
 from tidemill.session import Scratch
 from tidemill.sources import table
@@ -105,31 +102,26 @@ def nations_with_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, key, value::BIGINT * 2 AS twice FROM (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events) t, LATERAL (SELECT json_extract_string(props, '$.' || key) AS value) WHERE event_id % 10 = 3 AND value::BIGINT > 2
+SELECT event_id, key, value::BIGINT * 2 AS twice FROM (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events) t, LATERAL (SELECT json_extract_string(props, '$.' || key) AS value) WHERE value::BIGINT > 2
 """)
 def doubled_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Properties as a map: parsed, filtered, transformed and made rows of."""
     props = F.map_filter(F.from_json("props", "map<string,bigint>"), lambda k, v: v > 2)
-    events = table(spark, sf_dir, "events").where("event_id % 10 = 3")
-    return events.select("event_id", F.explode(F.transform_values(props, lambda k, v: v * 2)).alias("key", "twice"))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(F.transform_values(props, lambda k, v: v * 2)).alias("key", "twice"))
 
 
 @query("""
-SELECT o_orderkey, (98 - (o_orderkey * 100) % 97)::INTEGER AS digits FROM orders WHERE o_totalprice > 300000
+SELECT o_orderkey, (98 - (o_orderkey * 100) % 97)::INTEGER AS digits FROM orders
 """)
 def order_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An Arrow function on whole columns."""
-    return table(spark, sf_dir, "orders").where("o_totalprice > 300000").select("o_orderkey", check_digits("o_orderkey").alias("digits"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", check_digits("o_orderkey").alias("digits"))
 
 
 @query("""
 SELECT word, count(*) AS n, min(place) - 1 AS first_at FROM (SELECT unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS place FROM part) WHERE word <> '' GROUP BY word
 """)
 def words_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table function beside each row."""
-    spark.udtf.register("words_of", words_of)
-    named = table(spark, sf_dir, "part").select("p_name")
-    words = spark.sql("SELECT w.word, w.at FROM {named}, LATERAL words_of(p_name) w", named=named)
+    words = table(spark, sf_dir, "part").select(F.posexplode(F.split("p_name", " ")).alias("at", "word")).where("word != ''")
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("at").cast("long").alias("first_at"))
 
 
@@ -137,21 +129,8 @@ def words_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, count(*) AS n, round(regr_slope(value, epoch(ts) / 86400), 6) AS by_day FROM events GROUP BY event_type
 """)
 def trend_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An aggregate of one's own: tasks send sums of their batches, so that no task gets a whole group."""
-    kinds = ("n", "x", "y", "xx", "xy")
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pandas()
-            x, y = rows["day"] - 19_700, rows["value"]
-            found = rows[["event_type"]].assign(n=1.0, x=x, y=y, xx=x * x, xy=x * y).groupby("event_type", as_index=False, dropna=False)[list(kinds)].sum()
-            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
-
-    events = table(spark, sf_dir, "events").where("value IS NOT NULL AND ts IS NOT NULL")
-    rows = events.select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).alias("day"), "value")
-    total = rows.mapInArrow(sums, "event_type string, n double, x double, y double, xx double, xy double").groupBy("event_type").agg(*(F.sum(k).alias(k) for k in kinds))
-    slope = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / (F.col("n") * F.col("xx") - F.col("x") * F.col("x"))
-    return total.select("event_type", F.col("n").cast("long").alias("n"), F.round(slope, 6).alias("by_day"))
+    day = F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_slope("value", day), 6).alias("by_day"))
 
 
 @query("""
