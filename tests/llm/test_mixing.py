@@ -64,11 +64,22 @@ def test_equals_brute_force(spark):
 
 def test_shortage_goes_to_siblings_first(spark):
     docs = spark.createDataFrame([(1, "a", "x", "small", 10), (2, "a", "x", "big", 1000), (3, "b", "y", "other", 1000)], "doc_id long, a string, b string, c string, n long")
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("a").alias("domain"), F.col("b").alias("language"), F.col("c").alias("source"), F.col("n").alias("_tokens"))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("a").alias("domain"), F.col("b").alias("language"), F.col("c").alias("source"), F.col("n").alias("_tokens"), F.lit(0).cast("long").alias("_raw"))
     budgets = {r.source: r.b for r in m.leaf_cuts(spark, rows, m.Plan(share=800 / 2010, epochs=1)).collect()}
     assert budgets == {"small": 10, "big": 390, "other": 400}
 
 
+def test_rows_without_ids_or_with_equal_ones_go_by_their_text(spark):
+    for doc in (None, 7):
+        docs = spark.createDataFrame([(doc, f"text number {i}", "d", "l", "s") for i in range(4000)] + [(doc, "alike", "d", "l", "s")] * 50, "doc_id long, text string, a string, b string, c string").repartition(4)
+        leaf = [F.col(c) for c in "abc"]
+        rows = m.decide(spark, docs, m.Plan(share=0.5, epochs=1), *leaf).collect()
+        taken, total = sum(r.copies * r.n_tokens for r in rows), sum(r.n_tokens for r in rows)
+        assert 0.5 * total - 60 <= taken <= 0.5 * total
+        out = m.mix(spark, docs, m.Plan(share=0.5, epochs=1), *leaf)
+        assert out.count() == sum(r.copies for r in rows) and out.where("text = 'alike'").count() in (0, 50)
+
+
 def test_odd_rows(spark, odd, clashing, no_docs):
     leaf = (F.lit("d"), F.col("lang"), F.col("source"))
     got = m.decide(spark, odd, m.Plan(share=5.0, epochs=2), *leaf).collect()

@@ -15,8 +15,8 @@ leaves is too large for Spark to broadcast.
 
 Defined results: null texts and texts without words have no tokens; a null domain, language or
 source is a node named by the empty string; nodes without a stated weight get `default`; nodes of
-weight zero get nothing; a null id orders as the empty string; rows that repeat an id share its place and are taken
-together or not at all; an empty table gives an empty result; `mix` keeps all columns, whatever their names.
+weight zero get nothing; a null id orders as the empty string; rows that share an id, or have none, go by a hash of their text, and those alike in
+both are taken together or not at all; an empty table gives an empty result; `mix` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -86,13 +86,18 @@ def leaf_budgets(leaves: DataFrame, plan: Plan, total: int) -> DataFrame:
 
 
 def _key(id_column: Column, epoch: Column, seed: int) -> Column:
+    """The place of a row in a pass: a hash of its id, then one of its text (the column _raw)."""
+    return F.concat(_id_key(id_column, epoch, seed), F.lpad(F.hex("_raw"), 16, "0"))
+
+
+def _id_key(id_column: Column, epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_column.cast("string"), F.lit(""))).cast("binary"))
 
 
 def leaf_cuts(spark: SparkSession, rows: DataFrame, plan: Plan) -> DataFrame:
     """For each leaf: tokens, budget b, whole passes, and where the prefix of the next pass ends.
 
-    rows: LEAF columns, _id and _tokens. The prefix has all keys up to cut; cut is null where it has none.
+    rows: LEAF columns, _id, _raw and _tokens. The prefix has all keys up to cut; cut is null where it has none.
     """
     scratch = Scratch(spark, "mixing")
     leaves = scratch.save(rows.groupBy(*LEAF).agg(F.sum("_tokens").alias("tokens")))
@@ -109,6 +114,7 @@ def leaf_cuts(spark: SparkSession, rows: DataFrame, plan: Plan) -> DataFrame:
         ends = bins.withColumn("before", before).where("before <= rest AND rest < before + n")
         ends = scratch.save(ends.select(*LEAF, F.col("bin").alias("end"), "before"))
     last = keyed.join(ends, list(LEAF)).where(F.col("key").startswith(F.col("end")))
+    last = last.groupBy(*LEAF, "key", "before", "rest").agg(F.sum("_tokens").alias("_tokens"))  # rows alike are one, however many they are
     upto = F.col("before") + F.sum("_tokens").over(Window.partitionBy(*LEAF).orderBy("key"))
     inside = last.withColumn("upto", upto).where("upto <= rest").groupBy(*LEAF).agg(F.max("key").alias("inside"))
     # keys of earlier ranges sort before the bare prefix of the last one
@@ -120,6 +126,10 @@ def _leaf_of(docs: DataFrame, domain: Column, language: Column, source: Column)
     return [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(LEAF, (domain, language, source), strict=True)]
 
 
+def _raw(text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{text_col}`")).alias("_raw")
+
+
 def _copies(plan: Plan) -> Column:
     taken = F.coalesce(_key(F.col("_id"), F.col("passes"), plan.seed) <= F.col("cut"), F.lit(False))
     return F.coalesce(F.col("passes") + taken.cast("long"), F.lit(0)).cast("long")
@@ -128,7 +138,7 @@ def _copies(plan: Plan) -> Column:
 def decide(spark: SparkSession, docs: DataFrame, plan: Plan, domain: Column, language: Column, source: Column, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """One row per input row: id, domain, language, source, n_tokens and copies, the times it is taken."""
     count = word_count(F.col(f"`{text_col}`")) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), *_leaf_of(docs, domain, language, source), count.alias("_tokens"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), _raw(text_col), *_leaf_of(docs, domain, language, source), count.alias("_tokens"))
     rows = Scratch(spark, "mixing").save(rows)
     dealt = rows.join(leaf_cuts(spark, rows, plan), list(LEAF), "left")
     return dealt.select(F.col("_id").alias(id_col), *LEAF, F.col("_tokens").alias("n_tokens"), _copies(plan).alias("copies"))
@@ -137,8 +147,8 @@ def decide(spark: SparkSession, docs: DataFrame, plan: Plan, domain: Column, lan
 def mix(spark: SparkSession, docs: DataFrame, plan: Plan, domain: Column, language: Column, source: Column, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """The rows taken, each as often as it is taken, with all their columns."""
     count = word_count(F.col(f"`{text_col}`")) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), *_leaf_of(docs, domain, language, source), count.alias("_tokens"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), _raw(text_col), *_leaf_of(docs, domain, language, source), count.alias("_tokens"))
     cuts = leaf_cuts(spark, Scratch(spark, "mixing").save(rows), plan)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").alias("_id"), *_leaf_of(docs, domain, language, source))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").alias("_id"), _raw(text_col), *_leaf_of(docs, domain, language, source))
     dealt = packed.join(cuts, list(LEAF)).withColumn("_copies", _copies(plan)).where("_copies > 0")
     return dealt.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_pass")).select("_row.*")
