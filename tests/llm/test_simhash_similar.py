@@ -118,6 +118,13 @@ def test_pairs_within_the_radius_collide():
     assert seen > 100 and missed <= 5
 
 
+def test_similar_sizes_share_a_class():
+    for a in [*range(1, 400), 1023, 1024, 4095, 4096, 65_535, 10**6]:
+        for b in range(a, int(a / 0.8 + 1e-9) + 1) if a < 400 else (a, a + 1, int(a / 0.8)):
+            assert set(n.size_classes(a, 0.8)) & set(n.size_classes(b, 0.8)), (a, b)
+    assert n.size_classes(0, 0.8) == [0] and n.size_classes(15, 0.8) == [1, 2] and n.size_classes(300, 0.8) == [4]
+
+
 def test_further_links_join_components(spark):
     from tidemill.session import Scratch
 

@@ -9,13 +9,14 @@ its tables: no pair within that distance is missed. That is 9 % of the bits, as
 of 300 tables, if not by guarantee: of 3,917 pairs of near copies of 0.1 GB of documents 99.6 % at similarities of
 0.80 to 0.82, 99.8 % at 0.82 to 0.85, and all above.
 
+A key holds a class of the set's size too, a power of 4: similar sets share the class of the larger one, and texts of other sizes don't meet by chance.
 In each bucket a task finds the minimum spanning trees of the fingerprints that are within `REACH` of the bits, never the pairs. A bucket of
 over `block` nodes is split into blocks, and each pair of blocks is a unit of its own. Trees' edges are then
 decided by the true similarity of their sets. Where a connected group of edges isn't one component of links yet, all
 its nodes of different components that are within reach are compared by their sets, again in pairs of blocks, which leave a forest of
 links. Components are those of all links. The keys of all tables shuffle as one long each beside the node.
 
-Comparisons grow with the square of the distinct texts by 2^23, the bits that a mask keeps; `part_bits` trades them for
+Comparisons grow with the square of the distinct texts of a class by 2^23, the bits that a mask keeps; `part_bits` trades them for
 the guarantee.
 
 Defined results: texts without words are one node; fewer words than a shingle are one
@@ -65,14 +66,22 @@ def fingerprint(hashes: np.ndarray, bits: int, seed: int = 11) -> np.ndarray:
     return (2 * counts > len(hashes))[:bits]
 
 
+def size_classes(n: int, similarity: float) -> list[int]:
+    """Powers of 4 that hold the sizes of sets that can be similar to a larger one of its own: those of n, and of the largest of these sizes.
+
+    Sets of that similarity share the class of the larger one.
+    """
+    return sorted({max(0, x.bit_length() - 1) // 2 for x in (n, int(n / similarity) + 1)}) if n else [0]
+
+
 def _node(hashes: np.ndarray) -> int:
     import xxhash
 
     return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def nodes_of(docs: DataFrame, id_col: str, text_col: str, width: int, part_bits: int) -> DataFrame:
-    """_id, _raw (a hash of the text), node, parts (numbers) and bits (packed) of each row."""
+def nodes_of(docs: DataFrame, id_col: str, text_col: str, width: int, part_bits: int, similarity: float = SIMILARITY) -> DataFrame:
+    """_id, _raw (a hash of the text), node, sizes (classes of its set's size), parts (numbers) and bits (packed) of each row."""
     power = 1 << np.arange(part_bits, dtype=np.int64)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,12 +89,13 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str, width: int, part_bits:
             sets = [shingle_set(text, width) for text in batch.column("_text").to_pylist()]
             prints = [fingerprint(s, PARTS * part_bits) for s in sets]
             parts = [p.reshape(PARTS, part_bits) @ power for p in prints]
-            columns = [pa.array([_node(s) for s in sets], pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array([np.packbits(p).tobytes() for p in prints], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_raw"), *columns], ["_id", "_raw", "node", "parts", "bits"])
+            sizes = pa.array([size_classes(len(s), similarity) for s in sets], pa.list_(pa.int32()))
+            columns = [pa.array([_node(s) for s in sets], pa.int64()), sizes, pa.array(parts, pa.list_(pa.int64())), pa.array([np.packbits(p).tobytes() for p in prints], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_raw"), *columns], ["_id", "_raw", "node", "sizes", "parts", "bits"])
 
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_raw"), text.alias("_text"))
-    return rows.mapInArrow(hashed, f"_id {rows.schema['_id'].dataType.simpleString()}, _raw long, node long, parts array<long>, bits binary")
+    return rows.mapInArrow(hashed, f"_id {rows.schema['_id'].dataType.simpleString()}, _raw long, node long, sizes array<int>, parts array<long>, bits binary")
 
 
 def sets_of(texts: DataFrame, width: int) -> DataFrame:
@@ -167,15 +177,19 @@ def _units(parts, own):
 
 
 def tree_edges(nodes: DataFrame, scratch: Scratch, part_bits: int, block: int) -> DataFrame:
-    """Edges a < b of the trees of all tables' buckets. nodes: node, parts and bits."""
+    """Edges a < b of the trees of all tables' buckets. nodes: node, sizes, parts and bits.
+
+    A bucket is of one table, one value under its mask and one class of sizes, as sets of very different sizes aren't similar.
+    """
     family = masks(PART_RADIUS, bits=part_bits)
-    table = F.col("p").cast("long") * len(family)
-    keys = F.array(*(F.shiftleft(table + t, part_bits).bitwiseOR(F.col("v").bitwiseAND(F.lit(mask))) for t, mask in enumerate(family)))
+    first = (F.col("size").cast("long") * PARTS + F.col("p")) * len(family)
+    keys = F.array(*(F.shiftleft(first + t, part_bits).bitwiseOR(F.col("v").bitwiseAND(F.lit(mask))) for t, mask in enumerate(family)))
     # dealt out first, as each node gives a key for each table
-    dealt_nodes = nodes.select("node", "parts").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    keyed = dealt_nodes.select("node", F.posexplode("parts").alias("p", "v")).select("node", F.explode(keys).alias("key"))
-    # a table of its own, so that the join can split a hot bucket
-    sizes = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt_nodes = nodes.select("node", "sizes", "parts").repartition(n, "node").select("node", F.explode("sizes").alias("size"), "parts")
+    keyed = dealt_nodes.select("node", "size", F.posexplode("parts").alias("p", "v")).select("node", F.explode(keys).alias("key")).repartition(n, "key")
+    # both sides of the join are dealt alike, so keys shuffle once; the nodes' least and largest keep the column in either
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").drop("x", "y")
     parts = F.ceil(F.col("n") / block)
     dealt = keyed.join(sizes, "key").select("key", "node", F.explode(_units(parts, F.pmod(F.xxhash64("node"), parts))).alias("u"))
     spread = dealt.select("key", "u.i", "u.j", "node").join(nodes.select("node", "bits"), "node")
@@ -251,8 +265,8 @@ def open_links(groups: DataFrame, known: DataFrame, nodes: DataFrame, sets: Data
 
 def _components(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, similarity: float, width: int, part_bits: int, block: int, open_block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows (_id, _raw, node), and node and component of the nodes that are linked."""
-    rows = scratch.save(nodes_of(docs, id_col, text_col, width, part_bits))
-    nodes = scratch.save(rows.groupBy("node").agg(F.first("parts").alias("parts"), F.first("bits").alias("bits")))
+    rows = scratch.save(nodes_of(docs, id_col, text_col, width, part_bits, similarity))
+    nodes = scratch.save(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("sizes", "parts", "bits"))))
     edges = tree_edges(nodes, scratch, part_bits, block)
     wanted = scratch.save(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
     # texts that a filter of bounded size knows are hashed once more, so that only sets of nodes with edges shuffle and are written
