@@ -184,9 +184,9 @@ def tree_edges(nodes: DataFrame, scratch: Scratch, part_bits: int, block: int) -
     family = masks(PART_RADIUS, bits=part_bits)
     first = (F.col("size").cast("long") * PARTS + F.col("p")) * len(family)
     keys = F.array(*(F.shiftleft(first + t, part_bits).bitwiseOR(F.col("v").bitwiseAND(F.lit(mask))) for t, mask in enumerate(family)))
-    # dealt out first, as each node gives a key for each table
+    # dealt out first, as each node gives a key for each table; without nulls, which joins would else filter on one side only
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt_nodes = nodes.select("node", "sizes", "parts").repartition(n, "node").select("node", F.explode("sizes").alias("size"), "parts")
+    dealt_nodes = nodes.where("node IS NOT NULL").select("node", "sizes", "parts").repartition(n, "node").select("node", F.explode("sizes").alias("size"), "parts")
     keyed = dealt_nodes.select("node", "size", F.posexplode("parts").alias("p", "v")).select("node", F.explode(keys).alias("key")).repartition(n, "key")
     # both sides of the join are dealt alike, so keys shuffle once; the nodes' least and largest keep the column in either
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").drop("x", "y")
