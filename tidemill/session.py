@@ -73,10 +73,11 @@ class Scratch:
         self.paths: dict[int, str] = {}
         atexit.register(_remove, spark, self.path)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, codec: str | None = None) -> DataFrame:
+        """The table, read back. codec: of its files, for tables that hold texts (zstd takes less disk); none is Spark's own."""
         path = f"{self.path}/{self.n}"
         self.n += 1
-        df.write.mode("overwrite").parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
