@@ -4,7 +4,7 @@ A run of lines that came before goes if it has `run` lines or `run_words` words.
 lines, and shorter ones of `run_words` words, start at each line, so that each line of a run that goes lies in a window that came before. Of each window the
 smallest line hash (the last of equal ones) is selected as a fingerprint, with its position; neighbouring windows mostly select the
 same one. Equal runs select the same fingerprints at the same places of theirs, so those that occur once are done with. The others are joined by fingerprint and the lines around
-its position, as a digest of the window, with their first position by id and place. Matches extend both ways by those of the neighbouring windows at
+its position, as a hash of the window, with their first position by id and place. Matches extend both ways by those of the neighbouring windows at
 the same distance from what they match, and their lines are deleted at the later position.
 
 A filter of bounded size (`exact_dedup.repeated_filter`) knows the fingerprints that may be repeated: texts are read once for the fingerprints, of which only counts of
@@ -69,7 +69,7 @@ def numbered(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, othe
     """_row (the other columns), _id, _text, and a key for each row: a digest of its text and a number. A table, as numbers may change when rows are read again."""
     row = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("int")
     text = F.col(f"`{text_col}`")
-    return scratch.save(docs.select(row.alias("_row"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_digest"), F.monotonically_increasing_id().alias("_key")))
+    return scratch.save(docs.select(row.alias("_row"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_digest"), F.monotonically_increasing_id().alias("_key")), "zstd")
 
 
 def marks(rows: DataFrame, run: int, run_words: int) -> DataFrame:
@@ -84,8 +84,11 @@ def marks(rows: DataFrame, run: int, run_words: int) -> DataFrame:
 
 
 def selected(rows: DataFrame, run: int, run_words: int) -> DataFrame:
-    """_id, _digest, _key, mark and windows (start, n, and whole: a digest) of each selected fingerprint."""
-    window = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("whole", pa.binary())]))
+    """_id, _digest, _key, mark and windows (start, n, and whole: a hash) of each selected fingerprint.
+
+    Windows are equal if both their fingerprint and their hash are: 128 bits in all.
+    """
+    window = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("whole", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -97,12 +100,12 @@ def selected(rows: DataFrame, run: int, run_words: int) -> DataFrame:
                 for mark, some in fingerprints(lines, run, run_words).values():
                     doc.append(i)
                     all_marks.append(mark)
-                    all_windows.append([{"start": a, "n": n, "whole": xxhash.xxh3_128_digest("\n".join(lines[a : a + n]))} for a, n in some])
+                    all_windows.append([{"start": a, "n": n, "whole": xxhash.xxh3_64_intdigest("\n".join(lines[a : a + n])) - (1 << 63)} for a, n in some])
             own = [batch.column(c).take(pa.array(doc, pa.int64())) for c in ("_id", "_digest", "_key")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(all_marks, pa.int64()), pa.array(all_windows, window)], ["_id", "_digest", "_key", "mark", "windows"])
 
     some = rows.select("_id", "_digest", "_key", "_text")
-    return some.mapInArrow(cut, f"_id {some.schema['_id'].dataType.simpleString()}, _digest long, _key long, mark long, windows array<struct<start:int,n:int,whole:binary>>")
+    return some.mapInArrow(cut, f"_id {some.schema['_id'].dataType.simpleString()}, _digest long, _key long, mark long, windows array<struct<start:int,n:int,whole:long>>")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, run_words: int = RUN_WORDS) -> DataFrame:
