@@ -1,0 +1,20 @@
+"""Tables laid out by key join without a shuffle."""
+
+from tidemill.operators.bucketed import bucketed
+from tidemill.session import Scratch
+
+
+def test_joins_of_bucketed_tables_have_no_exchange(spark):
+    scratch = Scratch(spark, "test")
+    left = spark.createDataFrame([(i % 40 if i % 7 else None, i, "x") for i in range(300)], "k long, v long, `a.b` string")
+    right = spark.createDataFrame([(i % 25, -i) for i in range(60)] + [(None, 1)], "k long, w long")
+    a, b = bucketed(left, "k", 8, scratch), bucketed(right, "k", 8, scratch)
+    joined = a.join(b.hint("merge"), "k")
+    grouped = joined.groupBy("k").count()
+    for out in (joined, grouped):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert a.columns == left.columns
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    empty = bucketed(right.limit(0), "k", 8, scratch)
+    assert a.join(empty, "k").count() == 0 and empty.columns == right.columns

@@ -1,11 +1,13 @@
-"""Queries of exact quantiles, ranks, counts by inequalities, and sketches."""
+"""Queries of exact quantiles, ranks, counts by inequalities, sketches, and tables laid out for a join."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions import revenue
 from tidemill.operators import sketches
+from tidemill.operators.bucketed import bucketed
 from tidemill.operators.quantiles import exact_quantiles, global_ranks
 from tidemill.operators.theta import theta_counts
 from tidemill.plans.relational import query
@@ -49,3 +51,17 @@ def weeks_of_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     week = F.floor(F.col("day") / 7) * 604800
     found = sketches.merged(spark, path, {"week": week.cast("long")}, [0.5, 0.9])
     return found.select("week", "n", "users", F.round("q0", 6).alias("median"), F.round("q1", 6).alias("high"))
+
+
+@query("""
+SELECT o_orderpriority AS priority, count(*) AS lines, count(DISTINCT o_orderkey) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority
+""")
+def revenue_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and orders are laid out by order once; their join and the sums by order don't shuffle, only a row for each priority and task does."""
+    scratch = Scratch(spark, "bucketed")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), revenue().alias("revenue"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"))
+    joined = bucketed(lines, "key", 16, scratch).join(bucketed(orders, "key", 16, scratch).hint("merge"), "key")
+    by_order = joined.groupBy("key", "priority").agg(F.count(F.lit(1)).alias("lines"), F.sum("revenue").alias("revenue"))
+    return by_order.groupBy("priority").agg(F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("orders"), F.round(F.sum("revenue"), 2).alias("revenue"))
