@@ -18,8 +18,8 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
 def sessions(df: DataFrame, key: str, at: Column, tie: str, gap_seconds: int, name: str = "session", cell_seconds: int = 86400) -> DataFrame:
     """Numbers each key's sessions from 1: a row starts one if it comes over gap_seconds after the row before.
 
-    Rows of a key are dealt to cells of time, so that no task gets a whole hot key, and shuffle once; a table of a row for each key and cell has
-    how many sessions started before the cell, and whether its first row starts one.
+    Rows of a key are dealt to cells of time, so that no task gets a whole hot key. They shuffle twice, once with no more than key, time and tie, for a table of a row for
+    each key and cell: how many sessions started before the cell, and whether its first row starts one.
 
     Defined results: a null key is a key like any other; rows with a null time come first and are a session of their own; ties in time are of one
     session; an empty table gives no rows; a column named as the result is replaced, others stay, whatever their names.

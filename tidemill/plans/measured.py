@@ -1,4 +1,4 @@
-"""Queries of exact quantiles, ranks, counts by inequalities, sketches, and tables laid out for a join."""
+"""Queries of exact quantiles, ranks, counts by inequalities, sketches, tables laid out for a join, and values at regular times."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import revenue
 from tidemill.operators import sketches
 from tidemill.operators.bucketed import bucketed
+from tidemill.operators.preceding import resampled
 from tidemill.operators.quantiles import exact_quantiles, global_ranks
 from tidemill.operators.theta import theta_counts
 from tidemill.plans.relational import query
@@ -65,3 +66,16 @@ def revenue_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = bucketed(lines, "key", 16, scratch).join(bucketed(orders, "key", 16, scratch).hint("merge"), "key")
     by_order = joined.groupBy("key", "priority").agg(F.count(F.lit(1)).alias("lines"), F.sum("revenue").alias("revenue"))
     return by_order.groupBy("priority").agg(F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("orders"), F.round(F.sum("revenue"), 2).alias("revenue"))
+
+
+@query("""
+WITH e AS (SELECT user_id, epoch_us(ts) AS us, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+g AS (SELECT user_id, unnest(generate_series(ceil(min(us) / 3600000000)::BIGINT, (max(us) - 1) // 3600000000)) AS hour FROM e GROUP BY user_id),
+p AS (SELECT g.user_id, hour, hour * 3600000000 AS t, e.us AS a, e.value AS v FROM g ASOF JOIN e ON g.user_id = e.user_id AND hour * 3600000000 >= e.us)
+SELECT p.user_id, hour, round(v, 4) AS carried, round(v + (e.value - v) * ((t - a)::DOUBLE / (e.us - a)), 4) AS linear FROM p ASOF JOIN e ON p.user_id = e.user_id AND p.t < e.us
+""")
+def hourly_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's value at every whole hour, carried forward and on the line between events."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    found = resampled(table(spark, sf_dir, "events"), "user_id", at, "event_id", "value", 3_600_000_000, 86_400_000_000)
+    return found.select("user_id", (F.col("at") / 3_600_000_000).cast("long").alias("hour"), F.round("carried", 4).alias("carried"), F.round("linear", 4).alias("linear"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import ratio, revenue
 from tidemill.operators.joins import asof_join, epoch, interval_join
+from tidemill.operators.preceding import preceding
 from tidemill.operators.windows import sessions, top_k
 from tidemill.sources import table
 
@@ -118,13 +119,14 @@ SELECT event_id, count(*) OVER w AS seen, round(value - lag(value) OVER (PARTITI
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """)
 def event_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
-        "event_id", F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("seen"),
-        F.round(F.col("value") - F.lag("value").over(order), 4).alias("change"), F.round(F.avg("value").over(order.rowsBetween(-2, 0)), 4).alias("recent"),
-    )
+    """Each event beside the two before it of its user; a user's events are dealt to days, so a hot user isn't one task."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    day = F.floor(epoch("ts") / 86400)
+    near = preceding(events, ["user_id"], F.col("ts"), F.col("event_id"), ["value"], 2, day, "seen")
+    values = F.filter(F.concat(F.transform("before", lambda r: r["value"]), F.array("value")), lambda v: v.isNotNull())
+    mean = F.try_divide(F.aggregate("values", F.lit(0.0), lambda total, v: total + v), F.size("values"))
+    last = F.try_element_at("before", F.lit(-1))["value"]
+    return near.withColumn("values", values).select("event_id", "seen", F.round(F.col("value") - last, 4).alias("change"), F.round(mean, 4).alias("recent"))
 
 
 @query("""
