@@ -1,4 +1,4 @@
-"""Queries of exact quantiles, ranks, counts by inequalities, sketches, tables laid out for a join, and values at regular times."""
+"""Queries of exact quantiles, ranks, counts by inequalities, sketches, tables laid out for a join, values at regular times, and a table in files of another format."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from tidemill.operators.quantiles import exact_quantiles, global_ranks
 from tidemill.operators.theta import theta_counts
 from tidemill.plans.relational import query
 from tidemill.session import Scratch
-from tidemill.sources import table
+from tidemill.sources import arrow_files, table
 
 
 @query("""
@@ -79,3 +79,17 @@ def hourly_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     found = resampled(table(spark, sf_dir, "events"), "user_id", at, "event_id", "value", 3_600_000_000, 86_400_000_000)
     return found.select("user_id", (F.col("at") / 3_600_000_000).cast("long").alias("hour"), F.round("carried", 4).alias("carried"), F.round("linear", 4).alias("linear"))
+
+
+@query("""
+SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15' GROUP BY ALL
+""")
+def archived_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events saved as Arrow files by ranges of time, as many as their size asks for, and a week of them read back, from those files only that hold some of it."""
+    path = f"{Scratch(spark, 'archive').path}/events"
+    events = table(arrow_files.register(spark), sf_dir, "events")
+    events.repartitionByRange("ts").write.format(arrow_files.NAME).option("ranges", "ts").mode("overwrite").save(path)
+    kept = spark.read.format(arrow_files.NAME).schema("event_type string, ts timestamp_ntz, value double").load(path)
+    begin, end = (F.lit(day).cast("timestamp_ntz") for day in ("2024-01-08", "2024-01-15"))
+    week = kept.where((F.col("ts") >= begin) & (F.col("ts") < end))
+    return week.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
