@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import revenue
+from tidemill.functions.variants import leaves, url_parameters
 from tidemill.operators import sketches
 from tidemill.operators.bucketed import bucketed
 from tidemill.operators.preceding import resampled
 from tidemill.operators.quantiles import exact_quantiles, global_ranks
+from tidemill.operators.sequences import matched_once
 from tidemill.operators.theta import theta_counts
-from tidemill.plans.relational import query
+from tidemill.plans.relational import QUERIES, query
 from tidemill.session import Scratch
 from tidemill.sources import arrow_files, table
 
@@ -93,3 +95,26 @@ def archived_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin, end = (F.lit(day).cast("timestamp_ntz") for day in ("2024-01-08", "2024-01-15"))
     week = kept.where((F.col("ts") >= begin) & (F.col("ts") < end))
     return week.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+def clicks_of_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the oldest click of its user within six hours before that no other purchase has taken; tested against brute force, as SQL has no such order of rows."""
+    kind, at = F.col("event_type"), F.unix_micros(F.col("ts").cast("timestamp"))
+    found = matched_once(table(spark, sf_dir, "events"), "user_id", at, "event_id", kind == "click", kind == "purchase", 21_600_000_000, 86_400_000_000)
+    return found.select(F.col("giver").alias("click_id"), F.col("taker").alias("purchase_id"))
+
+
+QUERIES["clicks_of_purchases"] = clicks_of_purchases
+
+
+@query("""
+WITH q AS (SELECT unnest(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&')) AS p FROM pages),
+v AS (SELECT regexp_extract(p, '^[^=]*') AS name, regexp_extract(p, '=(.*)$', 1) AS value FROM q WHERE p <> '')
+SELECT name, CASE WHEN regexp_full_match(value, '-?[0-9]+') THEN 'BIGINT' ELSE 'STRING' END AS kind, count(*) AS n, coalesce(max(try_cast(value AS BIGINT)), 0) AS largest FROM v GROUP BY ALL
+""")
+def page_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters of all pages' URLs as members of a variant, by the types they turn out to have."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.to_variant_object(url_parameters(F.col("url"))).alias("parameters"))
+    found = leaves(pages, "parameters", "page_id").select(F.variant_get("value", "$.name", "string").alias("name"), F.variant_get("value", "$.value", "variant").alias("value"))
+    by_kind = found.groupBy("name", F.schema_of_variant("value").alias("kind"))
+    return by_kind.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.try_variant_get("value", "$", "bigint")), F.lit(0).cast("long")).alias("largest"))
