@@ -15,7 +15,7 @@ from tidemill.operators.sequences import matched_once
 from tidemill.operators.theta import theta_counts
 from tidemill.plans.relational import QUERIES, query
 from tidemill.session import Scratch
-from tidemill.sources import arrow_files, table
+from tidemill.sources import arrow_files, table, text
 
 
 @query("""
@@ -118,3 +118,17 @@ def page_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaves(pages, "parameters", "page_id").select(F.variant_get("value", "$.name", "string").alias("name"), F.variant_get("value", "$.value", "variant").alias("value"))
     by_kind = found.groupBy("name", F.schema_of_variant("value").alias("kind"))
     return by_kind.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.try_variant_get("value", "$", "bigint")), F.lit(0).cast("long")).alias("largest"))
+
+
+@query("""
+SELECT o_orderpriority, o_orderstatus, count(*) AS n, min(o_orderkey) AS first, round(sum(o_totalprice), 2) AS total, max(epoch_us(o_orderdate)) // 1000000 AS last FROM orders GROUP BY ALL
+""")
+def orders_through_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders written as CSV, those read back written as JSON lines, and these summed."""
+    path, orders = Scratch(spark, "text").path, table(spark, sf_dir, "orders")
+    schema = ", ".join(f"{name} {kind}" for name, kind in orders.dtypes)
+    for kind in ("csv", "json"):
+        text.written(orders, f"{path}/{kind}", kind)
+        orders, _ = text.parsed(spark, f"{path}/{kind}", kind, schema)
+    last = F.unix_seconds(F.max("o_orderdate").cast("timestamp")).alias("last")
+    return orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.round(F.sum("o_totalprice"), 2).alias("total"), last)

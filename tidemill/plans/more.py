@@ -144,3 +144,17 @@ def streamed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = streaming.window_counts(streaming.read_events(spark, source, schema))
     streaming.to_files(counts, f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.schema(counts.schema).parquet(f"{path}/out").select(F.unix_timestamp("start").alias("start"), "event_type", "n", "total")
+
+
+@query("""
+SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS balance, 'none' AS kind FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY ALL
+UNION ALL SELECT c_mktsegment, count(*), round(sum(c_acctbal), 2), 'open' FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') GROUP BY ALL
+""")
+def customers_by_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without orders (anti join), and with open ones (semi join)."""
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+
+    def summed(rows: DataFrame, kind: str) -> DataFrame:
+        return rows.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.lit(kind).alias("kind"))
+
+    return summed(customers.join(orders, "c_custkey", "left_anti"), "none").union(summed(customers.join(orders.where("o_orderstatus = 'O'"), "c_custkey", "left_semi"), "open"))

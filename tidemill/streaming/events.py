@@ -13,14 +13,22 @@ def read_events(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def window_counts(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Events and their value by window and type; a window is final once the watermark has passed it."""
+    """Events and their value by window and type; a window is final once the watermark has passed it.
+
+    Defined results: rows with a null time are in no window; a null type is a type like any other, null values add nothing; rows of a window that the watermark had
+    passed before their batch are late and dropped; repeated rows count each.
+    """
     by = F.window("ts", width, slide) if slide else F.window("ts", width)
     counts = events.withWatermark("ts", late).groupBy(by, "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("stop"), "event_type", "n", "total")
 
 
 def distinct_events(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Events without repeats of an id that come within the watermark."""
+    """Events without repeats of an id that come within the watermark.
+
+    Defined results: of a batch's repeats any one stays; a null id is an id like any other; rows later than the watermark are dropped; a repeat that comes when the first is
+    older than the watermark counts as new.
+    """
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
