@@ -76,12 +76,13 @@ def test_repeated_ids_do_not_grow_the_sample(spark, monkeypatch):
 
 def plain_votes(voters, text):
     """Voters that fire, by their meaning."""
-    words = {w for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()}
+    every = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    words = set(every)
     lexicons = [set(words_of.split()) for words_of in t.LEXICONS.values()]
     found = [i for i, lexicon in enumerate(lexicons) if words & lexicon]
     hits = [[w for w in words if (w == p[:-1] if p.endswith(t.END) else w.startswith(p))] for p in voters.patterns]
     found += [len(lexicons) + i for i, hit in enumerate(hits) if hit]
-    n = {"lexicon": len(words & set().union(*lexicons)), "pattern": len({w for hit in hits for w in hit})}
+    n = {"lexicon": len(words & set().union(*lexicons)), "pattern": len({w for hit in hits for w in hit}), "insults": sum(w in set().union(*lexicons) for w in every)}
     return found + [len(lexicons) + len(hits) + i for i, (kind, least) in enumerate(t.Voters.COUNTS) if n[kind] >= least]
 
 
@@ -109,3 +110,31 @@ def test_scores_and_sums_equal_plain_ones(spark):
     odds = (w * (votes * np.log(r1 / r0) + (1 - votes) * np.log((1 - r1) / (1 - r0)))).sum(axis=1) + np.log(label.share / (1 - label.share))
     post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     assert np.allclose(totals, [(1 - post).sum(), post.sum()]) and np.allclose(expected, [(1 - post) @ votes, post @ votes])
+
+
+def test_repeated_insults_count():
+    voters = t.Voters([])
+    at = [voters.counting + i for i, (kind, _) in enumerate(t.Voters.COUNTS) if kind == "insults"]
+    for text, n in [("scum", 0), ("Scum, scum", 1), ("scum idiot scum", 2), ("scum " * 5, 3), ("plain " * 9, 0)]:
+        assert sum(i in at for i in voters.fire(text)) == n
+        assert voters.fire(text) == sorted(plain_votes(voters, text))
+
+
+def test_labelled_rows_count_once(spark, monkeypatch):
+    """What the label model adds for other rows is what it expects of them alone, repeats of a labelled id included."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"plain words {'zorgling scum' if i % 4 == 0 else 'here'} {i % 7}") for i in range(400)] + [(ids[0], "zz other text, scum")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sampled = ids[:150]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in sampled], "doc_id long, toxic int")
+    seen, real, sums = [], t.LabelModel.with_rows, t.expected_votes
+    monkeypatch.setattr(t.LabelModel, "with_rows", lambda self, votes, post, fired, totals: seen.append((self, fired, totals)) or real(self, votes, post, fired, totals))
+    monkeypatch.setattr(t, "expected_votes", lambda texts, voters, model: seen.append(voters) or sums(texts, voters, model))
+    t.fit(spark, docs, labels)
+    voters, (label, fired, totals) = seen
+    rest = [text for i, text in rows if i in set(ids) - set(sampled)] + ["zz other text, scum"]
+    votes = np.zeros((len(rest), len(voters)))
+    for i, text in enumerate(rest):
+        votes[i, plain_votes(voters, text)] = 1
+    expected, n = label.expected(votes)
+    assert np.allclose(fired, expected) and np.allclose(totals, n) and abs(totals.sum() - len(rest)) < 1e-6

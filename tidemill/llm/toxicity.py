@@ -1,11 +1,11 @@
 """Toxicity by weak supervision.
 
-Voters read a text's set of words: lexicons of insults, and patterns (words and word beginnings) mined
+Voters read a text's words: lexicons of insults, and patterns (words and word beginnings) mined
 from labelled rows by how much likelier they are in toxic texts; some voters count how many
-others fire. A generative label model with one latent class learns each voter's firing rate in either class
+others fire, and some how often insults come, repeats of one word included. A generative label model with one latent class learns each voter's firing rate in either class
 by expectation maximisation, the rows' labels being one more voter that errs. It estimates the correlation of each
 pair of voters within the classes, and voters that say the same as others weigh less. A further step of it takes in all
-rows outside the held-out fold, labelled or not, by their votes alone: tasks send sums of as many numbers as there are voters. A
+other rows outside the held-out fold by their votes alone: tasks send sums of as many numbers as there are voters. A
 logistic regression on the voters' outputs is trained on the posterior labels and scores all texts.
 
 Mining and fitting use `max_labelled` labelled rows at most, those with the smallest hashes of
@@ -62,8 +62,8 @@ class Voters:
     patterns: list[str]
     known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
-    #: What counting voters ask of lexicon words, and of mined patterns' words.
-    COUNTS = (("lexicon", 1), ("lexicon", 2), ("lexicon", 3), ("pattern", 1), ("pattern", 2), ("pattern", 4))
+    #: What counting voters ask of different lexicon words, of mined patterns' different words, and of lexicon words with their repeats.
+    COUNTS = (("lexicon", 1), ("lexicon", 2), ("lexicon", 3), ("pattern", 1), ("pattern", 2), ("pattern", 4), ("insults", 2), ("insults", 3), ("insults", 5))
     CACHE = 100_000
 
     def __post_init__(self):
@@ -92,17 +92,19 @@ class Voters:
 
     def fire(self, text: str | None) -> list[int]:
         """The voters that fire, in order."""
-        words = set(WORD.findall((text or "").lower()))
-        known, found, n_lexicon, n_pattern = self.known, set(), 0, 0
-        for word in words:
+        words = Counter(WORD.findall((text or "").lower()))
+        known, found, n_lexicon, n_pattern, n_insults = self.known, set(), 0, 0, 0
+        for word, times in words.items():
             hit = known.get(word)
             if hit is None:
                 hit = self._of(word)
             if hit:
                 found.update(hit)
-                n_lexicon += hit[0] < len(LEXICONS)
+                if hit[0] < len(LEXICONS):
+                    n_lexicon += 1
+                    n_insults += times
                 n_pattern += hit[-1] >= len(LEXICONS)
-        counts = {"lexicon": n_lexicon, "pattern": n_pattern}
+        counts = {"lexicon": n_lexicon, "pattern": n_pattern, "insults": n_insults}
         found.update(self.counting + i for i, (kind, n) in enumerate(self.COUNTS) if counts[kind] >= n)
         return sorted(found)
 
@@ -145,6 +147,12 @@ class LabelModel:
         on, off = (self.weight * (f(self.rates[1]) - f(self.rates[0])) for f in (np.log, lambda r: np.log1p(-r)))
         return (on - off)[:-1], float(off[:-1].sum() + math.log(self.share / (1 - self.share)))
 
+    def expected(self, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What `expected_votes` gives for rows of these votes, labels left out."""
+        adds, base = self.by_votes()
+        post = 1 / (1 + np.exp(-np.clip(base + votes @ adds, -30, 30)))
+        return np.stack([(1 - post) @ votes, post @ votes]), np.array([(1 - post).sum(), post.sum()])
+
     def with_rows(self, votes: np.ndarray, post: np.ndarray, fired: np.ndarray, totals: np.ndarray) -> LabelModel:
         """Rates of labelled rows (votes, labels and posteriors) and of others together, of which `fired` are expected to have fired by class, of `totals` rows."""
         own = np.stack([(1 - post) @ votes, post @ votes])
@@ -265,9 +273,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     for i, found in enumerate(rows.column("votes").to_pylist()):
         votes[i, found] = 1
     post, model = label_model(votes, toxic)
-    others = texts.where(~held_out(F.col("_id"))).select("_text")
     labelled = np.column_stack([votes, toxic]).astype(float)
-    post = model.with_rows(labelled, post, *expected_votes(others, voters, model)).posterior(labelled)
+    # the sample's rows are among all rows of the fold; what they add by votes alone is taken off, so that each row counts once
+    everything = expected_votes(texts.where(~held_out(F.col("_id"))).select("_text"), voters, model)
+    others = [np.maximum(a - b, 0.0) for a, b in zip(everything, model.expected(labelled[:, :-1]), strict=True)]
+    post = model.with_rows(labelled, post, *others).posterior(labelled)
     weights, bias = fit_linear(votes, post)
     return Model(voters, weights, bias)
 
