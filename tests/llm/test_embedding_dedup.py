@@ -26,7 +26,7 @@ def brute(vectors, least=0.95):
     return {i: (len(links[i]), component[i]) for i in links}
 
 
-@pytest.mark.parametrize("block", [16, 2048])
+@pytest.mark.parametrize("block", [3, 16, 2048])  # with 3, tiles hold several blocks a side
 def test_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(e, "BLOCK", block)
     rng = np.random.default_rng(2)
@@ -61,6 +61,19 @@ def test_intervals_are_skipped_and_lose_no_pair():
     assert 0 < compared < 0.7 * linked.size
 
 
+@pytest.mark.parametrize(("n", "m", "leaf"), [(1, 1, 4), (1, 65, 4), (33, 7, 4), (64, 64, 64), (100, 37, 8), (37, 129, 16)])
+def test_intervals_of_any_number(n, m, leaf):
+    """Blocks of different lengths, the last interval of each a short one."""
+    rng = np.random.default_rng(n * m)
+    u = np.repeat(rng.normal(size=(12, 5)), 20, axis=0)[: n + m] + rng.normal(size=(n + m, 5)) * 0.1
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    turn = np.linalg.qr(rng.normal(size=(5, 5)))[0][:, :3]
+    a, b = u[:n], u[n:]
+    linked, compared = e.linked_pairs(a, b, turn, 0.95, leaf)
+    assert linked.shape == (n, m) and (linked == (a @ b.T >= 0.95)).all() and compared <= linked.size
+    assert not e.linked_pairs(a, -b, turn, 1.1, leaf)[0].any()
+
+
 @pytest.mark.parametrize("kind", ["int", "bigint", "decimal(20,6)", "double"])
 def test_numbers_of_other_kinds_are_doubles(spark, kind):
     big = 2**24 + 1

@@ -5,14 +5,15 @@ farther on any axes or in the length of what the leading axes leave over. Vector
 the grid cells (of that width) of their leading coordinates, and cut into blocks of `BLOCK` in that order. Sequence
 intervals of blocks form a tree of fan-out `FAN`, each with a box around its leading coordinates. The join starts
 with the root against itself and descends level by level, as DataFrame joins, dropping pairs of
-intervals whose boxes are farther apart than the radius. In the task of a pair of blocks that remains, their intervals are halved in the same way
-down to `LEAF` vectors, and those not skipped are compared by a matrix product in double precision.
+intervals whose boxes are farther apart than the radius. Pairs of blocks that remain are dealt in tiles of `TILE` by `TILE` blocks at most, so that a block is
+sent once for a group of partners. For each pair, intervals are halved in the same way
+down to `LEAF` vectors, all pairs of a level at once, and those not skipped are compared by matrix products in double precision.
 
 Equal vectors are one node, with a count, so that copies cost nothing. A pair of blocks gives each of its
 nodes a count of links and a spanning forest of the links, not the pairs. The principal axes come from sums over all
 vectors, of fixed size. Where vectors have no leading axes to speak of, few pairs of blocks can
 be told apart, and the comparisons grow with the square of the distinct vectors; they are spread
-over tasks of two blocks each.
+over tiles, of which a task holds one at a time.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing and are their own components; vectors of different lengths never link; a null id counts as a
@@ -41,6 +42,8 @@ from tidemill.session import Scratch
 BLOCK, FAN, AXES = 2048, 8, 10
 #: Vectors of the shortest intervals within a block.
 LEAF = 128
+#: Blocks of a side of a tile at most; tables of few blocks have smaller tiles, so that there is one for each core.
+TILE = 8
 
 
 def _digests(wide: bool):
@@ -68,7 +71,11 @@ def _usable(values: pa.ListScalar, kind: type) -> bytes | None:
 
 
 def _units(raws: pa.Array, wide: bool) -> np.ndarray:
-    x = np.frombuffer(b"".join(raws.to_pylist()), np.float64 if wide else np.float32).reshape(len(raws), -1).astype(np.float64)
+    return _unit_rows(b"".join(raws.to_pylist()), len(raws), wide)
+
+
+def _unit_rows(raw: bytes, n: int, wide: bool) -> np.ndarray:
+    x = np.frombuffer(raw, np.float64 if wide else np.float32).reshape(n, -1).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -170,64 +177,93 @@ def _close_blocks(blocks: DataFrame, n_blocks: int, lead: int, radius: float, sc
     return pairs
 
 
+def _boxes(u: np.ndarray, turn: np.ndarray, leaf: int, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Lower and upper bounds of the intervals of `leaf` vectors, then of twice as many, and so on."""
+    y = u @ turn
+    places = np.column_stack([y, np.sqrt(np.clip(1 - (y * y).sum(axis=1), 0, None))])
+    levels = [tuple(f.reduceat(places, np.arange(0, len(u), leaf), axis=0) for f in (np.minimum, np.maximum))]
+    for _ in range(depth):
+        levels.append(tuple(f.reduceat(side, np.arange(0, len(side), 2), axis=0) for f, side in zip((np.minimum, np.maximum), levels[-1], strict=True)))
+    return levels
+
+
 def linked_pairs(a: np.ndarray, b: np.ndarray, turn: np.ndarray, least: float, leaf: int = LEAF) -> tuple[np.ndarray, int]:
     """Which unit vectors of a and b have a cosine of at least `least`, and how many pairs were compared for it.
 
-    Intervals of the two are halved until they are provably distant by their boxes or have `leaf` vectors at most.
+    Intervals of the two are halved, a level at a time, until they are provably distant by their boxes or have `leaf` vectors at most.
     """
     radius = max(0.0, 2 - 2 * least) + 1e-9
+    depth = (-(-max(len(a), len(b)) // leaf) - 1).bit_length()
+    sides = [_boxes(u, turn, leaf, depth) for u in (a, b)]
+    x = y = np.zeros(1, np.int64)
+    for level in range(depth, -1, -1):
+        (a_lo, a_hi), (b_lo, b_hi) = sides[0][level], sides[1][level]
+        gap = np.maximum(np.maximum(a_lo[x] - b_hi[y], b_lo[y] - a_hi[x]), 0)
+        near = (gap * gap).sum(axis=1) <= radius
+        x, y = x[near], y[near]
+        if level:
+            x, y = (np.repeat(x, 4) * 2 + np.tile([0, 0, 1, 1], len(x))), (np.repeat(y, 4) * 2 + np.tile([0, 1, 0, 1], len(y)))
+            there = (x < len(sides[0][level - 1][0])) & (y < len(sides[1][level - 1][0]))
+            x, y = x[there], y[there]
     linked, compared = np.zeros((len(a), len(b)), bool), 0
-    places = []
-    for u in (a, b):
-        y = u @ turn
-        places.append(np.column_stack([y, np.sqrt(np.clip(1 - (y * y).sum(axis=1), 0, None))]))
-    left = [(0, len(a), 0, len(b))]
-    while left:
-        a0, a1, b0, b1 = left.pop()
-        x, y = places[0][a0:a1], places[1][b0:b1]
-        gap = np.maximum(np.maximum(x.min(axis=0) - y.max(axis=0), y.min(axis=0) - x.max(axis=0)), 0)
-        if gap @ gap > radius:
-            continue
-        if max(a1 - a0, b1 - b0) <= leaf:
-            linked[a0:a1, b0:b1] = a[a0:a1] @ b[b0:b1].T >= least
-            compared += (a1 - a0) * (b1 - b0)
-            continue
-        halves = [[(p, (p + q) // 2), ((p + q) // 2, q)] if q - p > leaf else [(p, q)] for p, q in ((a0, a1), (b0, b1))]
-        left += [(*x, *y) for x in halves[0] for y in halves[1]]
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    # neighbouring intervals of b that an interval of a is compared with go in one product
+    cuts = np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 1)) + 1
+    for first, last in zip([0, *cuts], [*cuts, len(x)], strict=True):
+        if first < last:
+            a0, b0, b1 = x[first] * leaf, y[first] * leaf, (y[last - 1] + 1) * leaf
+            found = a[a0 : a0 + leaf] @ b[b0:b1].T >= least
+            linked[a0 : a0 + leaf, b0:b1] = found
+            compared += found.size
     return linked, compared
 
 
-def _compared(pairs: DataFrame, blocks: DataFrame, turn: np.ndarray, least: float, wide: bool) -> DataFrame:
+def _compared(pairs: DataFrame, blocks: DataFrame, turn: np.ndarray, least: float, wide: bool, tile: int) -> DataFrame:
     """Counts of links by node (b is null), and edges a, b that span the links (n is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        now = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                side = [(batch.column(f"{s}_nodes")[i].values.to_numpy(), batch.column(f"{s}_counts")[i].values.to_numpy(), batch.column(f"{s}_raws")[i].as_py()) for s in "ab"]
-                same = side[0][0][0] == side[1][0][0]
-                u = [_units(pa.array([raw[k : k + len(raw) // len(nodes)] for k in range(0, len(raw), len(raw) // len(nodes))], pa.binary()), wide) for nodes, _, raw in side]
-                linked, _ = linked_pairs(*u, turn, least)
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("s", "t", "block", "others")), strict=True))
+            for i, (s, t, block, others) in enumerate(keys):
+                if (s, t) != now:
+                    yield from whole(held)
+                    held, now = {}, (s, t)
+                held[block] = (others, *(batch.column(c)[i].values.to_numpy() for c in ("nodes", "counts")), batch.column("raws")[i].as_py())
+        yield from whole(held)
+
+    def whole(held: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        """The pairs of a tile."""
+        for block, (others, nodes, counts, raw) in held.items():
+            u = _unit_rows(raw, len(nodes), wide) if others else None
+            for other in others:
+                _, other_nodes, other_counts, other_raw = held[other]
+                same = other == block
+                linked, _ = linked_pairs(u, u if same else _unit_rows(other_raw, len(other_nodes), wide), turn, least)
                 if same:
                     np.fill_diagonal(linked, False)
-                yield from counted(side, linked, same)
+                yield counted((nodes, counts), (other_nodes, other_counts), linked, same)
 
-    def counted(side: list[tuple], linked: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
-        (a, na, _), (b, nb, _) = side
-        nodes, links = [a], [linked @ nb]
+    def counted(one: tuple, two: tuple, linked: np.ndarray, same: bool) -> pa.RecordBatch:
+        (a, na), (b, nb) = one, two
+        rows, columns = linked.any(axis=1), linked.any(axis=0)
+        some = linked[rows][:, columns]
+        nodes, links = [a[rows]], [some @ nb[columns]]
         if not same:
-            nodes.append(b)
-            links.append(na @ linked)
+            nodes.append(b[columns])
+            links.append(na[rows] @ some)
         nodes, links = np.concatenate(nodes), np.concatenate(links)
-        some = links > 0
-        x, y = _forest(a, b, linked)
-        n = int(some.sum())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([nodes[some], x])), pa.array([None] * n + y.tolist(), pa.int64()), pa.array(links[some].tolist() + [None] * len(x), pa.int64())], ["a", "b", "n"]
-        )
+        x, y = _forest(a[rows], b[columns], some)
+        n = len(nodes)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([nodes, x])), pa.array([None] * n + y.tolist(), pa.int64()), pa.array(links.tolist() + [None] * len(x), pa.int64())], ["a", "b", "n"])
 
-    blob = [blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("nodes", "counts", "raws"))) for s in "ab"]
-    both = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).join(blob[0], "a").join(blob[1], "b")
-    return both.drop("a", "b").mapInArrow(run, "a long, b long, n long")
+    tiled = pairs.select(F.floor(F.col("x") / tile).alias("s"), F.floor(F.col("y") / tile).alias("t"), "x", "y")
+    sides = tiled.select("s", "t", F.col("x").alias("block"), F.col("y").alias("other")).unionByName(tiled.select("s", "t", F.col("y").alias("block"), F.lit(None).cast("long").alias("other")))
+    wanted = sides.groupBy("s", "t", "block").agg(F.collect_list("other").alias("others"))  # a tile's side at most
+    dealt = wanted.join(blocks.select("block", "nodes", "counts", "raws"), "block").repartition("s", "t").sortWithinPartitions("s", "t", "block")
+    return dealt.mapInArrow(run, "a long, b long, n long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,8 +297,9 @@ def _nodes_of(spark: SparkSession, groups: DataFrame, dim: int, least: float, wi
     base = parts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("base"))
     numbered = rows.join(F.broadcast(base), "part").withColumn("pos", F.col("base") + F.col("seq"))  # a row for each part
     blocks = scratch.save(_blocks(numbered.select("pos", F.floor(F.col("pos") / BLOCK).alias("block"), "n", "place", "raw"), lead))
-    pairs = _close_blocks(blocks, blocks.count(), lead, radius, scratch)
-    found = scratch.save(_compared(pairs, blocks, axes[:, :lead], least, wide))
+    n_blocks = blocks.count()
+    pairs = _close_blocks(blocks, n_blocks, lead, radius, scratch)
+    found = scratch.save(_compared(pairs, blocks, axes[:, :lead], least, wide, max(1, min(TILE, n_blocks // 8))))
     stars = components(spark, found.where("b is not null").select("a", "b"), scratch)
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     named = numbered.select("gid", "n", F.col("pos").alias("node"))
