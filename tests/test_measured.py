@@ -1,11 +1,15 @@
 """Exact quantiles, ranks and sketches against plain computations."""
 
+import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from compare import same_rows
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidemill.operators import quantiles as q
 from tidemill.operators import sketches
 from tidemill.session import Scratch
@@ -35,6 +39,41 @@ def test_quantiles_equal_numpy(skewed, cuts, few):
             assert got[k][f"q{i}"] == low + (high - low) * (place - int(place))
 
 
+@pytest.mark.parametrize("first", [None, [], [3.0, 7.0], [None]])
+def test_discrete_quantiles_equal_sorting_whatever_the_estimates(spark, skewed, first):
+    rows, df = skewed
+    wanted = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
+    edges = None if first is None else spark.createDataFrame([("hot", first), (None, first)], "k string, edges array<double>")
+    got = {r.k: r for r in q.exact_quantiles(df, ["k"], "v", wanted, 8, 4, discrete=True, first=edges).collect()}
+    groups = {k: sorted(v for key, v in rows if key == k) for k, _ in rows}
+    assert got.keys() == groups.keys()
+    for k, values in groups.items():
+        assert [got[k][f"q{i}"] for i in range(6)] == [values[max(math.ceil(round(p * 1000) * len(values) / 1000) - 1, 0)] for p in wanted]
+
+
+@pytest.fixture(scope="module")
+def many_events(spark, tmp_path_factory):
+    """More values than a sketch lists, with a type and times of nulls, and repeats."""
+    path = str(tmp_path_factory.mktemp("many"))
+    number = F.col("id") * 7919 % 1_000_003
+    rows = spark.range(600_000, numPartitions=4).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(1_704_000_000 + F.col("id") % 40 * 43_200).cast("timestamp_ntz").alias("ts"),
+        F.when(number % 50 > 0, number % 150_000 * 1_000_003).alias("user_id"), F.when(number % 7 > 0, F.when(number % 11 > 1, "view").otherwise("buy")).alias("event_type"),
+        F.when(number % 5 > 0, F.sqrt(number.cast("double")) - 300).alias("value"))
+    only_nulls = rows.limit(3).withColumns({"event_type": F.lit("none"), "value": F.lit(None).cast("double"), "ts": F.lit(None).cast("timestamp_ntz"), "user_id": F.lit(None).cast("long")})
+    rows.union(only_nulls).write.parquet(f"{path}/events.parquet")
+    return path
+
+
+def query_equals_sql(spark, name, path):
+    want = duckdb.connect().execute(entry.oracle_sql()[name].replace("FROM events", f"FROM '{path}/events.parquet/*.parquet'")).df()
+    same_rows(entry.queries()[name](spark, path).toPandas(), want)
+
+
+def test_estimates_by_type_are_settled_by_counts(spark, many_events):
+    query_equals_sql(spark, "estimates_by_type", many_events)
+
+
 def test_quantiles_of_nothing(skewed):
     _, df = skewed
     assert q.exact_quantiles(df.limit(0), ["k"], "v", [0.5]).count() == 0

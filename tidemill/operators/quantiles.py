@@ -7,31 +7,43 @@ or has so few that they are sorted. Estimates only say where to cut; counts deci
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.session import Scratch
 
 
-def _targets(sizes: DataFrame, probabilities: list[float]) -> DataFrame:
-    """The two ranks (from 0) between which each quantile lies."""
+def _least(p: float) -> Column:
+    """The rank (from 0) of the least value that a share `p` of the `n` values don't exceed, in decimals, as 0.9 of 10 values are 9 and not a bit more."""
+    return F.greatest(F.ceil(F.col("n").cast("decimal(19, 0)") * F.lit(Decimal(repr(float(p))).quantize(Decimal(1).scaleb(-15)))) - 1, F.lit(0)).cast("long")
+
+
+def _targets(sizes: DataFrame, probabilities: list[float], discrete: bool) -> DataFrame:
+    """The two ranks (from 0) between which each quantile lies, or the one that it is."""
+    if discrete:
+        return sizes.select("g", F.explode(F.array_distinct(F.array(*map(_least, probabilities)))).alias("rank"))
     lower = F.floor(F.col("n") - 1).cast("double")
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(float(p)) * lower).alias("place")) for k, p in enumerate(probabilities)))).alias("p")
     rows = sizes.select("g", each).select("g", "p.k", F.explode(F.array_distinct(F.array(F.floor("p.place"), F.ceil("p.place")))).alias("rank"))
     return rows.select("g", "rank").distinct()
 
 
-def ranked_values(rows: DataFrame, targets: DataFrame, scratch: Scratch, cuts: int = 64, few: int = 4096, most_rounds: int = 60) -> DataFrame:
-    """g, rank and v: the value of each rank (from 0) among the rows (g, v) of its group. No nulls among v."""
+def ranked_values(rows: DataFrame, targets: DataFrame, scratch: Scratch, cuts: int = 64, few: int = 4096, most_rounds: int = 60, first: DataFrame | None = None) -> DataFrame:
+    """g, rank and v: the value of each rank (from 0) among the rows (g, v) of its group. No nulls among v. first: g and edges to cut at in the first round; a group without is cut at its ends."""
     wide = rows.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
     left = scratch.save(targets.join(wide, "g").select("g", "rank", "low", "high", F.lit(0).cast("long").alias("before"), "n"))
     inside = F.col("v").between(F.col("low"), F.col("high"))
-    for _ in range(most_rounds):
+    for k in range(most_rounds):
         big = left.where(F.col("low") != F.col("high")).where(F.col("n") > few)
         if big.isEmpty():
             break
         held = rows.join(big, "g").where(inside)
-        edges = held.groupBy("g", "rank").agg(F.percentile_approx("v", [i / cuts for i in range(cuts + 1)], 20 * cuts).alias("edges"))
+        if first is not None and k == 0:
+            edges = big.join(first, "g", "left").select("g", "rank", F.coalesce("edges", F.array("low", "high")).alias("edges"))
+        else:
+            edges = held.groupBy("g", "rank").agg(F.percentile_approx("v", [i / cuts for i in range(cuts + 1)], 20 * cuts).alias("edges"))
         edges = scratch.save(edges.select("g", "rank", F.array_distinct("edges").alias("edges")))
         # two ranges for each edge: the values between it and the edge before, and those equal to it, so that a hot value is alone
         above = F.size(F.filter("edges", lambda e: e < F.col("v")))
@@ -49,8 +61,10 @@ def ranked_values(rows: DataFrame, targets: DataFrame, scratch: Scratch, cuts: i
     return one.union(some.withColumn("number", number).where("number = rank - before").select("g", "rank", "v"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float], cuts: int = 64, few: int = 4096) -> DataFrame:
-    """Keys, n (values that aren't null) and q0, q1, ...: interpolated quantiles, as DuckDB's quantile_cont or Spark's percentile.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float], cuts: int = 64, few: int = 4096, discrete: bool = False, first: DataFrame | None = None) -> DataFrame:
+    """Keys, n (values that aren't null) and q0, q1, ...: interpolated quantiles, as DuckDB's quantile_cont or Spark's percentile, or discrete ones, as quantile_disc.
+
+    first: keys and edges, an array of estimates for each group, as of a sketch (`sketches.edges`), which spare the pass that estimates where to cut. Wrong ones cost rounds and change no result.
 
     Defined results: null and NaN values don't count, and groups without others have no row; a null key is a key like any other; ties and repeated rows
     count each; values are doubles; an empty table gives no rows; other columns stay out.
@@ -61,10 +75,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: l
     group = F.struct(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys))) if keys else F.struct(F.lit(0).alias("k"))
     rows = scratch.save(df.select(group.alias("g"), F.col(f"`{value}`").cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)"))
     sizes = scratch.save(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
-    values = ranked_values(rows, _targets(sizes, probabilities), scratch, cuts, few)
+    if first is not None:
+        first = scratch.save(first.select(group.alias("g"), F.col("edges").cast("array<double>").alias("edges")).where("edges IS NOT NULL"))
+    values = ranked_values(rows, _targets(sizes, probabilities, discrete), scratch, cuts, few, first=first)
     held = sizes.join(values.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at")), "g")  # two for each quantile
 
     def quantile(p: float) -> Column:
+        if discrete:
+            return F.element_at("at", _least(p))
         place = F.lit(float(p)) * (F.col("n") - 1)
         low, high = F.element_at("at", F.floor(place)), F.element_at("at", F.ceil(place))
         return low + (high - low) * (place - F.floor(place))

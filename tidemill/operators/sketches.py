@@ -3,7 +3,7 @@
 Rows are read once. Merged, two sketches are the sketch of both their rows, so that spans of days, or later days, take no more than the rows of the table. Distinct counts
 are HLL sketches of 2^`bits` registers: their error is 1.04 over the root of those, 0.8 % for 14 bits, and none to speak of while a sketch still lists its
 values. Quantiles are KLL sketches: the rank of an estimate is off by 2.3 / `k`^0.92 or less, 0.2 % for k of 2,000, with 99 % confidence, and exact for
-no more than k values.
+no more than k values. Where exact quantiles are asked for, a sketch says where to look for them (`edges`), and rows are counted.
 """
 
 from __future__ import annotations
@@ -34,3 +34,10 @@ def merged(spark: SparkSession, path: str, keys: dict[str, Column], probabilitie
     has = F.kll_sketch_get_n_double("spread") > 0
     quantiles = [F.when(has, F.kll_sketch_get_quantile_double("spread", F.lit(float(p)))).alias(f"q{i}") for i, p in enumerate(probabilities)]
     return both.select(*keys, "n", "users", *quantiles)
+
+
+def edges(spread: Column, probabilities: list[float], k: int = K) -> Column:
+    """Values around the quantiles that a sketch estimates, apart by its error, for `exact_quantiles` to cut at; null where the sketch has no values."""
+    off = 2.3 / k**0.92
+    ranks = sorted({min(1.0, max(0.0, p + off * d)) for p in probabilities for d in (-1.5, -0.3, 0.0, 0.3, 1.5)})
+    return F.when(F.kll_sketch_get_n_double(spread) > 0, F.kll_sketch_get_quantile_double(spread, F.array(*map(F.lit, ranks))))
