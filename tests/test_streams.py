@@ -4,9 +4,11 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemill.streaming import events as streaming
+from tidemill.streaming import sessions
 from tidemill.streaming.sessions import closed_sessions, followed, rocks
 from tidemill.streaming.sink import KeyedSink
 
@@ -71,6 +73,80 @@ def test_sessions_with_late_rows_and_a_restart(spark, tmp_path):
     query.stop()
 
 
+class Calls:
+    """State and timers of one key, and how often they were called."""
+
+    def __init__(self):
+        self.rows, self.timers, self.n = [], [], 0
+
+    def called(self):
+        self.n += 1
+        return self
+
+    def getListState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        return bool(self.called().rows)
+
+    def get(self):
+        return iter(self.called().rows)
+
+    def put(self, rows):
+        self.called().rows = rows
+
+    def clear(self):
+        self.put([])
+
+    def listTimers(self):  # noqa: N802
+        return iter(list(self.called().timers))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.called().timers.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.called().timers.remove(at)
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return min(self.timers)
+
+
+class Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.at
+
+
+def test_calls_to_state_dont_grow_with_sessions(monkeypatch):
+    monkeypatch.setattr(sessions, "AT_ONCE", 7)
+    draw, state = random.Random(9), Calls()
+    sessions_of = sessions.Sessions(1000)
+    sessions_of.init(state)
+    rows = [("a", draw.randrange(10_000) * SECOND, draw.choice([1.0, None]), k) for k in range(3000)]
+    made, got, seen = streaming_rows(rows), [], []
+    for k, until in enumerate((4000, 9000, 30_000)):  # seconds; rows of a batch come in any order
+        some = [r for r in made if k * 4000 <= r.at // SECOND < (k + 1) * 4000]
+        seen += some
+        before = state.n
+        list(sessions_of.handleInputRows(("a",), iter(some), Watermark(0)))
+        assert state.n - before < 6 and len(state.timers) == 1
+        while state.timers and min(state.timers) <= until * 1000:
+            before, at = state.n, min(state.timers)
+            got += list(sessions_of.handleExpiredTimer(("a",), Watermark(until * 1000), state))
+            state.timers.remove(at)  # as Spark does with one that has fired
+            assert state.n - before < 6
+        assert sorted(((r.key, r.start, r["last"], r.n, r.total) for r in got), key=str) == closed([("a", r.at, r.value, 0) for r in seen], SECOND, until * SECOND)
+    assert len(got) > 1000 and not state.rows and not state.timers
+
+
+def streaming_rows(rows):
+    made = [Row(key=u, ts=None, at=at, value=value) for u, at, value, _ in rows]
+    random.Random(10).shuffle(made)
+    return made
+
+
 def test_joined_streams_equal_batch(spark, tmp_path):
     draw = random.Random(8)
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
