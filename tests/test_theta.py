@@ -36,3 +36,27 @@ def test_plans_have_no_nested_loop_and_empty_sides_give_zeros(spark):
     assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
     none = rows.limit(0)
     assert [r.n for r in theta_counts(rows, none, "x", "y").collect()] == [0, 0, 0] and theta_counts(none, rows, "x", "y").count() == 0
+
+
+@pytest.mark.parametrize("bounds", [(None, None), (7.0, None), (None, 5.0), (7.0, 5.0)])
+def test_few_values_of_x_are_swept_once(spark, bounds):
+    draw = random.Random(3)
+    ends = [math.inf, -math.inf, 1.7976931348623157e308, -1.7976931348623157e308, -0.0, 0.0]
+    value = lambda: draw.choice([None, *ends, *map(float, range(12)), *map(float, range(12))])
+    left, right = ([(i, value(), draw.choice([value(), draw.random() * 12])) for i in range(n)] for n in (200, 300))
+    left += [(500 + k, k + 0.5, 3.0) for k in range(12)]  # between the values of the right side
+    frames = [spark.createDataFrame(rows, "id int, x double, y double").repartition(3) for rows in (left, right)]
+    out = theta_counts(*frames, "x", "y", *bounds, cells=16)
+    assert {r.id: r.n for r in out.collect()} == brute(left, right, *bounds)
+    plan = theta_counts(*frames, "x", "y", *bounds, cells=16)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_earlier") == 1
+
+
+@pytest.mark.parametrize("bounds", [(None, None), (0.2, None), (None, 0.1), (0.2, 0.1)])
+def test_many_values_of_x_with_hot_ones_equal_all_pairs(spark, bounds):
+    draw = random.Random(4)
+    value = lambda: draw.choice([0.5, 0.25, 0.5 + 2**-53, draw.random(), draw.random(), draw.random(), draw.random()])
+    left, right = ([(i, value(), value()) for i in range(n)] for n in (300, 900))
+    frames = [spark.createDataFrame(rows, "id int, x double, y double").repartition(3) for rows in (left, right)]
+    usable = {i: sum(x < a and y > b and (bounds[0] is None or x >= a - bounds[0]) and (bounds[1] is None or y <= b + bounds[1]) for _, x, y in right) for i, a, b in left}
+    assert {r.id: r.n for r in theta_counts(*frames, "x", "y", *bounds, cells=8).collect()} == usable
