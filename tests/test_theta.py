@@ -60,3 +60,10 @@ def test_many_values_of_x_with_hot_ones_equal_all_pairs(spark, bounds):
     frames = [spark.createDataFrame(rows, "id int, x double, y double").repartition(3) for rows in (left, right)]
     usable = {i: sum(x < a and y > b and (bounds[0] is None or x >= a - bounds[0]) and (bounds[1] is None or y <= b + bounds[1]) for _, x, y in right) for i, a, b in left}
     assert {r.id: r.n for r in theta_counts(*frames, "x", "y", *bounds, cells=8).collect()} == usable
+
+
+def test_infinity_is_above_the_greatest_number(spark):
+    most = 1.7976931348623157e308
+    right = spark.createDataFrame([(0, 0.0, y) for y in (1.0, most, most, most, math.inf)], "id int, x double, y double")
+    left = spark.createDataFrame([(1, 1.0, most), (2, 1.0, 1.0), (3, 1.0, math.inf)], "id int, x double, y double")
+    assert {r.id: r.n for r in theta_counts(left, right, "x", "y", cells=2).collect()} == {1: 1, 2: 4, 3: 0}

@@ -32,7 +32,8 @@ def cuts(df: DataFrame, column: str, cells: int) -> tuple[list[float], list[bool
         if a == b and a < np.finfo(float).max:
             starts.add(float(np.nextafter(a, np.inf)))
     edges = sorted(starts)
-    return edges, [bool(np.nextafter(a, np.inf) == b) for a, b in zip([-np.inf, *edges], [*edges, np.inf], strict=True)]
+    # the last range holds infinity, so that it is one value only if it starts there
+    return edges, [*(bool(np.nextafter(a, np.inf) == b) for a, b in zip([-np.inf, *edges], edges, strict=False)), bool(edges) and edges[-1] == np.inf]
 
 
 def cuts_at_values(df: DataFrame, column: str, most: int) -> tuple[list[float], list[bool]] | None:
