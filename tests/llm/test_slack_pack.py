@@ -159,3 +159,53 @@ def test_odd_rows(spark, odd, odd_rows, clashing, no_docs, theirs):
     assert s.pack(spark, no_docs).count() == 0 and s.sequences(spark, no_docs).count() == 0
     with pytest.raises(ValueError):
         s.pack(spark, odd, size=0)
+
+
+def test_numbers_of_pieces_are_one_file_whatever_the_shuffle(spark, sf_dir, monkeypatch, theirs):
+    saved = []
+
+    class Seen(s.Scratch):
+        def save(self, df, codec=None):
+            saved.append(super().save(df, codec))
+            return saved[-1]
+
+    monkeypatch.setattr(s, "Scratch", Seen)
+    conf = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "64k"}
+    was = {k: spark.conf.get(k) for k in conf}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(4)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = s.pack(spark, docs)
+        assert [len(table.inputFiles()) for table in saved[1:]] == [1]
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        n, total = whole(out.collect(), [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], theirs, 1024, 2)
+        assert n <= -(-total // 1024) + 1
+        monkeypatch.setattr(s, "NUMBERED", 300)  # and more files with more rows, with the same numbers
+        more = s.pack(spark, docs)
+        assert len(saved[-1].inputFiles()) > 1
+        assert sorted(map(tuple, more.collect())) == sorted(map(tuple, out.collect()))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_few_spans_are_encoded_at_once(theirs):
+    sizes = []
+
+    class Seen:
+        def encode_batch_fast(self, texts, **options):
+            sizes.append((len(texts), sum(map(len, texts))))
+            return theirs.encode_batch_fast(texts, **options)
+
+    use = s.SpanEncoder(s.default_path())
+    use.tokenizer = Seen()
+    text = " ".join(f"{chr(0x430 + i % 32)}{chr(0x4E00 + i)}z" for i in range(5000))
+    ids, _ = use.encode(pa.array([text]))
+    assert ids.tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert sum(n for n, _ in sizes) >= 5000 and max(n for n, _ in sizes) <= 1000
+    sizes.clear()
+    texts = ["".join(chr(0x4E00 + (i * 7 + k) % 5000) for k in range(3000)) for i in range(100)]
+    ids, _ = use.encode(pa.array(texts))
+    assert ids.tolist() == [i for text in texts for i in theirs.encode(text, add_special_tokens=False).ids]
+    assert sum(c for _, c in sizes) == 300_000 and max(c for _, c in sizes) <= 1 << 17

@@ -44,6 +44,8 @@ from tidemill.llm.token_pack import WordEncoder, _gather
 from tidemill.session import Scratch
 
 SIZE, END_ID = 1024, 2
+#: Spans and about the characters that are encoded at once, as what the library holds of them is far larger than their ids; rows of a task that numbers pieces, about.
+AT_ONCE, CHARACTERS, NUMBERED = 1000, 1 << 17, 1 << 18
 #: A combination of lengths, longest first, each with how many; and how many sequences have it.
 Use = tuple[list[tuple[int, int]], int]
 
@@ -154,6 +156,18 @@ class Places:
         return sequence, offset
 
 
+def few(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts, of `AT_ONCE` at most and about `CHARACTERS` in all, or one text."""
+    start = total = 0
+    for i, text in enumerate(texts):
+        if i > start and (i - start == AT_ONCE or total + len(text) > CHARACTERS):
+            yield texts[start:i]
+            start, total = i, 0
+        total += len(text)
+    if texts:
+        yield texts[start:]
+
+
 class SpanEncoder:
     """A byte-level BPE tokenizer used on the distinct spans of some texts."""
 
@@ -183,9 +197,11 @@ class SpanEncoder:
         """The ids of these spans. Those that are one pre-token go through the model alone, many at once; the bytes of ids tell them apart."""
         plain = [t for t in fresh if self.cuts and self.PLAIN(t)]
         others = list(set(fresh).difference(plain))
-        encoded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
-        found = {text: np.array(e.ids, "<u4").tobytes() for text, e in zip(others, encoded, strict=True)}
-        for some in (plain[i : i + 1000] for i in range(0, len(plain), 1000)):
+        found = {}
+        for some in few(others):
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            found |= {text: np.array(e.ids, "<u4").tobytes() for text, e in zip(some, encoded, strict=True)}
+        for some in few(plain):
             spelt = [t.replace(" ", self.letters[32]) if t.isascii() else t.encode().decode("latin-1").translate(self.letters) for t in some]
             ids = np.array(self.bare.encode_batch_fast([" ".join(spelt)], add_special_tokens=False)[0].ids, "<u4")
             upto, ends = np.cumsum(self.sizes[ids]), np.cumsum([len(t) for t in spelt])
@@ -283,10 +299,13 @@ def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
         raise ValueError("a sequence holds one id at least")
     scratch = Scratch(spark, "packed")
     cut = scratch.save(pieces(docs, id_col, text_col, size=size, with_ids=with_ids, **options))
-    counts = scratch.save(cut.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("n")))
+    totals = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.max("_part").alias("last")).collect()  # `size` rows at most
+    places = Places(plan({r.length: r.n for r in totals}, size))
+    counts = cut.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = scratch.save(counts.select("_part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")))
-    places = Places(plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size))  # `size` rows at most
+    base = counts.select("_part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    # in files by its rows and not by partitions of a shuffle: many small ones look too large to be broadcast, and all pieces would shuffle
+    base = scratch.save(base.coalesce(1 + sum(r["last"] + 1 for r in totals) // NUMBERED))
     names = ["_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
